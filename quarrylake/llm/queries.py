@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .ctph import op7_ctph
+from .mixing import OP5_SQL, op5_mixing
+from .packing import op10_packing
 from .quality_gbt import op1_quality_rules
 from .secret_scan import op8_secret_scan
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_mixing": op5_mixing,
     "op7_ctph": op7_ctph,
     "op8_secret_scan": op8_secret_scan,
+    "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL}
