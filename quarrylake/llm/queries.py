@@ -7,10 +7,12 @@ from .mixing import OP5_SQL, op5_mixing
 from .packing import op10_packing
 from .quality_gbt import op1_quality_rules
 from .secret_scan import op8_secret_scan
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op5_mixing": op5_mixing,
+    "op6_toxicity": op6_toxicity,
     "op7_ctph": op7_ctph,
     "op8_secret_scan": op8_secret_scan,
     "op10_packing": op10_packing,
