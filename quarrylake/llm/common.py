@@ -6,8 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -57,3 +58,51 @@ def id_text_rows(batches: Iterator[pa.RecordBatch], chunk: int = 512) -> Iterato
         for at in range(0, batch.num_rows, chunk):
             part = batch.slice(at, chunk)
             yield part.column(0).to_pylist(), part.column(1).to_pylist()
+
+
+class BoundedBloom:
+    """A Bloom filter of at most 2**MOST bits, whatever it is made from: what it lets through is checked again later.
+
+    Its words are built by a grouped aggregate, so at most 2**(MOST - 6) rows reach the driver.
+    """
+
+    LEAST, MOST, PER_KEY, PROBES = 16, 25, 12, 3
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.mask = words, np.uint64(len(words) * 64 - 1)
+
+    @classmethod
+    def of(cls, df: DataFrame, column: str) -> BoundedBloom:
+        """From a table with a binary or long column; it is read twice."""
+        n = df.count()
+        bits = min(cls.MOST, max(cls.LEAST, (n * cls.PER_KEY).bit_length()))
+        key = F.col(column) if dict(df.dtypes)[column] == "binary" else F.unhex(F.lpad(F.hex(column), 16, "0"))
+        text = F.hex(key)
+        place = lambda k: F.conv(F.substring(text, 1 + 5 * k, 8), 16, 10).cast("long").bitwiseAND(F.lit((1 << bits) - 1))
+        spread = df.select(F.explode(F.array(*[place(k) for k in cls._offsets(column, df)])).alias("bit"))
+        found = spread.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")).toPandas()
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        words[found["word"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
+        return cls(words)
+
+    @classmethod
+    def _offsets(cls, column: str, df: DataFrame) -> range:
+        return range(cls.PROBES if dict(df.dtypes)[column] == "binary" else 2)
+
+    def has(self, key: bytes) -> bool:
+        """Of a 16-byte key: 32 bits each from hex digits 0, 5 and 10."""
+        digits = key.hex()
+        mask = int(self.mask)
+        for k in range(self.PROBES):
+            bit = int(digits[5 * k : 5 * k + 8], 16) & mask
+            if not int(self.words[bit >> 6]) >> (bit & 63) & 1:
+                return False
+        return True
+
+    def has_longs(self, keys: np.ndarray) -> np.ndarray:
+        """Of 64-bit keys, as unsigned numbers."""
+        ok = np.ones(len(keys), bool)
+        for k in range(2):
+            bit = (keys >> np.uint64(32 - 20 * k)) & np.uint64(0xFFFFFFFF) & self.mask
+            ok &= (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return ok

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .ctph import op7_ctph
+from .html_template import op9_html_template
+from .line_dedup import op3_line_dedup
 from .mixing import OP5_SQL, op5_mixing
 from .packing import op10_packing
 from .quality_gbt import op1_quality_rules
@@ -11,10 +13,12 @@ from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_line_dedup": op3_line_dedup,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_ctph": op7_ctph,
     "op8_secret_scan": op8_secret_scan,
+    "op9_html_template": op9_html_template,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL}

@@ -31,7 +31,7 @@ from .common import batch_of, id_text_rows, read_table
 
 TRAIN_ROWS, THRESHOLD = 20_000, 0.3
 #: A lexicon entry must be in this many toxic rows, with log odds of at least LEAST_ODDS.
-LEAST_ROWS, LEAST_ODDS, LEXICON, STEMS = 4, 2.0, 256, (3, 4, 5, 6, 7, 8)
+LEAST_ROWS, LEAST_ODDS, LEXICON, STEMS = 3, 2.0, 256, (3, 4, 5, 6, 7, 8)
 _CLAUSE = re.compile(r"[.!?;:|\n]+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -202,7 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Grammar
         lexicon[f] = weights[f]
     # arcs that every cover needs to be whole: entries nearly free of clean rows come in on their own evidence
     for f, (q, t) in by.items():
-        if f[0] == "=" and len(t) >= 8 and len(q) * 50 <= len(t) and len(lexicon) < LEXICON:
+        if f[0] == "=" and len(t) >= LEAST_ROWS and len(q) * 8 <= len(t) and len(lexicon) < LEXICON:
             if not any(f[1:].startswith(s[:-1]) for s in lexicon if s[-1] == "+"):
                 lexicon[f] = weights[f]
     grammar = Grammar({f[1:]: w for f, w in lexicon.items() if f[0] == "="}, {f[:-1]: w for f, w in lexicon.items() if f[-1] == "+"})
