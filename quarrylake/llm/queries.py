@@ -6,6 +6,7 @@ from .ctph import op7_ctph
 from .html_template import op9_html_template
 from .line_dedup import op3_line_dedup
 from .mixing import OP5_SQL, op5_mixing
+from .ngram_join import op2_ngram_join
 from .packing import op10_packing
 from .quality_gbt import op1_quality_rules
 from .secret_scan import op8_secret_scan
@@ -13,6 +14,7 @@ from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_ngram_join": op2_ngram_join,
     "op3_line_dedup": op3_line_dedup,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
