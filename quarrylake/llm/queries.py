@@ -8,6 +8,7 @@ from .line_dedup import op3_line_dedup
 from .mixing import OP5_SQL, op5_mixing
 from .ngram_join import op2_ngram_join
 from .packing import op10_packing
+from .pseudo_lm import op4_pseudo_lm
 from .quality_gbt import op1_quality_rules
 from .secret_scan import op8_secret_scan
 from .toxicity import op6_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_ngram_join": op2_ngram_join,
     "op3_line_dedup": op3_line_dedup,
+    "op4_pseudo_lm": op4_pseudo_lm,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_ctph": op7_ctph,
