@@ -123,7 +123,7 @@ class Grammar:
             for sym, weight in hits:
                 state, out = table[state][sym]
                 if out >= 0:
-                    total[out] += weight
+                    total[out] += weight or 1.0  # a threat that its target completes
         return total
 
     def _symbol(self, word: str) -> tuple[int, float]:
