@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 _SEMVER = re.compile(r"^v?(\d+)\.(\d+)\.(\d+)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?$")
 _COMPARATOR = re.compile(r"^(>=|<=|>|<|=)?\s*v?(\d+|[xX*])(?:\.(\d+|[xX*]))?(?:\.(\d+|[xX*]))?(?:-([0-9A-Za-z.-]+))?$")
@@ -71,21 +71,21 @@ def satisfies(constraint: str | None, version: str | None) -> bool:
     return False
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def semver_compare(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([compare(a, b) for a, b in zip(left, right)], dtype="Int32")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def npm_compatible(constraint: pd.Series, version: pd.Series) -> pd.Series:
     return pd.Series([satisfies(a, b) for a, b in zip(constraint, version)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
