@@ -46,7 +46,9 @@ def lexical_terms(text: Column) -> Column:
     def terms(t: Column) -> Column:
         low = F.lower(t)
         parts = F.transform(F.split(F.regexp_replace(t, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2"), CONNECTOR_RUN), F.lower)
-        return F.concat(F.array(low), F.filter(parts, lambda p: (F.length(p) >= 2) & (p != low)))
+        compound = F.concat(F.array(low), F.filter(parts, lambda p: (F.length(p) >= 2) & (p != low)))
+        # most tokens are plain words: one test spares them the split
+        return F.when(t.rlike(r"[._/'-]|[\p{Ll}\p{N}]\p{Lu}"), compound).otherwise(F.array(low))
 
     return F.flatten(F.transform(tokens(text), terms))
 

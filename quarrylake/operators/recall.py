@@ -52,7 +52,8 @@ def term_top_k(scored: DataFrame, k: int, by: list[str], order: list) -> DataFra
 def bm25(terms: DataFrame, postings: DataFrame, docs: DataFrame, key: str, per_term: int = 256, limit: int = 10) -> DataFrame:
     """Top documents of each query (query_id, term): terms meet postings, each term keeps its per_term best, a document's scores add up."""
     stats = logical_statistics(docs)
-    df = document_frequency(postings.join(terms.select("term").distinct(), "term", "left_semi"), docs, key)
+    postings = postings.join(terms.select("term").distinct(), "term", "left_semi")  # pushed below the postings' aggregate
+    df = document_frequency(postings, docs, key)
     idf = df.crossJoin(stats).select("term", S.idf(F.col("documents"), F.col("frequency")).alias("idf"), (F.col("total_length") / F.greatest(F.col("documents"), F.lit(1))).alias("mean_length"))  # one row of statistics
     hits = postings.join(terms.join(idf, "term"), "term").join(docs.select(key, "uri", "length"), key)
     hits = hits.withColumn("term_score", S.bm25(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("idf"), F.col("field_weight")))
