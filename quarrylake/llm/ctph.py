@@ -84,12 +84,12 @@ def _common(a: str, b: str) -> int:
 
 
 def _alike(a: str, b: str) -> float:
-    """1 - distance / total length; strings of unrelated texts share no run of characters and count as 0."""
+    """1 - distance / total length; strings that share no run of characters (of short ones, half their length) count as 0."""
     if a == b:
         return 1.0
-    run = min(WINDOW, len(a), len(b))
-    if not run:
+    if not a or not b:
         return 0.0
+    run = max(1, min(WINDOW, len(a) // 2, len(b) // 2))
     seen = {a[i : i + run] for i in range(len(a) - run + 1)}
     if not any(b[i : i + run] in seen for i in range(len(b) - run + 1)):
         return 0.0
