@@ -34,23 +34,32 @@ def canonical_connectors(text: Column) -> Column:
     return F.translate(text, APOSTROPHES + DASHES, "''" + "-" * len(DASHES))
 
 
+def raw_tokens(text: Column) -> Column:
+    """Words and compound identifiers of any length."""
+    return F.regexp_extract_all(canonical_connectors(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+
+
+def is_token(t: Column) -> Column:
+    """3 characters or more, or 2 with a letter outside ASCII."""
+    return (F.length(t) >= 3) | ((F.length(t) == 2) & t.rlike(r"\p{L}") & t.rlike(r"[^\x00-\x7F]"))
+
+
 def tokens(text: Column) -> Column:
-    """Words and compound identifiers of 3 characters or more, or of 2 with a letter outside ASCII."""
-    found = F.regexp_extract_all(canonical_connectors(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.filter(found, lambda t: (F.length(t) >= 3) | ((F.length(t) == 2) & t.rlike(r"\p{L}") & t.rlike(r"[^\x00-\x7F]")))
+    return F.filter(raw_tokens(text), is_token)
 
 
-def lexical_terms(text: Column) -> Column:
-    """Lower-case tokens, each followed by the components between its connectors."""
+def token_terms(t: Column) -> Column:
+    """The lower-case token, then the components between its connectors."""
+    low = F.lower(t)
+    parts = F.transform(F.split(F.regexp_replace(t, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2"), CONNECTOR_RUN), F.lower)
+    compound = F.concat(F.array(low), F.filter(parts, lambda p: (F.length(p) >= 2) & (p != low)))
+    # most tokens are plain words: one test spares them the split
+    return F.when(t.rlike(r"[._/'-]|[\p{Ll}\p{N}]\p{Lu}"), compound).otherwise(F.array(low))
 
-    def terms(t: Column) -> Column:
-        low = F.lower(t)
-        parts = F.transform(F.split(F.regexp_replace(t, r"([\p{Ll}\p{N}])(\p{Lu})", "$1 $2"), CONNECTOR_RUN), F.lower)
-        compound = F.concat(F.array(low), F.filter(parts, lambda p: (F.length(p) >= 2) & (p != low)))
-        # most tokens are plain words: one test spares them the split
-        return F.when(t.rlike(r"[._/'-]|[\p{Ll}\p{N}]\p{Lu}"), compound).otherwise(F.array(low))
 
-    return F.flatten(F.transform(tokens(text), terms))
+def lexical_terms(text: Column) -> Column:
+    """Lower-case tokens, each followed by the components between its connectors."""
+    return F.flatten(F.transform(tokens(text), token_terms))
 
 
 def normalized_terms(text: Column) -> Column:

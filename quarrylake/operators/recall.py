@@ -12,16 +12,14 @@ from ..functions import scores as S, text as X
 def weighted_terms(docs: DataFrame, key: str, fields: dict[str, int], body: str) -> DataFrame:
     """(key, term, field_weight, tf): the greatest weight of the fields that have the term; tf counts the body's terms.
 
-    One explode of all fields and one aggregate, which combines on the map side.
+    Tokens are exploded before they are tested and opened, so that this runs in generated code and not in array
+    lambdas; one aggregate, which combines on the map side.
     """
-    parts = [F.transform(X.lexical_terms(F.col(body)), lambda t: F.struct(t.alias("term"), F.lit(S.BODY).alias("w"), F.lit(1).alias("n")))]
-    for field, weight in fields.items():
-        parts.append(_weighted(X.lexical_terms(F.col(field)), weight))
-    return docs.select(key, F.explode(F.concat(*parts)).alias("x")).groupBy(key, F.col("x.term").alias("term")).agg(F.max("x.w").alias("field_weight"), F.greatest(F.sum("x.n"), F.lit(1)).cast("long").alias("tf"))
-
-
-def _weighted(terms: Column, weight: int) -> Column:
-    return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w"), F.lit(0).alias("n")))
+    field = lambda c, w, n: F.struct(X.raw_tokens(F.col(c)).alias("ts"), F.lit(w).alias("w"), F.lit(n).alias("n"))
+    parts = F.array(field(body, S.BODY, 1), *[field(c, w, 0) for c, w in fields.items()])
+    found = docs.select(key, F.explode(parts).alias("x")).select(key, "x.w", "x.n", F.explode("x.ts").alias("t")).where(X.is_token(F.col("t")))
+    terms = found.select(key, "w", "n", F.explode(X.token_terms(F.col("t"))).alias("term"))
+    return terms.groupBy(key, "term").agg(F.max("w").alias("field_weight"), F.greatest(F.sum("n"), F.lit(1)).cast("long").alias("tf"))
 
 
 def document_lengths(docs: DataFrame, key: str, body: str) -> DataFrame:
