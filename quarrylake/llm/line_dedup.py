@@ -6,6 +6,11 @@ its own (also a boundary that content alone decides). A chunk of MIN_LINES lines
 again anywhere in the corpus is removed from all places but its first (lowest id, then place). Hashes only nominate:
 the bytes of all places of a chunk are compared before anything is removed, and a chunk whose places differ stays.
 
+dedup_lines() removes chunks only. dedup_passages(), the query, also removes every run of adjacent lines of LONG_WORDS
+words or more together that stands at an earlier place (id, then line), wherever chunks end. The least such runs from
+each line on and up to each line are keyed like chunks: those inside a repeated run cover all of its lines. Where a
+copy overlaps its own first place, the lines of the first place stay.
+
 Defined cases: a null text has no lines and stays null; a text all of whose chunks go becomes empty; a chunk of white
 space only is never removed; repeated rows of one id share their decisions and stay alike; a row with a null id is
 left as it is; all columns of the input are kept, whatever their names; an empty table gives an empty result.
@@ -13,7 +18,9 @@ left as it is; all columns of the input are kept, whatever their names; an empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -59,24 +66,53 @@ def removable(text: str | None) -> Iterator[tuple[int, int, bytes, bytes]]:
             yield a, b, xxhash.xxh3_128_digest(raw), raw
 
 
+def runs(words: list[int]) -> set[tuple[int, int]]:
+    """(first line, line after the last) of the least runs of LONG_WORDS words from each line on and up to each line; words has the words of each line."""
+    sums = [0, *accumulate(words)]
+    out = set()
+    for i in range(len(words)):
+        end = bisect_left(sums, sums[i] + LONG_WORDS)
+        if end < len(sums):
+            out.add((i, end))
+        if sums[i + 1] >= LONG_WORDS:
+            out.add((bisect_right(sums, sums[i + 1] - LONG_WORDS) - 1, i + 1))
+    return out
+
+
+def passages(text: str | None) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """Of the chunks and the least runs that may go, as removable()."""
+    held = set()
+    for a, b, key, raw in removable(text):
+        held.add((a, b))
+        yield a, b, key, raw
+    lines = (text or "").encode("utf-8", "surrogatepass").split(b"\n")
+    for a, b in runs([len(x.split()) for x in lines]) - held:
+        raw = b"\n".join(lines[a:b])
+        yield a, b, xxhash.xxh3_128_digest(raw), raw
+
+
+Spans = Callable[[str | None], Iterator[tuple[int, int, bytes, bytes]]]
 _PLACES = pa.schema([("id", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("key", pa.binary())])
 _BYTES = pa.schema([("key", pa.binary()), ("bytes", pa.binary())])
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in id_text_rows(batches):
-        out = [(i, a, b, key) for i, t in zip(ids, texts) for a, b, key, _ in removable(t)]
-        if out:
-            yield batch_of(_PLACES, zip(*out))
+def _places(spans: Spans):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in id_text_rows(batches):
+            out = [(i, a, b, key) for i, t in zip(ids, texts) for a, b, key, _ in spans(t)]
+            if out:
+                yield batch_of(_PLACES, zip(*out))
+
+    return run
 
 
-def _nominated(bloom: BoundedBloom):
+def _nominated(bloom: BoundedBloom, spans: Spans):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in id_text_rows(batches, 4096):
             held: dict[tuple[bytes, bytes], None] = {}
             size = 0
             for t in texts:
-                for _, _, key, raw in removable(t):
+                for _, _, key, raw in spans(t):
                     if bloom.has(key) and (key, raw) not in held:
                         held[(key, raw)] = None
                         size += len(raw)
@@ -89,20 +125,31 @@ def _nominated(bloom: BoundedBloom):
     return run
 
 
-def cuts(docs: DataFrame) -> DataFrame:
+def cuts(docs: DataFrame, spans: Spans = removable) -> DataFrame:
     """id -> the line ranges to remove, array<struct<a, b>>, for the ids that lose any."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    places = scratch(rows.mapInArrow(_places, "id long, a int, b int, key binary"), "line-places")
+    places = scratch(rows.mapInArrow(_places(spans), "id long, a int, b int, key binary"), "line-places")
     repeated = scratch(places.groupBy("key").agg(F.min(F.struct("id", "a")).alias("first"), F.max(F.struct("id", "a")).alias("last")).where("first <> last").select("key", F.col("first.id").alias("first_id"), F.col("first.a").alias("first_a")), "line-repeated")
     bloom = BoundedBloom.of(repeated, "key")
-    agreed = rows.mapInArrow(_nominated(bloom), "key binary, bytes binary").groupBy("key").agg((F.min("bytes") == F.max("bytes")).alias("same")).where("same").select("key")
+    agreed = rows.mapInArrow(_nominated(bloom, spans), "key binary, bytes binary").groupBy("key").agg((F.min("bytes") == F.max("bytes")).alias("same")).where("same").select("key")
     sure = repeated.join(agreed, "key")
     gone = places.join(sure, "key").where("id <> first_id or a <> first_a")
+    # a copy that overlaps its first place begins after it; equal bytes have equally many lines
+    gone = gone.withColumn("a", F.when(F.col("id") == F.col("first_id"), F.greatest("a", F.col("first_a") + F.col("b") - F.col("a"))).otherwise(F.col("a")))
     return gone.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("cuts"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The rows of docs with the repeated chunks cut out of text, all other columns as they are."""
+    return _without(docs, cuts(docs))
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """As dedup_lines(), with the repeated runs of adjacent lines of LONG_WORDS words or more cut out as well."""
+    return _without(docs, cuts(docs, passages))
+
+
+def _without(docs: DataFrame, cut: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,16 +161,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 texts = kept.column(at).to_pylist()
                 for i, ranges in enumerate(marked.to_pylist()):
                     if ranges and texts[i] is not None:
-                        lines = texts[i].split("\n")
-                        for r in reversed(ranges):
-                            del lines[r["a"] : r["b"]]
-                        texts[i] = "\n".join(lines)
+                        gone = {k for r in ranges for k in range(r["a"], r["b"])}
+                        texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in gone)
                 columns = list(kept.columns)
                 columns[at] = pa.array(texts, kept.schema.field(at).type)
                 kept = pa.RecordBatch.from_arrays(columns, names=kept.schema.names)
             yield kept
 
-    cut = cuts(docs).select(F.col("id").alias("__line_id"), F.col("cuts").alias("__line_cuts"))
+    cut = cut.select(F.col("id").alias("__line_id"), F.col("cuts").alias("__line_cuts"))
     joined = docs.join(cut, F.col("doc_id").cast("long") == F.col("__line_id"), "left").select(*[docs[c] for c in docs.columns], "__line_cuts")
     return joined.mapInArrow(rebuild, schema)
 
@@ -133,4 +178,4 @@ def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     from .common import read_table
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs.withColumn("n_before", F.coalesce(F.length("text"), F.lit(0)).cast("long"))).select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), (F.col("n_before") - F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("n_cut"))
+    return dedup_passages(docs.withColumn("n_before", F.coalesce(F.length("text"), F.lit(0)).cast("long"))).select("doc_id", "text", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), (F.col("n_before") - F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("n_cut"))

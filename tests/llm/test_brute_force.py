@@ -176,6 +176,49 @@ def test_chunks_resist_shifts():
     assert len(keys(lines) & keys([b"new", b"other", *lines])) > 0.9 * len(keys(lines))
 
 
+def repeated_lines(rows):
+    """Lines (id, line) in a run of 50 words or more whose copy is at an earlier place and does not hold the line, by trying all runs."""
+    runs = defaultdict(list)
+    for i, t in rows:
+        lines = t.split("\n")
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if sum(len(x.split()) for x in lines[a:b]) >= 50:
+                    runs["\n".join(lines[a:b])].append((i, a, b))
+    gone = set()
+    for places in runs.values():
+        for i, a, b in places:
+            for j, c, d in places:
+                if (j, c) < (i, a):
+                    gone |= {(i, k) for k in range(a, b) if i != j or not c <= k < d}
+    return gone
+
+
+def test_runs_of_lines(spark):
+    r = random.Random(8)
+    stock = [" ".join(f"w{r.randrange(999)}" for _ in range(n)) for n in (0, 3, 8, 12, 17, 25, 30, 49, 50, 70)]
+    rows = [(i, "\n".join(r.choice(stock) if r.random() < 0.85 else f"own {i} {k}" for k in range(r.randrange(14)))) for i in range(60)]
+    rows += [(100, "\n".join([stock[3]] * 30)), (101, "\n".join([stock[2], stock[4]] * 12)), (102, "")]
+    runs = lambda t: ((a, b, k, x) for a, b, k, x in line_dedup.passages(t) if len(x.split()) >= 50)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(x["id"], k) for x in line_dedup.cuts(docs, runs).collect() for c in x["cuts"] for k in range(c["a"], c["b"])}
+    assert got == repeated_lines(rows) and got
+
+
+def test_passages_of_short_lines_go(spark, tmp_path):
+    r = random.Random(4)
+    line = lambda n: " ".join(f"w{r.randrange(10**9)}" for _ in range(n))
+    rows = []
+    for k in range(40):
+        passage = [line(60 // n + 1) for n in [2 + k % 7] for _ in range(n)]
+        rows += [(10 * k + j, "\n".join([line(20), line(9), *passage, line(11), line(20)])) for j in (0, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x["text"] for x in QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
+    gone = repeated_lines(rows)
+    assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
+    assert all(got[i].count("\n") == 3 for i, _ in rows if i % 10)
+
+
 # language model
 
 
