@@ -34,6 +34,9 @@ CLOSES_P = frozenset("address article aside blockquote body details div dl dt dd
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = frozenset("ul ol dl table article main section body".split())
 MAIN = ("article", "main")
+_HEADING = re.compile(r"/(?:h[1-6]|dt|th|caption|summary)(?:\.[^/]*)?$")
+#: A text of fewer pages is not taken as a template's.
+MIN_PAGES = 4
 #: Elements, and words of class, id and role, that are not the article.
 OUT_TAGS = frozenset("head nav header footer aside form menu dialog fieldset figcaption".split()) - {"figcaption"}
 OUT_WORDS = re.compile(r"^(ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|notices?|consent|popups?|modals?|newsletters?|subscribe|subscription|share|sharing|social|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|respond|replies|disqus|related|recommend\w*|widgets?|toolbar|pagination|pager|complementary|contentinfo|alert|search)$")
@@ -153,40 +156,55 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch_of(_STATS, zip(*((*k, *v) for k, v in sums.items())))
 
 
+def _above(path):
+    """The paths of the containers of a path, itself among them."""
+    steps = F.split(path, "/")
+    return F.array_distinct(F.transform(F.sequence(F.lit(2), F.greatest(F.size(steps), F.lit(2))), lambda k: F.array_join(F.slice(steps, 1, k), "/")))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """host -> its main container's path and the template's texts inside it.
+    """host -> its main container's path and the template's texts.
 
-    A text whose vector equals its own container's is part of the template. The main container is an article or main
-    element where the varying text is in one; else the deepest container that keeps most of the varying text.
+    A text is steady if its vector equals that of a container above it (its own among them), of whose text a quarter or
+    more is not such. Steady texts of MIN_PAGES pages or more are the template's. The main container is an article or
+    main element where the varying text is in one; else the deepest container that keeps most of the varying text.
     """
     keyed = pages.select(F.col("page_id").cast("string").alias("page"), "url", "html")
     tokens = scratch(keyed.mapInArrow(_occurrences, _STATS_DDL).groupBy("host", "path", "out", "token").agg(F.sum("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector"), F.sum("chars").alias("chars")), "html-tokens")
-    tags = tokens.where("token = 0").groupBy("host", "path").agg(F.max("pages").alias("tag_pages"), F.expr("bit_xor(vector)").alias("tag_vector"))
-    texts = tokens.where("token <> 0 and not out").join(tags, ["host", "path"], "left")
-    fixed = F.coalesce((F.col("pages") > 1) & (F.col("vector") == F.col("tag_vector")), F.lit(False))
-    by_path = texts.withColumn("fixed", fixed).groupBy("host", "path").agg(F.sum(F.when(~F.col("fixed"), F.col("chars")).otherwise(0)).alias("varying"), F.collect_set(F.when(F.col("fixed"), F.col("token"))).alias("fixed"))
+    tags = tokens.where("token = 0").groupBy("host", F.col("path").alias("container")).agg(F.max("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector"))
+    texts = tokens.where("token <> 0 and not out")
+    by_path = texts.groupBy("host", "path").agg(F.sum("chars").alias("chars"))
     # each container above a path holds its text; paths are few a host, whatever its pages
-    steps = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(2), F.greatest(F.size(steps), F.lit(2))), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
-    held = by_path.withColumn("container", F.explode(F.array_distinct(above))).groupBy("host", "container").agg(F.sum("varying").alias("varying"), F.flatten(F.collect_list("fixed")).alias("fixed"))
+    whole = by_path.withColumn("container", F.explode(_above("path"))).groupBy("host", "container").agg(F.sum("chars").alias("whole"))
+    inside = F.expr("path = container or startswith(path, container || '/')")
+    pairs = texts.where("pages > 1").join(tags, ["host", "vector", "pages"]).where(inside)
+    varied = pairs.groupBy("host", "container").agg(F.sum("chars").alias("same")).join(whole, ["host", "container"]).where("same * 4 <= whole * 3").select("host", "container")
+    steady = scratch(pairs.join(varied, ["host", "container"], "left_semi").select("host", "path", "token", "pages", "chars").distinct(), "html-steady")
+    fixed = steady.where(F.col("pages") >= MIN_PAGES).groupBy("host").agg(F.collect_set("token").alias("fixed"))
+    left = by_path.unionByName(steady.select("host", "path", (-F.col("chars")).alias("chars"))).groupBy("host", "path").agg(F.sum("chars").alias("varying"))
+    held = left.withColumn("container", F.explode(_above("path"))).groupBy("host", "container").agg(F.sum("varying").alias("varying"))
     last = F.element_at(F.split("container", "/"), -1)
     kind = F.substring_index(last, ".", 1)
     depth = F.size(F.split("container", "/"))
     all_ = held.groupBy("host").agg(F.max("varying").alias("whole"))
     ranked = held.join(all_, "host").where("varying > 0 and varying * 2 >= whole")
     semantic = F.when(kind.isin(*MAIN), 1).otherwise(0)
-    return ranked.groupBy("host").agg(F.max(F.struct(semantic.alias("semantic"), F.when(semantic == 1, -depth).otherwise(depth).alias("depth"), F.col("varying"), F.col("container"), F.col("fixed"))).alias("best")).select("host", F.col("best.container").alias("container"), (F.col("best.semantic") == 1).alias("semantic"), F.col("best.fixed").alias("fixed"))
+    best = ranked.groupBy("host").agg(F.max(F.struct(semantic.alias("semantic"), F.when(semantic == 1, -depth).otherwise(depth).alias("depth"), F.col("varying"), F.col("container"))).alias("best"))
+    return best.join(fixed, "host", "left").select("host", F.col("best.container").alias("container"), (F.col("best.semantic") == 1).alias("semantic"), "fixed")
 
 
 def main_text(html: str, container: str | None = None, semantic: bool = False, fixed: set[int] = frozenset()) -> str:
-    """Blocks in the main container, in page order, one a line."""
+    """Blocks in the main container without the template's texts, in page order, one a line.
+
+    A heading of the template stays where the page's own text follows it; a page of nothing but template keeps it.
+    """
     all_ = [(p, t) for p, out, t in blocks(html) if t and not out]
-    if container is not None:
-        inside = [(p, t) for p, t in all_ if p == container or p.startswith(container + "/")]
-        if inside and (semantic or not any(_is_main(p) for p, _ in all_)):
-            return "\n".join(t for p, t in inside if semantic or _hash(p, t) not in fixed)
-    inside = [(p, t) for p, t in all_ if _is_main(p)]
-    return "\n".join(t for _, t in (inside or all_))
+    inside = [(p, t) for p, t in all_ if p == container or p.startswith(f"{container}/")] if container is not None else []
+    if not inside or not semantic and any(_is_main(p) for p, _ in all_):
+        inside = [(p, t) for p, t in all_ if _is_main(p)] or all_
+    same = [_hash(p, t) in fixed for p, t in inside] if fixed else [False] * len(inside)
+    own = [t for k, (p, t) in enumerate(inside) if not same[k] or k + 1 < len(inside) and not same[k + 1] and _HEADING.search(p)]
+    return "\n".join(t for _, t in inside) if all(same) else "\n".join(own)
 
 
 def _is_main(path: str) -> bool:

@@ -436,6 +436,25 @@ def test_named_parts_go_and_templates_are_found(spark):
     assert got[3] == "T3\nbody 3 <b> x"
 
 
+def html_pages(spark, *htmls):
+    return spark.createDataFrame([(k, f"http://h.example/{k}", h) for k, h in enumerate(htmls)], "page_id long, url string, html string")
+
+
+def texts_of(pages):
+    return {r["page_id"]: r["text"] for r in html_template.extract(pages).collect()}
+
+
+def test_template_texts_go_inside_articles(spark):
+    page = lambda k: f"<html><body><article><h1>T{k}</h1><p>Read us daily, only here</p><p>first words of story {k}</p><h2>Summary</h2><p>the other words {k} of it</p><div class=x>Send us your mail</div></article></body></html>"
+    got = texts_of(html_pages(spark, *map(page, range(6))))
+    assert got == {k: f"T{k}\nfirst words of story {k}\nSummary\nthe other words {k} of it" for k in range(6)}
+    assert all("Read us daily" in html_template.main_text(page(k)) for k in got)  # without the deduction it stays
+    few = texts_of(html_pages(spark, *map(page, range(3))))
+    assert all("Read us daily" in t for t in few.values())
+    same = texts_of(html_pages(spark, *[page(1)] * 6))
+    assert set(same.values()) == {html_template.main_text(page(1))}
+
+
 # packing
 
 
