@@ -35,6 +35,8 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPES = frozenset("ul ol dl table article main section body".split())
 MAIN = ("article", "main")
 _HEADING = re.compile(r"/(?:h[1-6]|dt|th|caption|summary)(?:\.[^/]*)?$")
+#: Elements that may be the main container where no article or main is.
+BOXES = ("body", "div", "section", "td", "center")
 #: A text of fewer pages is not taken as a template's.
 MIN_PAGES = 4
 #: Elements, and words of class, id and role, that are not the article.
@@ -130,8 +132,8 @@ def _hash(*what: str) -> int:
     return xxhash.xxh3_64_intdigest("\0".join(what)) - (1 << 63)
 
 
-_STATS = pa.schema([("host", pa.string()), ("path", pa.string()), ("out", pa.bool_()), ("token", pa.int64()), ("pages", pa.int64()), ("vector", pa.int64()), ("chars", pa.int64())])
-_STATS_DDL = "host string, path string, out boolean, token long, pages long, vector long, chars long"
+_STATS = pa.schema([("host", pa.string()), ("path", pa.string()), ("out", pa.bool_()), ("token", pa.int64()), ("pages", pa.int64()), ("vector", pa.int64()), ("chars", pa.int64()), ("times", pa.int64())])
+_STATS_DDL = "host string, path string, out boolean, token long, pages long, vector long, chars long, times long"
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,10 +150,11 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     x[1] += len(text)
                 host = host_of(url)
                 for (path, out, token), (n, chars) in seen.items():
-                    s = sums.setdefault((host, path, out, token), [0, 0, 0])
+                    s = sums.setdefault((host, path, out, token), [0, 0, 0, 0])
                     s[0] += 1
                     s[1] ^= _hash(str(page), url or "", str(n))
                     s[2] += chars
+                    s[3] += n
             if sums:
                 yield batch_of(_STATS, zip(*((*k, *v) for k, v in sums.items())))
 
@@ -167,17 +170,18 @@ def templates(pages: DataFrame) -> DataFrame:
 
     A text is steady if its vector equals that of a container above it (its own among them), of whose text a quarter or
     more is not such. Steady texts of MIN_PAGES pages or more are the template's. The main container is an article or
-    main element where the varying text is in one; else the deepest container that keeps most of the varying text.
+    main element where the varying text is in one; else the deepest element of BOXES that is once on its pages and keeps
+    nearly all of the varying text, since what is outside of it is lost.
     """
     keyed = pages.select(F.col("page_id").cast("string").alias("page"), "url", "html")
-    tokens = scratch(keyed.mapInArrow(_occurrences, _STATS_DDL).groupBy("host", "path", "out", "token").agg(F.sum("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector"), F.sum("chars").alias("chars")), "html-tokens")
-    tags = tokens.where("token = 0").groupBy("host", F.col("path").alias("container")).agg(F.max("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector"))
+    tokens = scratch(keyed.mapInArrow(_occurrences, _STATS_DDL).groupBy("host", "path", "out", "token").agg(F.sum("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector"), F.sum("chars").alias("chars"), F.sum("times").alias("times")), "html-tokens")
+    tags = tokens.where("token = 0").groupBy("host", F.col("path").alias("container")).agg(F.max("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector"), F.sum("times").alias("times"))
     texts = tokens.where("token <> 0 and not out")
     by_path = texts.groupBy("host", "path").agg(F.sum("chars").alias("chars"))
     # each container above a path holds its text; paths are few a host, whatever its pages
     whole = by_path.withColumn("container", F.explode(_above("path"))).groupBy("host", "container").agg(F.sum("chars").alias("whole"))
     inside = F.expr("path = container or startswith(path, container || '/')")
-    pairs = texts.where("pages > 1").join(tags, ["host", "vector", "pages"]).where(inside)
+    pairs = texts.where("pages > 1").join(tags.drop("times"), ["host", "vector", "pages"]).where(inside)
     varied = pairs.groupBy("host", "container").agg(F.sum("chars").alias("same")).join(whole, ["host", "container"]).where("same * 4 <= whole * 3").select("host", "container")
     steady = scratch(pairs.join(varied, ["host", "container"], "left_semi").select("host", "path", "token", "pages", "chars").distinct(), "html-steady")
     fixed = steady.where(F.col("pages") >= MIN_PAGES).groupBy("host").agg(F.collect_set("token").alias("fixed"))
@@ -187,8 +191,9 @@ def templates(pages: DataFrame) -> DataFrame:
     kind = F.substring_index(last, ".", 1)
     depth = F.size(F.split("container", "/"))
     all_ = held.groupBy("host").agg(F.max("varying").alias("whole"))
-    ranked = held.join(all_, "host").where("varying > 0 and varying * 2 >= whole")
     semantic = F.when(kind.isin(*MAIN), 1).otherwise(0)
+    box = kind.isin(*BOXES) & (F.col("times") <= F.col("pages")) & (F.col("varying") * 20 >= F.col("whole") * 19)
+    ranked = held.join(all_, "host").join(tags.select("host", "container", "pages", "times"), ["host", "container"]).where("varying > 0 and varying * 2 >= whole").where((semantic == 1) | box)
     best = ranked.groupBy("host").agg(F.max(F.struct(semantic.alias("semantic"), F.when(semantic == 1, -depth).otherwise(depth).alias("depth"), F.col("varying"), F.col("container"))).alias("best"))
     return best.join(fixed, "host", "left").select("host", F.col("best.container").alias("container"), (F.col("best.semantic") == 1).alias("semantic"), "fixed")
 

@@ -455,6 +455,15 @@ def test_template_texts_go_inside_articles(spark):
     assert set(same.values()) == {html_template.main_text(page(1))}
 
 
+def test_pages_of_divs_keep_all_kinds_of_blocks(spark):
+    inner = lambda k: f"<h1>Title {k}</h1>" + "".join(f"<p>paragraph {j} of {k} with more than a few words in it</p>" for j in range(9)) + f"<h2>Head {k}</h2><ul><li>one {k}</li><li>two {k}</li></ul><blockquote>said {k}</blockquote><pre>x = {k}</pre><table><tr><td>cell {k}</td></tr></table>"
+    plain = lambda h: "\n".join(x for x in re.split(r"<[^>]*>", h) if x)
+    one = [f"<html><body><div class=top>Our site</div><div class=content>{inner(k)}</div><div class=end>All rights</div></body></html>" for k in range(6)]
+    assert texts_of(html_pages(spark, *one)) == {k: plain(inner(k)) for k in range(6)}
+    two = [f"<html><body><div class=top>Our site</div><div class=a>{inner(k)}</div><div class=b>{inner(k + 50)}</div><div class=end>All rights</div></body></html>" for k in range(6)]
+    assert texts_of(html_pages(spark, *two)) == {k: plain(inner(k) + inner(k + 50)) for k in range(6)}
+
+
 # packing
 
 
