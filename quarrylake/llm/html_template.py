@@ -35,6 +35,8 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPES = frozenset("ul ol dl table article main section body".split())
 MAIN = ("article", "main")
 _HEADING = re.compile(r"/(?:h[1-6]|dt|th|caption|summary)(?:\.[^/]*)?$")
+#: A longer step of a path is the tag and a hash; elements of more steps share their container's path, but for article and main.
+STEP, DEPTH = 40, 128
 #: Elements that may be the main container where no article or main is.
 BOXES = ("body", "div", "section", "td", "center")
 #: A text of fewer pages is not taken as a template's.
@@ -58,7 +60,8 @@ def _named(tag: str, attrs: str) -> tuple[str, bool]:
         for m in _ATTR.finditer(attrs):
             words += [re.sub(r"\d+", "N", w) for w in re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower()) if w]
     out = tag in OUT_TAGS or tag not in ("html", "body", *MAIN) and any(OUT_WORDS.match(w) for w in words)
-    return (f"{tag}.{'.'.join(sorted(set(words)))}" if words else tag), out
+    step = f"{tag}.{'.'.join(sorted(set(words)))}" if words else tag
+    return step if len(step) <= STEP else f"{tag[:STEP]}.{xxhash.xxh3_64_hexdigest(step.encode('utf-8', 'surrogatepass'))}", out
 
 
 def blocks(html: str) -> Iterator[tuple[str, bool, str]]:
@@ -118,7 +121,8 @@ def blocks(html: str) -> Iterator[tuple[str, bool, str]]:
             stack.append(Element(tag, stack[-1].path if stack else "", out))
         else:
             above = next((e.path for e in reversed(stack) if e.tag not in INLINE), "")
-            stack.append(Element(tag, f"{above}/{step}"[-400:], out))
+            # below DEPTH a block has the path of the container there: nothing is lost, and paths stay bounded
+            stack.append(Element(tag, f"{above}/{step}" if tag in MAIN or above.count("/") < DEPTH else above, out))
             yield (stack[-1].path, any(e.out for e in stack), "")
     yield from flush()
 

@@ -464,6 +464,18 @@ def test_pages_of_divs_keep_all_kinds_of_blocks(spark):
     assert texts_of(html_pages(spark, *two)) == {k: plain(inner(k) + inner(k + 50)) for k in range(6)}
 
 
+def test_long_class_lists_and_deep_pages_lose_nothing(spark):
+    names = lambda j: " ".join(f"utility{chr(97 + j)}{chr(97 + i)}" for i in range(25))
+    page = lambda k: f"<html><body><div>Our site</div><article class='{names(0)}'><p>first {k}</p>" + "".join(f"<div class='{names(j)}'>" for j in range(1, 9)) + f"<p>nested words {k}</p>" + "</div>" * 8 + "</article></body></html>"
+    assert texts_of(html_pages(spark, *map(page, range(6)))) == {k: f"first {k}\nnested words {k}" for k in range(6)}
+    deep = lambda k: "<body>" + "".join(f"<div>at {j} of {k}" for j in range(400)) + f"<article>main {k}<p>more {k}"
+    assert texts_of(html_pages(spark, *map(deep, range(5)))) == {k: f"main {k}\nmore {k}" for k in range(5)}
+    bare = lambda k: "<body>" + "".join(f"<div>at {j} of {k}" for j in range(400))
+    # the outermost 5 % may be outside of the main container; nothing deep is
+    assert all(x.endswith("\n".join(f"at {j} of {k}" for j in range(25, 400))) for k, x in texts_of(html_pages(spark, *map(bare, range(5)))).items())
+    assert max(len(p) for p, _, _ in html_template.blocks(page(1) + deep(1))) < (html_template.STEP + 18) * (html_template.DEPTH + 3)
+
+
 # packing
 
 
