@@ -6,7 +6,7 @@ that it is summed in parallel. Tokens with equal vectors form a class; a class o
 with the same vector is part of the template, and nesting the containers by path gives the template tree. What the
 template leaves open are slots; the host's main slot is the container that holds its varying text. Each page's
 result is the text in that container, without the parts that are named as menus, headers, footers, notices, adverts,
-forms or comments. A page without the container, or a host of one page, is judged by its own tree.
+forms or comments, unless these hold the page's only article or main element or most of the varying text. A page without the container, or a host of one page, is judged by its own tree.
 
 Defined cases: null html is an empty page with an empty text; a page without a url belongs to the host ""; repeated
 rows are extracted alike; unclosed elements end where HTML ends them; unfinished tags at the end are dropped; other
@@ -46,6 +46,12 @@ OUT_TAGS = frozenset("head nav header footer aside form menu dialog fieldset fig
 OUT_WORDS = re.compile(r"^(ads?|advert\w*|banners?|sponsor\w*|promo\w*|cookies?|notices?|consent|popups?|modals?|newsletters?|subscribe|subscription|share|sharing|social|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|respond|replies|disqus|related|recommend\w*|widgets?|toolbar|pagination|pager|complementary|contentinfo|alert|search)$")
 
 
+#: Words that only make a name of OUT_WORDS longer: site-footer, comment-list.
+BOX_WORDS = frozenset("site list area box bar block button buttons link links posts slot section form inner".split())
+#: Elements that stay out whatever they hold, unless all of a page's article and main elements are in them.
+NEVER = frozenset("head nav header footer menu dialog aside".split())
+
+
 class Element:
     __slots__ = ("tag", "path", "out")
 
@@ -54,18 +60,28 @@ class Element:
 
 
 def _named(tag: str, attrs: str) -> tuple[str, bool]:
-    """The element's step in a path, and whether it is named as no part of an article."""
-    words = []
+    """The element's step in a path, and whether it is named as no part of an article: by a whole class, id or role, not by a part of one."""
+    words, names = [], []
     if attrs and ("=" in attrs):
         for m in _ATTR.finditer(attrs):
-            words += [re.sub(r"\d+", "N", w) for w in re.split(r"[^a-z0-9]+", (m[2] or m[3] or m[4] or "").lower()) if w]
-    out = tag in OUT_TAGS or tag not in ("html", "body", *MAIN) and any(OUT_WORDS.match(w) for w in words)
+            for name in (m[2] or m[3] or m[4] or "").lower().split():
+                names.append([w for w in re.split(r"[^a-z0-9]+", name) if w])
+                words += [re.sub(r"\d+", "N", w) for w in names[-1]]
+    out = tag in OUT_TAGS or tag not in ("html", "body", *MAIN) and any(_out_name(x) for x in names)
     step = f"{tag}.{'.'.join(sorted(set(words)))}" if words else tag
     return step if len(step) <= STEP else f"{tag[:STEP]}.{xxhash.xxh3_64_hexdigest(step.encode('utf-8', 'surrogatepass'))}", out
 
 
-def blocks(html: str) -> Iterator[tuple[str, bool, str]]:
-    """(path, named out, text) of each block of text, and (path, named out, "") as each element opens."""
+def _out_name(parts: list[str]) -> bool:
+    hits = [bool(OUT_WORDS.match(w)) for w in parts]
+    return any(hits) and all(h or w in BOX_WORDS or w.isdigit() for h, w in zip(hits, parts))
+
+
+def blocks(html: str, spared: frozenset[str] | set[str] = frozenset()) -> Iterator[tuple[str, bool, str]]:
+    """(path, named out, text) of each block of text, and (path, named out, "") as each element opens.
+
+    The step of an element that is named out begins with "!"; elements of the paths in spared are not out.
+    """
     stack: list[Element] = []
     held: list[str] = []
     end, n = 0, len(html)
@@ -74,8 +90,7 @@ def blocks(html: str) -> Iterator[tuple[str, bool, str]]:
         text = " ".join(unescape("".join(held)).split())
         held.clear()
         if text:
-            top = next((e for e in reversed(stack) if e.tag not in INLINE), None)
-            yield (top.path if top else "", any(e.out for e in stack), text)
+            yield (stack[-1].path if stack else "", any(e.out for e in stack), text)
 
     while end < n:
         m = _TOKEN.search(html, end)
@@ -117,16 +132,45 @@ def blocks(html: str) -> Iterator[tuple[str, bool, str]]:
                 if stack[i].tag in SCOPES:
                     break
         step, out = _named(tag, attrs)
+        above = stack[-1].path if stack else ""
         if tag in INLINE:
-            stack.append(Element(tag, stack[-1].path if stack else "", out))
+            path = f"{above}/!{step}" if out else above
+            stack.append(Element(tag, path, out and path not in spared))
         else:
-            above = next((e.path for e in reversed(stack) if e.tag not in INLINE), "")
             # below DEPTH a block has the path of the container there: nothing is lost, and paths stay bounded
-            stack.append(Element(tag, f"{above}/{step}" if tag in MAIN or above.count("/") < DEPTH else above, out))
-            yield (stack[-1].path, any(e.out for e in stack), "")
+            path = f"{above}/{'!' * out}{step}" if tag in MAIN or out or above.count("/") < DEPTH else above
+            stack.append(Element(tag, path, out and path not in spared))
+            yield (path, any(e.out for e in stack), "")
     yield from flush()
 
 
+def _outs(path: str) -> list[str]:
+    """The paths of the named out elements of a path."""
+    return [path[: m.end()] for m in re.finditer(r"/![^/]*", path)]
+
+
+def page_blocks(html: str, spared: frozenset[str] | set[str] = frozenset()) -> list[tuple[str, bool, str]]:
+    """As blocks(). What is named out is not where the page's article and main elements, or all of its text, are only there."""
+    all_ = list(blocks(html, spared))
+    mains = [p for p, out, t in all_ if not t and _is_main(p)]
+    if mains:
+        if not any(_is_main(p) and not out for p, out, _ in all_):
+            above = {x for p in mains for x in _outs(re.match(r"(.*?/(?:article|main)(?:\.[^/]*)?)(?:/|$)", p)[1])}
+            return list(blocks(html, above | set(spared)))
+    else:
+        while not any(t and not out for _, out, t in all_):
+            held: dict[str, int] = {}
+            for p, _, t in all_:
+                for x in _outs(p) if t else ():
+                    held[x] = held.get(x, 0) + len(t)
+            most = {x for x, n in held.items() if x not in spared and 2 * n > sum(len(t) for _, _, t in all_) and _tag(x) not in NEVER}
+            if not most:
+                break
+            spared = most | set(spared)
+            all_ = list(blocks(html, spared))
+    return all_
+
+
 def host_of(url: str | None) -> str:
     m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/?#:]*)", url or "")
     return m[1].lower() if m else ""
@@ -148,7 +192,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple, list[int]] = {}
             for page, url, html in zip(*(part.column(k).to_pylist() for k in range(3))):
                 seen: dict[tuple, list[int]] = {}
-                for path, out, text in blocks(html or ""):
+                for path, out, text in page_blocks(html or ""):
                     x = seen.setdefault((path, out, _hash(path, text) if text else 0), [0, 0])
                     x[0] += 1
                     x[1] += len(text)
@@ -179,35 +223,51 @@ def templates(pages: DataFrame) -> DataFrame:
     """
     keyed = pages.select(F.col("page_id").cast("string").alias("page"), "url", "html")
     tokens = scratch(keyed.mapInArrow(_occurrences, _STATS_DDL).groupBy("host", "path", "out", "token").agg(F.sum("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector"), F.sum("chars").alias("chars"), F.sum("times").alias("times")), "html-tokens")
-    tags = tokens.where("token = 0").groupBy("host", F.col("path").alias("container")).agg(F.max("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector"), F.sum("times").alias("times"))
-    texts = tokens.where("token <> 0 and not out")
-    by_path = texts.groupBy("host", "path").agg(F.sum("chars").alias("chars"))
+    tags = tokens.where("token = 0").groupBy("host", F.col("path").alias("container")).agg(F.sum("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector"), F.sum("times").alias("times"))
+    texts = tokens.where("token <> 0")
+    inside = F.expr("path = container or startswith(path, container || '/')")
+    pairs = scratch(texts.where("pages > 1").join(tags.drop("times"), ["host", "vector", "pages"]).where(inside).select("host", "container", "path", "out", "token", "pages", "chars"), "html-pairs")
+    by_path = scratch(texts.groupBy("host", "path", "out").agg(F.sum("chars").alias("chars")), "html-paths")
+    spared = _spared(by_path, pairs, tags)
+    open_ = F.expr("not out or spared is not null and forall(above, x -> not startswith(element_at(split(x, '/'), -1), '!') or array_contains(spared, x))")
+    by_path, pairs = (x.join(spared, "host", "left").withColumn("above", _above("path")).where(open_).drop("above", "spared") for x in (by_path, pairs))
+    by_path = by_path.groupBy("host", "path").agg(F.sum("chars").alias("chars"))
     # each container above a path holds its text; paths are few a host, whatever its pages
     whole = by_path.withColumn("container", F.explode(_above("path"))).groupBy("host", "container").agg(F.sum("chars").alias("whole"))
-    inside = F.expr("path = container or startswith(path, container || '/')")
-    pairs = texts.where("pages > 1").join(tags.drop("times"), ["host", "vector", "pages"]).where(inside)
     varied = pairs.groupBy("host", "container").agg(F.sum("chars").alias("same")).join(whole, ["host", "container"]).where("same * 4 <= whole * 3").select("host", "container")
     steady = scratch(pairs.join(varied, ["host", "container"], "left_semi").select("host", "path", "token", "pages", "chars").distinct(), "html-steady")
     fixed = steady.where(F.col("pages") >= MIN_PAGES).groupBy("host").agg(F.collect_set("token").alias("fixed"))
     left = by_path.unionByName(steady.select("host", "path", (-F.col("chars")).alias("chars"))).groupBy("host", "path").agg(F.sum("chars").alias("varying"))
     held = left.withColumn("container", F.explode(_above("path"))).groupBy("host", "container").agg(F.sum("varying").alias("varying"))
     last = F.element_at(F.split("container", "/"), -1)
-    kind = F.substring_index(last, ".", 1)
+    kind = F.ltrim(F.substring_index(last, ".", 1), F.lit("!"))
     depth = F.size(F.split("container", "/"))
     all_ = held.groupBy("host").agg(F.max("varying").alias("whole"))
     semantic = F.when(kind.isin(*MAIN), 1).otherwise(0)
     box = kind.isin(*BOXES) & (F.col("times") <= F.col("pages")) & (F.col("varying") * 20 >= F.col("whole") * 19)
     ranked = held.join(all_, "host").join(tags.select("host", "container", "pages", "times"), ["host", "container"]).where("varying > 0 and varying * 2 >= whole").where((semantic == 1) | box)
     best = ranked.groupBy("host").agg(F.max(F.struct(semantic.alias("semantic"), F.when(semantic == 1, -depth).otherwise(depth).alias("depth"), F.col("varying"), F.col("container"))).alias("best"))
-    return best.join(fixed, "host", "left").select("host", F.col("best.container").alias("container"), (F.col("best.semantic") == 1).alias("semantic"), "fixed")
+    return best.join(fixed, "host", "full").join(spared, "host", "full").select("host", F.col("best.container").alias("container"), (F.col("best.semantic") == 1).alias("semantic"), "fixed", "spared")
 
 
-def main_text(html: str, container: str | None = None, semantic: bool = False, fixed: set[int] = frozenset()) -> str:
+def _spared(by_path: DataFrame, pairs: DataFrame, tags: DataFrame) -> DataFrame:
+    """host -> the paths of named out elements that hold most of its varying text, where no article or main element has text; known from MIN_PAGES pages on."""
+    steady = pairs.select("host", "path", "out", "token", "chars").distinct()
+    moving = by_path.unionByName(steady.select("host", "path", "out", (-F.col("chars")).alias("chars"))).groupBy("host", "path").agg(F.sum("chars").alias("chars"), F.min("out").alias("out"))
+    held = moving.withColumn("container", F.explode(_above("path"))).groupBy("host", "container").agg(F.sum("chars").alias("held"))
+    hosts = moving.groupBy("host").agg(F.sum("chars").alias("total"), F.max(~F.col("out") & F.col("path").rlike(r"/(article|main)(\.|/|$)")).alias("semantic")).where("not semantic").drop("semantic")
+    last = F.element_at(F.split("container", "/"), -1)
+    named = last.startswith("!") & ~F.ltrim(F.substring_index(last, ".", 1), F.lit("!")).isin(*NEVER)
+    most = held.where(named).join(hosts, "host").where("held * 2 > total").join(tags.where(F.col("pages") >= MIN_PAGES).select("host", "container"), ["host", "container"], "left_semi")
+    return most.groupBy("host").agg(F.collect_set("container").alias("spared"))
+
+
+def main_text(html: str, container: str | None = None, semantic: bool = False, fixed: set[int] = frozenset(), spared: set[str] = frozenset()) -> str:
     """Blocks in the main container without the template's texts, in page order, one a line.
 
     A heading of the template stays where the page's own text follows it; a page of nothing but template keeps it.
     """
-    all_ = [(p, t) for p, out, t in blocks(html) if t and not out]
+    all_ = [(p, t) for p, out, t in page_blocks(html, spared) if t and not out]
     inside = [(p, t) for p, t in all_ if p == container or p.startswith(f"{container}/")] if container is not None else []
     if not inside or not semantic and any(_is_main(p) for p, _ in all_):
         inside = [(p, t) for p, t in all_ if _is_main(p)] or all_
@@ -216,6 +276,10 @@ def main_text(html: str, container: str | None = None, semantic: bool = False, f
     return "\n".join(t for _, t in inside) if all(same) else "\n".join(own)
 
 
+def _tag(path: str) -> str:
+    return path.rsplit("/", 1)[-1].lstrip("!").split(".", 1)[0]
+
+
 def _is_main(path: str) -> bool:
     return any(s.split(".", 1)[0] in MAIN for s in path.split("/"))
 
@@ -227,15 +291,15 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            ids, urls, htmls, boxes, semantic, fixed = (part.column(k).to_pylist() for k in range(6))
-            yield batch_of(_OUT, [ids, urls, [main_text(h or "", c, bool(s), set(f or ())) for h, c, s, f in zip(htmls, boxes, semantic, fixed)]])
+            ids, urls, htmls, boxes, semantic, fixed, spared = (part.column(k).to_pylist() for k in range(7))
+            yield batch_of(_OUT, [ids, urls, [main_text(h or "", c, bool(s), set(f or ()), set(x or ())) for h, c, s, f, x in zip(htmls, boxes, semantic, fixed, spared)]])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and main text of every row. The pages meet their host's template in a join that Spark may split where a host is hot."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/?#:]*)", 1), F.lit("")))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    joined = keyed.join(templates(pages), "host", "left").select("page_id", "url", "html", "container", "semantic", "fixed")
+    joined = keyed.join(templates(pages), "host", "left").select("page_id", "url", "html", "container", "semantic", "fixed", "spared")
     return joined.mapInArrow(_extract, "page_id long, url string, text string")
 
 

@@ -476,6 +476,25 @@ def test_long_class_lists_and_deep_pages_lose_nothing(spark):
     assert max(len(p) for p, _, _ in html_template.blocks(page(1) + deep(1))) < (html_template.STEP + 18) * (html_template.DEPTH + 3)
 
 
+WRAPPERS = ["<div class='layout with-sidebar'>", "<div id=search-page>", "<div class='post share-enabled'>", "<div class=has-header>", "<div class=sidebar>", "<form id=whole>", "<span class=ad>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_of_the_text_stay(spark, wrapper):
+    end = f"</{wrapper[1:].split()[0].rstrip('>')}>"
+    body = lambda k: f"<h1>Title {k}</h1><p>the words of page {k} and more of them</p><div class=comment-list>one said {k}</div>"
+    page = lambda k, a, b: f"<html><body><div class=site-footer>Our site</div>{wrapper}{a}{body(k)}{b}{end}<nav>Other page {k}</nav></body></html>"
+    want = {k: f"Title {k}\nthe words of page {k} and more of them" for k in range(5)}
+    assert texts_of(html_pages(spark, *(page(k, "<article>", "</article>") for k in range(5)))) == want
+    assert html_template.main_text(page(0, "<main>", "</main>")) == want[0]
+    if not wrapper.startswith("<span"):
+        assert texts_of(html_pages(spark, *(page(k, "<div class=text>", "</div>") for k in range(5)))) == want
+
+
+def test_articles_among_comments_are_out():
+    assert html_template.main_text("<article>a<section id=comments><article>b</article></section></article>") == "a"
+
+
 # packing
 
 
