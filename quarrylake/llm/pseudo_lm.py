@@ -2,7 +2,8 @@
 
 Every word is predicted from the words on both sides: a network with a window of two words to either side (class
 embeddings for each place, a hidden layer, a softmax over word classes) gives the class of the masked word, and the
-corpus counts give the word inside its class. A document's score is the sum of these conditional log-probabilities.
+corpus counts give the word inside its class. The counts of all words stay a table: the VOCABULARY most frequent are
+known to every task, the others' counts are joined to the documents' words. A document's score is the sum of these conditional log-probabilities.
 
 Everything is learned from all documents: words are counted over the whole corpus; the network is trained in numpy by
 every task on all of its words, starting from the same parameters, and the tasks' parameters are averaged by their
@@ -46,10 +47,16 @@ class Vocabulary:
         own = np.array([i if i < OWN else suffix_class(w) for i, w in enumerate(words)], np.int64)
         self.cls = np.r_[own, np.arange(CLASSES)]
         n = np.r_[counts.astype(float), rest_words / np.maximum(rest_types, 1)]
-        total = np.maximum(class_words, 1.0)
+        total = self.totals = np.maximum(class_words, 1.0)
         self.inside = np.log(np.maximum(n, 0.5) / total[self.cls])
         self.prior = np.log((class_words + 1.0) / (class_words.sum() + CLASSES))
 
+    #: word, n of all words of the corpus, where they are kept
+    counts: DataFrame | None = None
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "counts"}
+
     def index(self) -> dict:
         return _Index(self.words)
 
@@ -190,7 +197,9 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     class_n = rest_n.copy()
     for i, w in enumerate(named):
         class_n[i if i < OWN else suffix_class(w)] += n[i]
-    return Vocabulary(list(named), n, class_n, rest_n, rest_types)
+    vocab = Vocabulary(list(named), n, class_n, rest_n, rest_types)
+    vocab.counts = counts
+    return vocab
 
 
 _PARTS = pa.schema([("task", pa.int32()), ("n", pa.int64()), ("net", pa.binary())])
@@ -235,26 +244,59 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 1) -> Network:
     return net
 
 
-_SCORES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_prob", pa.float64()), ("mean_log_prob", pa.float64())])
+_SCORES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_prob", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))])
 
 
 def score(docs: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
-    """doc_id, n_words, log_prob (sum over all words) and its mean, per row."""
+    """doc_id, n_words, log_prob (sum over all words) and its mean, per row.
+
+    A word outside the vocabulary is first scored by its class's mean count; the join then puts its own count there. A
+    word that the counts do not have keeps the mean.
+    """
+    known, means = len(vocab.words), vocab.inside[len(vocab.words) :]
+    total = F.array(*[F.lit(float(x)) for x in vocab.totals])
+    mean = F.array(*[F.lit(float(x)) for x in means])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = vocab.index()
+        from pyspark import TaskContext
+
+        index, row = vocab.index(), TaskContext.get().partitionId() << 33
         for ids, texts in id_text_rows(batches):
-            found = [np.fromiter(map(index.__getitem__, ws), np.int64, len(ws)) for ws in map(words_of, texts)]
+            words = [words_of(t) for t in texts]
+            found = [np.fromiter(map(index.__getitem__, ws), np.int64, len(ws)) for ws in words]
             n = np.array([len(f) for f in found])
-            total = np.zeros(len(found))
+            sums = np.zeros(len(found))
             full = [f for f in found if len(f)]
             if full:
                 context, target = windows([vocab.cls[f] for f in full])
                 each = net.log_prob(context, target) + vocab.inside[np.concatenate(full)]
-                total[n > 0] = np.add.reduceat(each, np.r_[0, np.cumsum(n[n > 0])[:-1]])
-            yield batch_of(_SCORES, [ids, n, total, [t / k if k else None for t, k in zip(total.tolist(), n.tolist())]])
+                sums[n > 0] = np.add.reduceat(each, np.r_[0, np.cumsum(n[n > 0])[:-1]])
+            rare = [[{"word": w, "k": k} for w, k in Counter([ws[x] for x in np.flatnonzero(f >= known)]).items()] for ws, f in zip(words, found)]
+            yield batch_of(_SCORES, [range(row, row + len(ids)), ids, n, sums, rare])
+            row += len(ids)
+
+    # written once, so that both sides of the join see the same row numbers
+    rows = scratch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, n_words long, log_prob double, rare array<struct<word: binary, k: long>>"), "lm-rows")
+    if vocab.counts is not None:
+        last = vocab.counts.mapInArrow(_classes(vocab), "word binary, n long, cls int")
+        gain = F.col("k") * (F.log(F.col("n").cast("double")) - F.log(F.get(total, F.col("cls"))) - F.get(mean, F.col("cls")))
+        own = rows.select("row", F.inline("rare")).join(last, "word").groupBy("row").agg(F.sum(gain).alias("gain"))
+        rows = rows.drop("rare").join(own, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("gain", F.lit(0.0)))
+    return rows.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
+
+
+def _classes(vocab: Vocabulary):
+    """The class of each word of the counts outside the vocabulary."""
+    schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("cls", pa.int32())])
+    known = vocab.words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = [(w, n, suffix_class(w)) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if w not in known]
+            if some:
+                yield batch_of(schema, zip(*some))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, log_prob double, mean_log_prob double")
+    return run
 
 
 def op4_pseudo_lm(spark, sf_dir: str) -> DataFrame:

@@ -274,6 +274,25 @@ def test_vocabulary_counts_everything(spark, small):
     assert list(vocab.words) == top[: pseudo_lm.VOCABULARY]
 
 
+def test_words_outside_the_vocabulary_have_their_own_counts(spark, small, monkeypatch):
+    monkeypatch.setattr(pseudo_lm, "VOCABULARY", 100)
+    docs = table(spark, small, "documents").limit(60).localCheckpoint()
+    vocab = pseudo_lm.vocabulary(docs)
+    net = pseudo_lm.train(docs, vocab)
+    texts = [(r["doc_id"], pseudo_lm.words_of(r["text"])) for r in docs.collect()]
+    count = Counter(w for _, ws in texts for w in ws)
+    index = vocab.index()
+    of_class = Counter()
+    for w, n in count.items():
+        of_class[vocab.cls[index[w]]] += n
+    got = {r["doc_id"]: r["log_prob"] for r in pseudo_lm.score(docs, vocab, net).collect()}
+    for i, ws in texts:
+        if ws:
+            context, target = pseudo_lm.windows([vocab.cls[np.array([index[w] for w in ws])]])
+            want = net.log_prob(context, target).sum() + sum(np.log(count[w] / of_class[c]) for w, c in zip(ws, target))
+            assert abs(got[i] - want) < 1e-6 * abs(want)
+
+
 # mixing
 
 
