@@ -6,12 +6,13 @@ is ranked inside its source by random odds over inclusion odds, (u/(1-u)) / (p/(
 ranked first, as many as fill the words that the certain copies left open. Longer documents have a somewhat greater
 p, so the sample is one of fixed size (in words) with unequal probabilities.
 
-The cut is found without sorting a source: ranks are counted in BUCKETS buckets a source, and only the bucket that
-the cut falls into is looked at row by row.
+The cut is found without sorting a source: ranks are counted in BUCKETS buckets a source, the bucket that the cut falls
+into is counted again in BUCKETS parts, and only the rows of the part with the cut are looked at one by one.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a null id draws by its
-source alone; rows of one id share their draw and so their fate; with no words at all every target is 0; sizes of 0
-are never drawn; an empty table gives an empty result; other columns are kept by `mix` and ignored otherwise.
+source and text; rows of one id share their draw and so their fate, as do equal rows without an id; sizes of 0 are never
+drawn and leave the shares of the others as they are; a source without words, and every source where there are no words
+at all, has the target 0; an empty table gives an empty result; other columns are kept by `mix` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -28,14 +29,15 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: Column, source: Column) -> Column:
+def uniform(doc_id: Column, source: Column, text: Column) -> Column:
     """In (0, 1), from 52 bits of an MD5: the same on every engine and rerun."""
-    key = F.concat_ws("|", F.lit("mix"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.when(doc_id.isNull(), F.coalesce(source, F.lit(""))).otherwise(F.lit("")))
+    unnamed = F.concat_ws("|", F.lit("null"), F.coalesce(source, F.lit("")), F.coalesce(text, F.lit("")))
+    key = F.concat_ws("|", F.lit("mix"), F.coalesce(doc_id.cast("string"), unnamed))
     return (F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
 def _level(df: DataFrame, by: list[str], budget: Column, cap: Column, weight: Column, out: str) -> DataFrame:
-    """Shares budget by weight with a cap each, the excess reshared until none is above. Rows in order of cap/weight are capped as long as the level that the rest would get is above them."""
+    """Shares budget by weight with a cap each, the excess reshared until none is above. Rows in order of cap/weight are capped as long as the level that the rest would get is above them. Weights are above 0; a row with a cap of 0 comes first and is capped, so its weight changes no other's share."""
     over = Window.partitionBy(*by).orderBy(F.col("_cap") / F.col("_weight"), "_cap", "_weight").rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_cap", cap).withColumn("_weight", weight)
     df = df.withColumn("_done", F.coalesce(F.sum("_cap").over(over), F.lit(0))).withColumn("_used", F.coalesce(F.sum("_weight").over(over), F.lit(0)))
@@ -60,11 +62,21 @@ def size_class(size: Column) -> Column:
 
 
 def _rank(u: Column, p: Column) -> Column:
-    return (u / (F.lit(1.0) - u)) / (p / (F.lit(1.0) - p))
+    return F.try_divide(u / (F.lit(1.0) - u), p / (F.lit(1.0) - p))
 
 
 def _bucket(q: Column) -> Column:
-    return F.floor(q / (q + F.lit(1.0)) * F.lit(BUCKETS)).cast("int")
+    """One of BUCKETS * BUCKETS steps of the rank; its quotient by BUCKETS is the wider bucket."""
+    return F.floor(q / (q + F.lit(1.0)) * F.lit(BUCKETS * BUCKETS)).cast("int")
+
+
+def _edge(draws: DataFrame, need: DataFrame, bucket: Column) -> DataFrame:
+    """source, the bucket that the cut falls into and the words that are left open there; need has (_s, room)."""
+    counts = draws.withColumn("_at", bucket).groupBy("source", "_at").agg(F.sum("size").alias("_words"))
+    running = counts.withColumn("_after", F.sum("_words").over(Window.partitionBy("source").orderBy("_at")))
+    reached = running.join(need, running["source"].eqNullSafe(F.col("_s"))).where(F.col("_after") - F.col("_words") < F.col("room"))
+    last = reached.groupBy("source").agg(F.max(F.struct("_at", "_after", "_words", "room")).alias("e"))
+    return last.select(F.col("source").alias("_s"), F.col("e._at").alias("_b"), (F.col("e.room") - (F.col("e._after") - F.col("e._words"))).alias("room"))
 
 
 def decisions(sizes: DataFrame, **how) -> DataFrame:
@@ -77,26 +89,24 @@ def decisions(sizes: DataFrame, **how) -> DataFrame:
     goal = targets(sources, **how)
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     shared = classes.join(goal, same(classes, goal)).drop(goal["source"])
-    shared = _level(shared, ["source"], F.col("target"), F.col("class_size") * F.lit(how.get("most", MOST)), F.col("class_size") * (F.col("class") + F.lit(8)), "wanted")
+    shared = _level(shared, ["source"], F.col("target"), F.col("class_size") * F.lit(how.get("most", MOST)), F.greatest("class_size", F.lit(1)) * (F.col("class") + F.lit(8)), "wanted")
     copies = F.when(F.col("class_size") > 0, F.least(F.col("wanted") / F.col("class_size"), F.lit(how.get("most", MOST)))).otherwise(F.lit(0.0))
     plan = shared.withColumn("_e", copies).withColumn("certain", F.floor("_e").cast("int")).withColumn("p", F.col("_e") - F.floor("_e")).drop("_e", "wanted")
     left = F.col("target") - F.sum(F.col("certain") * F.col("class_size")).over(Window.partitionBy("source"))
-    plan = plan.withColumn("open", left)
+    plan = scratch(plan.withColumn("open", left), "mix-classes")  # small, and read by all that follows
 
     draws = sizes.where("size > 0")
     draws = draws.join(plan.select(F.col("source").alias("_s"), F.col("class").alias("_c"), "p").where("p > 0"), draws["source"].eqNullSafe(F.col("_s")) & (draws["class"] == F.col("_c")))
-    draws = draws.select("source", "size", F.hash("u").alias("_salt"), _rank(F.col("u"), F.col("p")).alias("q")).withColumn("bucket", _bucket(F.col("q")))
-    counts = draws.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("source").orderBy("bucket")
-    running = counts.withColumn("after", F.sum("words").over(upto))
-    need = plan.groupBy(F.col("source").alias("_s")).agg(F.max("open").alias("open"))
-    edge = running.join(need, running["source"].eqNullSafe(F.col("_s"))).drop("_s").where(F.col("after") - F.col("words") < F.col("open")).groupBy("source").agg(F.max(F.struct("bucket", "after", "words", "open")).alias("e"))
-    edge = edge.select(F.col("source").alias("_s"), F.col("e.bucket").alias("_b"), (F.col("e.open") - (F.col("e.after") - F.col("e.words"))).alias("_room"))
-    inside = draws.join(edge, draws["source"].eqNullSafe(F.col("_s")) & (draws["bucket"] == F.col("_b")))
+    draws = draws.select("source", "size", _rank(F.col("u"), F.col("p")).alias("q")).withColumn("bucket", _bucket(F.col("q")))
+    need = plan.groupBy(F.col("source").alias("_s")).agg(F.max("open").alias("room"))
+    wide = scratch(_edge(draws, need, F.floor(F.col("bucket") / BUCKETS).cast("int")), "mix-wide")
+    near = draws.join(wide.select("_s", "_b"), draws["source"].eqNullSafe(F.col("_s")) & (F.floor(draws["bucket"] / BUCKETS) == F.col("_b"))).drop("_s", "_b")
+    edge = scratch(_edge(near, wide.select("_s", "room"), F.col("bucket")), "mix-edge")
+    inside = near.join(edge, near["source"].eqNullSafe(F.col("_s")) & (near["bucket"] == F.col("_b")))
     step = Window.partitionBy("source").orderBy("q").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     ties = Window.partitionBy("source", "q")
     # the last rank whose words bring the source nearer to its target than leaving them out
-    taken = inside.withColumn("_sum", F.sum("size").over(step)).withColumn("_tie", F.sum("size").over(ties)).where(F.col("_sum") - F.col("_tie") / F.lit(2.0) <= F.col("_room"))
+    taken = inside.withColumn("_sum", F.sum("size").over(step)).withColumn("_tie", F.sum("size").over(ties)).where(F.col("_sum") - F.col("_tie") / F.lit(2.0) <= F.col("room"))
     last = taken.groupBy("source").agg(F.max("q").alias("cut_rank"))
     cut = edge.join(last, last["source"].eqNullSafe(F.col("_s")), "left").select("_s", F.col("_b").alias("cut_bucket"), "cut_rank")
     return plan.join(cut, plan["source"].eqNullSafe(F.col("_s")), "left").drop("_s", "open", "class_size")
@@ -112,7 +122,7 @@ def copies(u: Column) -> Column:
 
 def sized(docs: DataFrame) -> DataFrame:
     size = words(F.col("text"))
-    return docs.select(F.col("doc_id"), F.col("source"), size.alias("size"), uniform(F.col("doc_id"), F.col("source")).alias("u")).withColumn("class", size_class(F.col("size")))
+    return docs.select(F.col("doc_id"), F.col("source"), size.alias("size"), uniform(F.col("doc_id"), F.col("source"), F.col("text")).alias("u")).withColumn("class", size_class(F.col("size")))
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
@@ -131,7 +141,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     size = words(F.col("text"))
     full = docs.withColumn("__mix_size", size).withColumn("__mix_of", size_class(F.col("__mix_size")))
     joined = full.join(plan, full["source"].eqNullSafe(F.col("__mix_source")) & (F.col("__mix_of") == F.col("__mix_class")), "left")
-    p, u = F.col("__mix.p"), uniform(F.col("doc_id"), F.col("source"))
+    p, u = F.col("__mix.p"), uniform(F.col("doc_id"), F.col("source"), F.col("text"))
     q = _rank(u, p)
     drawn = (p > 0) & ((_bucket(q) < F.col("__mix.cut_bucket")) | ((_bucket(q) == F.col("__mix.cut_bucket")) & (q <= F.col("__mix.cut_rank"))))
     n = F.when(F.col("__mix_size") > 0, F.col("__mix.certain") + F.coalesce(drawn, F.lit(False)).cast("int")).otherwise(F.lit(1))
@@ -146,7 +156,7 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
 OP5_SQL = r"""
 WITH rows AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         (CAST(('0x' || substr(md5(concat('mix|', coalesce(CAST(doc_id AS VARCHAR), 'null'), '|', CASE WHEN doc_id IS NULL THEN coalesce(source, '') ELSE '' END)), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+         (CAST(('0x' || substr(md5(concat('mix|', coalesce(CAST(doc_id AS VARCHAR), concat('null|', coalesce(source, ''), '|', coalesce(text, ''))))), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM documents),
 sized AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS class FROM rows),
 classes AS (SELECT source, class, CAST(sum(size) AS BIGINT) AS class_size FROM sized GROUP BY ALL),

@@ -85,6 +85,33 @@ def test_mix_keeps_columns(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+MIXES = {
+    "null among words": [(1, "a b c", "x"), (2, None, "x"), (3, "d e", "y")],
+    "a source without words": [(1, "a b c", "x"), (2, "", "y"), (3, " \n", "y"), (4, "d", None)],
+    "no words": [(1, None, "x"), (2, "", None), (None, " ", "y")],
+    "ids lacking or repeated": [(None, "a b", "x"), (None, "a b c d", "x"), (None, None, "x"), (4, "p q r", "y"), (4, "p q r", "y"), (4, "s", None)],
+    "nothing": [],
+}
+
+
+@pytest.mark.parametrize("case", MIXES)
+def test_mixing_edges_against_sql(spark, case):
+    import duckdb
+
+    from quarrylake.llm.queries import ORACLE_SQL
+
+    rows = MIXES[case]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    if rows:
+        con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    want = con.execute(ORACLE_SQL["op5_mixing"]).fetchall()
+    cols = [c[0] for c in con.description]
+    found = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2))
+    assert sorted(str(tuple(r)) for r in found.select(*cols).collect()) == sorted(map(str, want))
+    assert len(want) == len(rows) and mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).count() >= sum(not (t or "").split() for _, t, _ in rows)
+
+
 def test_ngram_nulls(docs):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(docs).collect()}
     assert (2, 0, 2) in got and (3, 0, 3) in got and (6, 56, 1) in got and (7, 1, 7) in got
