@@ -6,14 +6,17 @@ its own (also a boundary that content alone decides). A chunk of MIN_LINES lines
 again anywhere in the corpus is removed from all places but its first (lowest id, then place). Hashes only nominate:
 the bytes of all places of a chunk are compared before anything is removed, and a chunk whose places differ stays.
 
-dedup_lines() removes chunks only. dedup_passages(), the query, also removes every run of adjacent lines of LONG_WORDS
-words or more together that stands at an earlier place (id, then line), wherever chunks end. The least such runs from
-each line on and up to each line are keyed like chunks: those inside a repeated run cover all of its lines. Where a
-copy overlaps its own first place, the lines of the first place stay.
+dedup_lines() removes chunks only. dedup_passages(), the query and the pipeline's stage, also removes every run of
+adjacent lines of LONG_WORDS words or more together that stands at an earlier place (id, then line), wherever chunks
+end. The least such runs from each line on and up to each line are keyed like chunks: those inside a repeated run cover
+all of its lines. Where a copy overlaps its own first place, the lines of the first place stay.
+
+A place belongs to a row by its id and a digest of its text, so rows that share an id but not their text are told apart,
+and only rows whose bytes were searched lose lines. Rows without an id come last in order, by their text's digest.
 
 Defined cases: a null text has no lines and stays null; a text all of whose chunks go becomes empty; a chunk of white
-space only is never removed; repeated rows of one id share their decisions and stay alike; a row with a null id is
-left as it is; all columns of the input are kept, whatever their names; an empty table gives an empty result.
+space only is never removed; rows equal in id and text are one place, share their decisions and stay alike; all columns
+of the input are kept, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import BoundedBloom, batch_of, id_text_rows, scratch
 
@@ -92,20 +95,27 @@ def passages(text: str | None) -> Iterator[tuple[int, int, bytes, bytes]]:
 
 
 Spans = Callable[[str | None], Iterator[tuple[int, int, bytes, bytes]]]
-_PLACES = pa.schema([("id", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("key", pa.binary())])
+_PLACES = pa.schema([("id", pa.int64()), ("row", pa.binary()), ("a", pa.int32()), ("b", pa.int32()), ("key", pa.binary())])
 _BYTES = pa.schema([("key", pa.binary()), ("bytes", pa.binary())])
 
 
 def _places(spans: Spans):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in id_text_rows(batches):
-            out = [(i, a, b, key) for i, t in zip(ids, texts) for a, b, key, _ in spans(t)]
-            if out:
-                yield batch_of(_PLACES, zip(*out))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                ids, texts, rows = (batch.slice(at, 512).column(k).to_pylist() for k in range(3))
+                out = [(i, row, a, b, key) for i, t, row in zip(ids, texts, rows) for a, b, key, _ in spans(t)]
+                if out:
+                    yield batch_of(_PLACES, zip(*out))
 
     return run
 
 
+def _row(docs: DataFrame) -> Column:
+    """What tells a row from others: its text's digest, and a mark of its id."""
+    return F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.col("text")).cast("binary")))
+
+
 def _nominated(bloom: BoundedBloom, spans: Spans):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in id_text_rows(batches, 4096):
@@ -126,17 +136,19 @@ def _nominated(bloom: BoundedBloom, spans: Spans):
 
 
 def cuts(docs: DataFrame, spans: Spans = removable) -> DataFrame:
-    """id -> the line ranges to remove, array<struct<a, b>>, for the ids that lose any."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    places = scratch(rows.mapInArrow(_places(spans), "id long, a int, b int, key binary"), "line-places")
-    repeated = scratch(places.groupBy("key").agg(F.min(F.struct("id", "a")).alias("first"), F.max(F.struct("id", "a")).alias("last")).where("first <> last").select("key", F.col("first.id").alias("first_id"), F.col("first.a").alias("first_a")), "line-repeated")
+    """id, row (as _row) -> the line ranges to remove, array<struct<a, b>>, for the rows that lose any."""
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row(docs).alias("row"))
+    places = scratch(rows.mapInArrow(_places(spans), "id long, row binary, a int, b int, key binary"), "line-places")
+    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row", "a")
+    repeated = scratch(places.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", F.col("first.row").alias("first_row"), F.col("first.a").alias("first_a")), "line-repeated")
     bloom = BoundedBloom.of(repeated, "key")
-    agreed = rows.mapInArrow(_nominated(bloom, spans), "key binary, bytes binary").groupBy("key").agg((F.min("bytes") == F.max("bytes")).alias("same")).where("same").select("key")
-    sure = repeated.join(agreed, "key")
-    gone = places.join(sure, "key").where("id <> first_id or a <> first_a")
+    agreed = rows.select("doc_id", "text").mapInArrow(_nominated(bloom, spans), "key binary, bytes binary").groupBy("key").agg((F.min("bytes") == F.max("bytes")).alias("same")).where("same").select("key")
+    # a table of its own: places meet it in a join of two exchanges, which Spark broadcasts if small and splits where a chunk is hot
+    sure = scratch(repeated.join(agreed, "key"), "line-sure")
+    gone = places.join(sure, "key").where("row <> first_row or a <> first_a")
     # a copy that overlaps its first place begins after it; equal bytes have equally many lines
-    gone = gone.withColumn("a", F.when(F.col("id") == F.col("first_id"), F.greatest("a", F.col("first_a") + F.col("b") - F.col("a"))).otherwise(F.col("a")))
-    return gone.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("cuts"))
+    gone = gone.withColumn("a", F.when(F.col("row") == F.col("first_row"), F.greatest("a", F.col("first_a") + F.col("b") - F.col("a"))).otherwise(F.col("a")))
+    return gone.groupBy("row").agg(F.first("id").alias("id"), F.sort_array(F.collect_set(F.struct("a", "b"))).alias("cuts"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -168,8 +180,8 @@ def _without(docs: DataFrame, cut: DataFrame) -> DataFrame:
                 kept = pa.RecordBatch.from_arrays(columns, names=kept.schema.names)
             yield kept
 
-    cut = cut.select(F.col("id").alias("__line_id"), F.col("cuts").alias("__line_cuts"))
-    joined = docs.join(cut, F.col("doc_id").cast("long") == F.col("__line_id"), "left").select(*[docs[c] for c in docs.columns], "__line_cuts")
+    cut = cut.select(F.col("row").alias("__line_row"), F.col("cuts").alias("__line_cuts"))
+    joined = docs.join(cut, _row(docs) == F.col("__line_row"), "left").select(*[docs[c] for c in docs.columns], "__line_cuts")
     return joined.mapInArrow(rebuild, schema)
 
 

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quarrylake.llm import bpe, ctph, html_template, line_dedup, mixing, ngram_join, packing, pseudo_lm, quality_gbt, secret_scan, toxicity
@@ -169,6 +170,72 @@ def test_line_dedup(spark, small):
     assert got == want and any(want[i] != t for i, t in rows)
 
 
+def plain_spans(text):
+    """Chunks and least runs that may go, by the rule as the module's docstring states it: nothing of the module but its constants."""
+    lines = text.encode().split(b"\n")
+    wide = [len(x.split()) >= line_dedup.LONG_WORDS for x in lines]
+    rolled = lambda i: [xxhash.xxh3_64_intdigest(x) for x in lines[i - 1 : i + 1]]
+    ends, start = [], 0
+    for i in range(len(lines)):
+        if wide[i]:
+            ends += [i, i + 1]
+            start = i + 1
+        elif i > start:
+            a, b = rolled(i)
+            h = (a * 0x9E3779B97F4A7C15 + b) % 2**64
+            if ((h ^ h >> 32) * 0xFF51AFD7ED558CCD % 2**64) < 2**63:
+                ends.append(i + 1)
+                start = i + 1
+    cuts = sorted({0, *ends, len(lines)})
+    out = {(a, b) for a, b in zip(cuts, cuts[1:]) if b - a >= 2 or wide[a]}
+    words = [len(x.split()) for x in lines]
+    for a in range(len(lines)):
+        for b in range(a + 1, len(lines) + 1):
+            n = sum(words[a:b])
+            if n >= 50 and (n - words[a] < 50 or n - words[b - 1] < 50):
+                out.add((a, b))
+    return {(a, b, b"\n".join(lines[a:b])) for a, b in out if b"\n".join(lines[a:b]).strip()}
+
+
+def plain_dedup(rows):
+    """What stays of each (id, text), in the order of rows."""
+    order = sorted({(i is None, i or 0, md5_of(i, t), i, t) for i, t in rows if t is not None})
+    first = {}
+    for place in order:
+        for a, b, raw in sorted(plain_spans(place[4])):
+            first.setdefault(raw, (place, a))
+    out = []
+    for i, t in rows:
+        if t is None:
+            out.append(None)
+            continue
+        me = (i is None, i or 0, md5_of(i, t), i, t)
+        gone = set()
+        for a, b, raw in plain_spans(t):
+            at, c = first[raw]
+            if (at, c) != (me, a):
+                gone |= {k for k in range(a, b) if at != me or not c <= k < c + b - a}
+        out.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone))
+    return out
+
+
+def md5_of(i, t):
+    return hashlib.md5(f"{'-' if i is None else i}|{t}".encode()).digest()
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    r = random.Random(21)
+    stock = [" ".join(f"w{r.randrange(9999)}" for _ in range(n)) for n in (0, 4, 9, 14, 20, 28, 33, 52, 61)]
+    rows = [(r.choice([1, 2, 3, None, 10 + k]), "\n".join(r.choice(stock) if r.random() < 0.8 else f"own {k} {j} words" for j in range(r.randrange(12)))) for k in range(90)]
+    shared = "\n".join([stock[7], stock[8]])
+    rows += [(200, shared), (205, shared), (205, "nothing that repeats\nin these two lines"), (None, shared), (None, shared), (7, None), rows[0]]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(4)
+    got = {x["n"]: x["text"] for x in line_dedup.dedup_passages(docs).collect()}
+    want = plain_dedup(rows)
+    assert [got[n] for n in range(len(rows))] == want
+    assert got[92] == rows[92][1] and got[91] == "" and any(a != b[1] for a, b in zip(want, rows) if b[0] is None)
+
+
 def test_chunks_resist_shifts():
     r = random.Random(0)
     lines = [f"line {r.random()}".encode() for _ in range(200)]
