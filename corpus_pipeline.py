@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrylake.llm.common import read_table, scratch
-from quarrylake.llm.line_dedup import dedup_lines
+from quarrylake.llm.line_dedup import dedup_passages
 from quarrylake.llm.mixing import mix
 from quarrylake.llm.ngram_join import keep_first
 from quarrylake.llm.packing import pack
@@ -23,10 +23,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated line chunks go from all places but the first; a document that loses all its text goes too."""
-    left = dedup_lines(docs.withColumn("__had_text", F.length("text") > 0))
+    """Repeated line chunks and runs of lines of 50 words or more go from all places but the first; a document that loses all its text goes too."""
+    left = dedup_passages(docs.withColumn("__had_text", F.length("text") > 0))
     left = left.where("not coalesce(__had_text, false) or length(text) > 0").drop("__had_text")
-    return left.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))) if "n_chars" in left.columns else left
+    if "n_chars" not in left.columns:
+        return left
+    return left.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
