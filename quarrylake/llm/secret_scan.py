@@ -1,9 +1,12 @@
 """Secret scans: multipart credential linking.
 
 Strong patterns (key assignments, access-key identifiers, long hex runs) are always reported. Weak parts (user or
-client identifiers, random-looking tokens, endpoints) are reported only when complementary parts meet: their scope
-intervals are joined inside one paragraph, and a random token counts only beside an identifier, an identifier only
-beside a secret, an endpoint only beside both.
+client identifiers, random-looking tokens, endpoints) are reported only when complementary parts meet in a scope: a
+random token counts only beside an identifier, an identifier only beside a secret, an endpoint only beside both.
+
+A scope is a paragraph, an interval of the text between blank lines. Identifiers, secrets and endpoints are intervals
+too; one sweep over all in order of their starts joins each part with the scope that holds it, so a text costs the
+sort of its parts, however many lie in one scope.
 
 Defined cases: a null text is an empty text and has no spans; a null doc_id passes through; repeated rows are
 scanned alike; columns other than the id and the text are not read, so clashing names do no harm; an empty table
@@ -14,7 +17,6 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,8 +26,6 @@ from pyspark.sql import DataFrame, functions as F
 from .common import batch_of, id_text_rows
 
 KINDS = ("assign", "access", "hex", "link_id", "link_secret", "link_endpoint")
-#: Code points that the scope of a part reaches to either side.
-REACH = 240
 MIN_ENTROPY = 3.5
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -64,36 +64,64 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def linked_spans(text: str, strong: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Weak parts whose scopes meet complementary parts. Identifiers are looked for first; tokens and endpoints only inside their scopes."""
+Span = tuple[int, int, str]
+
+
+def scopes_of(text: str) -> list[tuple[int, int]]:
+    """The paragraphs, in order."""
+    cuts = [0, *(k for m in _PARAGRAPH.finditer(text) for k in m.span()), len(text)]
+    return list(zip(cuts[::2], cuts[1::2]))
+
+
+def interval_join(scopes: list[tuple[int, int]], parts: list[Span]) -> Iterator[tuple[int, list[Span]]]:
+    """(scope's place, its parts by start) of the scopes that hold any; scopes are disjoint. One sweep over both."""
+    parts = sorted(parts)
+    at = 0
+    for k, (lo, hi) in enumerate(scopes):
+        while at < len(parts) and parts[at][0] < lo:
+            at += 1
+        start = at
+        while at < len(parts) and parts[at][0] < hi:
+            at += 1
+        if at > start:
+            yield k, parts[start:at]
+
+
+def apart(spans: list[Span], taken: list[Span]) -> list[Span]:
+    """The spans that overlap none of taken. Both are swept by start; reach is the farthest end of taken so far."""
+    spans, taken = sorted(spans), sorted(taken)
+    out, at, reach = [], 0, -1
+    for s, e, kind in spans:
+        while at < len(taken) and taken[at][0] <= s:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach <= s and not (at < len(taken) and taken[at][0] < e):
+            out.append((s, e, kind))
+    return out
+
+
+def linked_spans(text: str, strong: list[Span]) -> list[Span]:
+    """Weak parts whose scopes hold complementary parts. Tokens and endpoints are looked for only in scopes of an identifier."""
     low = text.encode("utf-8", "surrogatepass").lower()
     idents = [(m.start(1), m.end(1), "link_id") for m in _IDENT.finditer(text)] if any(h in low for h in _IDENT_HINTS) else []
-    access = [s for s in strong if s[2] == "access"]
-    if not idents and not access:
+    if not idents and not any(k == "access" for _, _, k in strong):
         return []
-    breaks = [0, *(m.start() for m in _PARAGRAPH.finditer(text)), len(text) + 1]
-    taken = sorted((s, e) for s, e, _ in strong)
-
-    def scope(s: int, e: int) -> tuple[int, int]:
-        k = bisect_left(breaks, s + 1)
-        return max(breaks[k - 1], s - REACH), min(breaks[k], e + REACH, len(text))
-
-    def free_of_strong(s: int, e: int) -> bool:
-        return not any(a < e and s < b for a, b in taken)
-
-    found: set[tuple[int, int, str]] = set()
-    secrets = [s for s in strong if s[2] in ("assign", "hex")]
-    for s, e, kind in [*idents, *access]:
-        lo, hi = scope(s, e)
-        near = [m.span() for m in _TOKEN.finditer(text, lo, hi) if not (m.start() < e and s < m.end()) and free_of_strong(*m.span()) and _random_looking(m.group())]
-        held = [x for x in secrets if lo <= x[0] and x[1] <= hi]
-        if not near and not held:
+    scopes = scopes_of(text)
+    found: list[Span] = []
+    for k, held in interval_join(scopes, [*idents, *strong]):
+        kinds = {kind for _, _, kind in held}
+        if not kinds & {"link_id", "access"}:
+            continue
+        lo, hi = scopes[k]
+        here = [x for x in held if x[2] != "link_id"]
+        names = [x for x in held if x[2] == "link_id"]
+        tokens = [(*m.span(), "link_secret") for m in _TOKEN.finditer(text, lo, hi) if _random_looking(m.group())]
+        tokens = apart(tokens, here + names)
+        if not tokens and not kinds & {"assign", "hex"}:
             continue
-        found.update((a, b, "link_secret") for a, b in near)
-        if kind == "link_id" and free_of_strong(s, e):
-            found.add((s, e, "link_id"))
-        found.update((*m.span(), "link_endpoint") for m in _ENDPOINT.finditer(text, lo, hi) if free_of_strong(*m.span()))
-    return list(found)
+        found += tokens + apart(names, here)
+        found += apart([(*m.span(), "link_endpoint") for m in _ENDPOINT.finditer(text, lo, hi)], here)
+    return found
 
 
 def scan_text(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
