@@ -3,7 +3,8 @@
 Documents become token ids and are cut into pieces of at most CAPACITY tokens. Full pieces are sequences at once. The
 rest is packed best fit, longest first, inside each partition; bins that are nearly full leave as sequences, and the
 others go up a tree: at each level the underfull bins of FAN_IN groups are items for the next round of best fit,
-until one group is left. What goes up is one row a bin, and a partition leaves few bins that are not nearly full.
+until one group is left. What goes up is one row a bin. A group of more than RUN bins is split by hash, so a task holds
+RUN rows or so at any size; the top is packed again in other splits until a round saves less than a hundredth of its bins.
 
 Defined cases: a null text is an empty text, whose only id is the end mark 0; a null id passes through; rows of one
 id are packed as documents of their own; ties are broken by arrival; other columns are not read; an empty table
@@ -23,9 +24,7 @@ from .bpe import default_path, word_bpe
 from .common import batch_of, id_text_rows, read_table, scratch
 
 CAPACITY, NEARLY, FAN_IN = 2048, 2040, 8
-#: Underfull bins that a group sends up at most, the emptiest first; the others leave as sequences as they are.
-UP = 4096
-#: Pieces that one round of best fit holds at a time: a partition of more is packed in runs of as many.
+#: Pieces or bins that one round of best fit holds at a time: a partition of more is packed in runs, a group in parts of as many.
 RUN = 200_000
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("bin", pa.int64()), ("offset", pa.int64()), ("up", pa.bool_())])
@@ -58,7 +57,7 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], l
 
 def rising(fill: list[int]) -> set[int]:
     """The bins that go up a level."""
-    return set(sorted((b for b, f in enumerate(fill) if f < NEARLY), key=lambda b: fill[b])[:UP])
+    return {b for b, f in enumerate(fill) if f < NEARLY}
 
 
 def _pack(path: str):
@@ -131,20 +130,28 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     groups = pieces.agg(F.max(F.shiftright("bin", 32))).first()[0]  # one number: the last partition's
     if groups is None:
         return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
-    moved = None
-    left, level, width = bins.withColumn("grp", F.shiftright("bin", 32)), 0, groups + 1
-    while width > 1 or level == 0:
-        left = left.withColumn("grp", F.floor(F.col("grp") / FAN_IN))
+    moved, level, width, more = None, 0, groups + 1, True
+    left = bins
+    while more:
+        # the group of a bin at this level, from the partition that made it; groups of more than RUN bins are split
         width = -(-width // FAN_IN)
-        step = scratch(left.groupBy("grp").applyInArrow(_merge_bins, _MOVES), f"bins-{level}")
+        group = F.shiftright("bin", 32)
+        for _ in range(level + 1):
+            group = F.floor(group / FAN_IN)
+        left = left.select("bin", "fill", group.alias("tree"))
+        size = left.groupBy(F.col("tree").alias("_tree")).agg(F.count("*").alias("_n"))
+        part = F.pmod(F.xxhash64("bin", F.lit(level)), F.ceil(F.col("_n") / RUN))
+        step = left.join(size, F.col("tree") == F.col("_tree")).select("bin", "fill", "tree", part.alias("grp"))
+        step = scratch(step.groupBy("tree", "grp").applyInArrow(_merge_bins, _MOVES), f"bins-{level}")
         if moved is None:
             moved = step.select("bin", "into", "base")
         else:
             there = step.select(F.col("bin").alias("_from"), F.col("into").alias("_to"), F.col("base").alias("_more"))
             moved = scratch(moved.join(there, moved["into"] == F.col("_from"), "left").select("bin", F.coalesce("_to", "into").alias("into"), (F.col("base") + F.coalesce("_more", F.lit(0))).alias("base")), f"moved-{level}")
-        left = step.where("up").groupBy(F.col("into").alias("bin")).agg(F.max("fill").alias("fill")).withColumn("grp", F.shiftright("bin", 32))
-        for _ in range(level + 1):
-            left = left.withColumn("grp", F.floor(F.col("grp") / FAN_IN))
+        if width == 1:
+            before, after = step.agg(F.count("*"), F.count_distinct("into")).first()
+            more = before > RUN and (before - after) * 100 >= before
+        left = step.where("up").groupBy(F.col("into").alias("bin")).agg(F.max("fill").alias("fill"))
         level += 1
     placed = open_.join(moved.withColumnRenamed("bin", "_bin"), F.col("bin") == F.col("_bin")).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("into").alias("sequence_id"), (F.col("offset") + F.col("base")).alias("offset"))
     return pieces.where("not up").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset").unionByName(placed)

@@ -656,6 +656,21 @@ def test_packing_round_trip(spark, small):
     assert len(bins) <= 1.02 * sum(r["length"] for r in rows) / 2048 + 1
 
 
+def test_large_groups_are_split_and_meet_again(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RUN", 40)
+    r = random.Random(6)
+    docs = spark.createDataFrame([(k, " a" * r.choice([150, 300, 700, 1100])) for k in range(600)], "doc_id long, text string").repartition(12)
+    rows = packing.pack(docs).collect()
+    bins = defaultdict(list)
+    for x in rows:
+        bins[x["sequence_id"]].append((x["offset"], x["length"]))
+    for b in bins.values():
+        ends = [0, *(o + n for o, n in sorted(b))]
+        assert [o for o, _ in sorted(b)] == ends[:-1] and ends[-1] <= 2048
+    whole = len(packing.best_fit([x["length"] for x in rows])[2])
+    assert len(rows) == 600 and len(bins) <= 1.05 * whole
+
+
 def test_best_fit():
     at, offset, fill = packing.best_fit([5, 4, 3, 3, 2, 1], 6)
     assert sorted(fill) == [6, 6, 6] and max(o + n for o, n in zip(offset, [5, 4, 3, 3, 2, 1])) <= 6 and len(set(zip(at, offset))) == 6
