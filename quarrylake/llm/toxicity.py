@@ -1,15 +1,17 @@
 """Toxicity: a weighted finite-state pattern grammar.
 
-Four small transducers read the words of a clause: insult arcs (a lexicon of words and stems), threats, targets,
-negation and reported speech. Their product is built once as one transition table; a clause is scored only where its
-path emits a match, by the kind of path (plain, targeted, negated, reported, threat), never by an isolated word's
-presence alone. Arc weights are log odds learned from labelled rows; the weights of the path kinds come from a
-logistic fit on the same rows.
+Five transducers read the words of a clause one after the other, each the output of the one before: negation and
+reported speech mark the words that they govern, target marks the words near an addressed person, insult turns insult
+words into a kind of path by their marks, threat joins a threat with its target in either order. Their composition is
+built once as one transition table; a clause is scored only where its path emits a match, by the kind of path (plain,
+targeted, negated, reported, threat), never by an isolated word's presence alone. Lexical arcs (words and stems) carry
+log odds learned from labelled rows; the weights of the path kinds come from a logistic fit on the same rows.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod 4 is not 2, at most TRAIN_ROWS of them (those whose
 ids hash lowest). Labels, lang, source and doc_id are no inputs of a score.
 
-Defined cases: a null or empty text has no clause and gets the score of no matches; a null id is not held out
+Defined cases: a null or empty text has no clause and gets the score of no matches (drop_toxic keeps null texts, whatever
+their score); of several texts of a labelled id the one of the least digest is learned from; a null id is not held out
 (its remainder is null) and passes through; without labels of both kinds the lexicon is the fixed seed list; repeated
 rows score alike; other columns are not read; an empty table gives an empty result.
 """
@@ -19,15 +21,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import product
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch_of, id_text_rows, read_table
+from .common import batch_of, id_text_rows, read_table, scratch
 
 TRAIN_ROWS, THRESHOLD = 20_000, 0.3
 #: A lexicon entry must be in this many toxic rows, with log odds of at least LEAST_ODDS.
@@ -42,33 +44,124 @@ REPORTS = frozenset("said says say saying called calls quoted quote wrote writes
 THREATS = frozenset("kill hurt destroy beat stab shoot burn töten töte schlagen tuer tuerai frapper matar mataré golpear".split())
 SEEDS = ("idiot", "moron", "scum", "stupid", "worthless", "pathetic", "disgusting", "loser", "trash", "clown")
 
-# Symbols of the composed machine.
+# Word classes, which the first transducer reads.
 OTHER, INSULT, TARGET, NEGATION, REPORT, THREAT = range(6)
+CLASSES = range(6)
+#: Kinds of path, which the last transducer writes; what is no match is written as None.
 PATHS = ("plain", "targeted", "negated", "reported", "threat")
+#: Words that a negation, a target and a threat govern after them.
+NEGATED_REACH, TARGET_REACH, THREAT_REACH = 3, 4, 4
 
 
-class Machine:
-    """Product of the component transducers. A state is (words since a negation, since a target, since a threat, reported); counters run out after a few words."""
+class Transducer:
+    """A deterministic transducer over words that end anywhere: arcs[state, symbol] is (next state, output)."""
+
+    def __init__(self, start: Hashable, arcs: dict[tuple[Hashable, Hashable], tuple[Hashable, Hashable]]):
+        self.start, self.arcs = start, arcs
+
+    @classmethod
+    def of(cls, start: Hashable, symbols: Iterable, step: Callable[[Hashable, Hashable], tuple[Hashable, Hashable]]) -> Transducer:
+        """All arcs of the states that can be reached from start."""
+        symbols, arcs, seen, work = list(symbols), {}, {start}, [start]
+        while work:
+            state = work.pop()
+            for symbol in symbols:
+                arcs[state, symbol] = to, _ = step(state, symbol)
+                if to not in seen:
+                    seen.add(to)
+                    work.append(to)
+        return cls(start, arcs)
+
+    @property
+    def states(self) -> set:
+        return {s for s, _ in self.arcs}
+
+    @property
+    def symbols(self) -> list:
+        return list(dict.fromkeys(x for _, x in self.arcs))
+
+    @property
+    def outputs(self) -> list:
+        return list(dict.fromkeys(out for _, out in self.arcs.values()))
+
+    def run(self, word: Iterable) -> list:
+        state, out = self.start, []
+        for symbol in word:
+            state, x = self.arcs[state, symbol]
+            out.append(x)
+        return out
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that writes what second writes on reading what first writes."""
+
+    def step(state: tuple, symbol: Hashable) -> tuple:
+        a, middle = first.arcs[state[0], symbol]
+        b, out = second.arcs[state[1], middle]
+        return (a, b), out
+
+    return Transducer.of((first.start, second.start), first.symbols, step)
+
+
+Marked = tuple[int, frozenset]
+
+
+def marker(mark: str, opens: int, reach: int | None, symbols: Iterable[Marked]) -> Transducer:
+    """Marks the reach symbols (None: all) after one of class opens."""
 
-    REACH = (3, 4, 4)
+    def step(left: int, symbol: Marked) -> tuple[int, Marked]:
+        cls, marks = symbol
+        after = (reach or 1) if cls == opens else left if reach is None else max(0, left - 1)
+        return after, (cls, marks | {mark} if left else marks)
+
+    return Transducer.of(0, symbols, step)
+
+
+def insult(symbols: Iterable[Marked]) -> Transducer:
+    """Turns insults into their kind of path; other symbols pass."""
+
+    def step(state: int, symbol: Marked) -> tuple[int, Hashable]:
+        cls, marks = symbol
+        if cls != INSULT:
+            return 0, symbol
+        return 0, "reported" if "said" in marks else "negated" if "not" in marks else "targeted" if "target" in marks else "plain"
+
+    return Transducer.of(0, symbols, step)
+
+
+def threat(symbols: Iterable) -> Transducer:
+    """A threat near a target before it, or a target at most THREAT_REACH words after a threat, neither negated nor reported."""
+
+    def step(left: int, symbol: Hashable) -> tuple[int, str | None]:
+        after = max(0, left - 1)
+        if isinstance(symbol, str):
+            return after, symbol
+        cls, marks = symbol
+        free = not marks & {"not", "said"}
+        if cls == THREAT:
+            return THREAT_REACH, "threat" if free and "target" in marks else None
+        return after, "threat" if cls == TARGET and left and free else None
+
+    return Transducer.of(0, symbols, step)
+
+
+def grammar_parts() -> list[Transducer]:
+    """The component transducers, each over the output alphabet of the one before."""
+    parts = [Transducer.of(0, CLASSES, lambda state, cls: (0, (cls, frozenset())))]
+    for make in (lambda x: marker("not", NEGATION, NEGATED_REACH, x), lambda x: marker("said", REPORT, None, x), lambda x: marker("target", TARGET, TARGET_REACH, x), insult, threat):
+        parts.append(make(parts[-1].outputs))
+    return parts
+
+
+class Machine:
+    """The composed grammar as a table of numbers: table[state][class] is (next state, index of PATHS or -1)."""
 
     def __init__(self) -> None:
-        states = list(product(range(self.REACH[0] + 1), range(self.REACH[1] + 1), range(self.REACH[2] + 1), (0, 1)))
-        index = {s: i for i, s in enumerate(states)}
-        self.start = index[(0, 0, 0, 0)]
-        self.next = np.zeros((len(states), 6), np.int64)
-        self.emit = np.full((len(states), 6), -1, np.int64)
-        for s, sym in product(states, range(6)):
-            neg, target, threat, said = s
-            out = -1
-            if sym == INSULT:
-                out = 3 if said else 2 if neg else 1 if target else 0
-            elif sym == THREAT and target and not neg and not said or sym == TARGET and threat and not neg and not said:
-                out = 4
-            fresh = (self.REACH[0] if sym == NEGATION else max(0, neg - 1), self.REACH[1] if sym == TARGET else max(0, target - 1), self.REACH[2] if sym == THREAT else max(0, threat - 1), 1 if sym == REPORT else said)
-            self.next[index[s], sym] = index[fresh]
-            self.emit[index[s], sym] = out
-        self.table = [[(int(self.next[i, k]), int(self.emit[i, k])) for k in range(6)] for i in range(len(states))]
+        whole = reduce(compose, grammar_parts())
+        number = {s: i for i, s in enumerate(sorted(whole.states, key=str))}
+        self.start = number[whole.start]
+        cell = lambda to, out: (number[to], PATHS.index(out) if out else -1)
+        self.table = [[cell(*whole.arcs[s, c]) for c in CLASSES] for s in number]
 
 
 MACHINE = Machine()
@@ -160,7 +253,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Grammar
     """Arc weights from counts over the training rows, then the weights of the path kinds."""
     spark = docs.sparkSession
     sample = training_rows(labels, rows)
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("toxic", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    # one text an id, read from the documents once: the sample is bounded by rows, whatever ids repeat
+    chosen = scratch(texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text")).select("toxic", "text"), "toxic-sample")
     pos, neg = chosen.agg(F.sum("toxic"), F.count("*") - F.sum("toxic")).first()
     if not pos or not neg:
         return Grammar({w: 3.0 for w in SEEDS}, {})
@@ -256,7 +351,7 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD)
         for batch in batches:
             texts = batch.column("text")
             for at in range(0, batch.num_rows, 512):
-                part = [grammar.score(t or "") < threshold for t in texts.slice(at, 512).to_pylist()]
+                part = [t is None or grammar.score(t) < threshold for t in texts.slice(at, 512).to_pylist()]
                 yield batch.slice(at, 512).filter(pa.array(part, pa.bool_()))
 
     return docs.mapInArrow(run, schema)

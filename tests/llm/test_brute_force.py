@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import random
 import re
 import zlib
@@ -409,6 +410,48 @@ def test_mixing_targets(spark):
 # toxicity
 
 
+def test_composition_is_one_after_the_other():
+    parts = toxicity.grammar_parts()
+    whole = parts[0]
+    for n, part in enumerate(parts[1:], 2):
+        whole = toxicity.compose(whole, part)
+        for word in itertools.product(toxicity.CLASSES, repeat=4):
+            tape = word
+            for p in parts[:n]:
+                tape = p.run(tape)
+            assert whole.run(word) == tape
+    state, machine = toxicity.MACHINE.start, toxicity.MACHINE.table
+    r = random.Random(7)
+    word = [r.choice(list(toxicity.CLASSES)) for _ in range(3000)]
+    for cls, want in zip(word, whole.run(word)):
+        state, out = machine[state][cls]
+        assert (toxicity.PATHS[out] if out >= 0 else None) == want
+
+
+def plain_paths(word):
+    """The kinds of path of a clause of word classes, from the rules and positions alone."""
+    out = []
+    within = lambda k, cls, reach: any(word[j] == cls for j in range(max(0, k - reach), k))
+    for k, cls in enumerate(word):
+        said, denied, target = toxicity.REPORT in word[:k], within(k, toxicity.NEGATION, 3), within(k, toxicity.TARGET, 4)
+        if cls == toxicity.INSULT:
+            out.append("reported" if said else "negated" if denied else "targeted" if target else "plain")
+        elif not said and not denied and (cls == toxicity.THREAT and target or cls == toxicity.TARGET and within(k, toxicity.THREAT, 4)):
+            out.append("threat")
+        else:
+            out.append(None)
+    return out
+
+
+def test_grammar_against_enumeration():
+    whole = toxicity.compose(toxicity.grammar_parts()[0], toxicity.grammar_parts()[1])
+    for part in toxicity.grammar_parts()[2:]:
+        whole = toxicity.compose(whole, part)
+    for n in range(6):
+        for word in itertools.product(toxicity.CLASSES, repeat=n):
+            assert whole.run(word) == plain_paths(word)
+
+
 def test_grammar_paths():
     g = toxicity.Grammar({"moron": 5.0}, {"bomen": 4.0})
     kind = lambda t: [k for k, v in zip(toxicity.PATHS, g.matches(t)) if v]

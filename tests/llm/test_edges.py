@@ -122,6 +122,8 @@ def test_ngram_nulls(docs):
 def test_toxic_drop_keeps_columns(docs, labels):
     out = toxicity.drop_toxic(docs, toxicity.Grammar({"x": 8.0}, {}, -3.0, [3.0] * 5))
     assert out.columns == docs.columns and {r["doc_id"] for r in out.select("doc_id").collect()} == {1, 2, 3, 4, 5, 6, None, 9, 10}
+    strict = toxicity.drop_toxic(docs, toxicity.Grammar({}, {}, 5.0))
+    assert [r["doc_id"] for r in strict.collect()] == [2]  # a null text has nothing to reject
 
 
 def test_html_edges(spark):
