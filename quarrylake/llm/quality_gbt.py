@@ -6,7 +6,8 @@ repeated lines or repeated words never raise the verdict), and are flattened int
 descends level by level.
 
 Defined cases: a null text has no words and fails the base rule; a null id passes through; labels with a null id or
-quality are left out; a doc_id labelled twice counts with its lower quality; without labels of both kinds the trees
+quality are left out; a doc_id labelled twice counts with its lower quality, one of
+several texts with that of the least digest; without labels of both kinds the trees
 are empty and only the base rules decide; repeated rows are judged alike; other columns are not read; an empty table
 gives an empty result.
 """
@@ -186,8 +187,10 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     """Fits the trees. The labelled sample is bounded by rows, so it may be broadcast and its statistics collected."""
     sample = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample.select(F.col("doc_id"))), "doc_id", "left_semi")
-    found = document_statistics(chosen).select("doc_id", "features").dropDuplicates(["doc_id"]).join(F.broadcast(sample), "doc_id").orderBy("doc_id").select("features", "quality").toPandas()
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.select(F.col("doc_id"))), "doc_id", "left_semi")
+    # of several texts of an id the one of the least digest, so that reruns fit the same trees
+    chosen = chosen.groupBy("doc_id").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text"))
+    found = document_statistics(chosen).select("doc_id", "features").join(F.broadcast(sample), "doc_id").orderBy("doc_id").select("features", "quality").toPandas()
     x = np.array(found["features"].tolist(), float).reshape(len(found), len(FEATURES))
     return fit(x, found["quality"].to_numpy(float))
 
