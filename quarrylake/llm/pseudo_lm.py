@@ -1,17 +1,24 @@
 """LM scoring: masked pseudo-likelihood.
 
-Every word is predicted from the words on both sides: a network with a window of two words to either side (class
-embeddings for each place, a hidden layer, a softmax over word classes) gives the class of the masked word, and the
-corpus counts give the word inside its class. The counts of all words stay a table: the VOCABULARY most frequent are
-known to every task, the others' counts are joined to the documents' words. A document's score is the sum of these conditional log-probabilities.
-
-Everything is learned from all documents: words are counted over the whole corpus; the network is trained in numpy by
-every task on all of its words, starting from the same parameters, and the tasks' parameters are averaged by their
-words. Classes: the OWN most frequent words alone, other words by the hash of their last letters.
-
-Defined cases: a null or blank text has no words, log-probability 0 and a null mean; a null id passes through;
-repeated rows score alike (and count as often as they occur); other columns are not read; an empty table gives an
-empty result.
+Every word is predicted from the words on both sides. A word's place among all words is a path of LEVELS digits: all
+but the last a hash of its ending, so that like words are near, the last a hash of the word. A network in numpy with a
+window of two words to either side (an embedding for each place and ending, a hidden layer) gives each digit's
+probability after the digits before it: the hidden layer is scaled by the path so far, and a softmax over DIGITS
+follows. The words that share a whole path have their shares of its corpus count.
+So log P(word | both sides) = sum of the digits' log-probabilities + log n(word) - log n(path), a distribution over all
+words of the corpus, and a document's score is the sum over its words. The softmaxes' offsets are the corpus counts of
+the paths: a network that says nothing is the unigram model of all words.
+
+Everything is learned from all documents. Every word is counted, in a table of the corpus's words. The network sees each
+document once, in ROUNDS rounds; a document's round and shard are a hash of its id and text, a shard's documents are in
+order of that hash, and the shards of a round start from the same parameters, which are then averaged by words. So the
+result is a function of the rows, not of how they are partitioned. Shards hold SHARD words or so: their number grows with
+the corpus. The KEPT most frequent words' counts are known to every task, all other counts are joined by word; which
+words are kept changes no score.
+
+Defined cases: a null or blank text has no words, score 0 and a null mean; a null id passes through; repeated rows
+score alike (and count as often as they occur); a word that the counts do not have counts as half a word; other
+columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,282 +31,321 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch_of, id_text_rows, read_table, scratch
+from .common import batch_of, id_text_rows, most_frequent, read_table, scratch
 
-OWN, SUFFIX, HIDDEN, SIDES = 31, 32, 24, (-2, -1, 1, 2)
-CLASSES, EDGE = OWN + SUFFIX, OWN + SUFFIX  # class EDGE stands for what is beyond a text's ends
-VOCABULARY, COUNTED, BATCH, RATE, GROUPS = 30_000, 200_000, 2048, 0.01, 64
+SIDES, HIDDEN, DIGITS, LEVELS = (-2, -1, 1, 2), 24, 16, 4
+#: A word's ending is its last ENDING bytes, one of ENDINGS hashes; EDGE is what is beyond a text's ends.
+ENDING, ENDINGS, LEAVES, SCALES = 3, DIGITS ** (LEVELS - 1), DIGITS**LEVELS, 1024
+EDGE = ENDINGS
+ROUNDS, SHARD, BATCH, RATE, FAN_IN, LEAST = 4, 1 << 20, 2048, 0.1, 64, 0.1
+KEPT, COUNTED = 1 << 16, 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def suffix_class(word: bytes) -> int:
-    return OWN + xxhash.xxh3_64_intdigest(word[-3:]) % SUFFIX
+class _Keys(dict):
+    """Word -> key: 12 bits of its ending's hash, 52 of its own; the first 16 are its path. Bounded."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        key = self[word] = xxhash.xxh3_64_intdigest(word[-ENDING:]) % ENDINGS << 52 | xxhash.xxh3_64_intdigest(word) >> 12
+        return key
+
+
+_KEYS = _Keys()
 
-class Vocabulary:
-    """Frequent words by index; other words by the index of their class's rest."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, class_words: np.ndarray, rest_words: np.ndarray, rest_types: np.ndarray):
-        self.words = {w: i for i, w in enumerate(words)}
-        own = np.array([i if i < OWN else suffix_class(w) for i, w in enumerate(words)], np.int64)
-        self.cls = np.r_[own, np.arange(CLASSES)]
-        n = np.r_[counts.astype(float), rest_words / np.maximum(rest_types, 1)]
-        total = self.totals = np.maximum(class_words, 1.0)
-        self.inside = np.log(np.maximum(n, 0.5) / total[self.cls])
-        self.prior = np.log((class_words + 1.0) / (class_words.sum() + CLASSES))
+def keys_of(text: str | None) -> np.ndarray:
+    words = words_of(text)
+    return np.fromiter(map(_KEYS.__getitem__, words), np.uint64, len(words))
 
-    #: word, n of all words of the corpus, where they are kept
-    counts: DataFrame | None = None
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "counts"}
+def paths_of(keys: np.ndarray) -> np.ndarray:
+    """The paths, which are all that the network needs."""
+    return (keys >> np.uint64(48)).astype(np.uint16)
 
-    def index(self) -> dict:
-        return _Index(self.words)
 
+def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(endings at each of SIDES, path) of all words of the texts, given as paths; beyond a text's ends is EDGE."""
+    reach = max(SIDES)
+    sizes = np.array([len(d) for d in docs])
+    flat = np.full(int(sizes.sum()) + reach * (len(docs) + 1), EDGE, np.int32)
+    at = np.arange(int(sizes.sum())) + reach * (1 + np.repeat(np.arange(len(docs)), sizes))
+    path = np.concatenate(docs).astype(np.int32)
+    flat[at] = path >> 4
+    return np.stack([flat[at + k] for k in SIDES]), path
 
-class _Index(dict):
-    """Adds words outside the vocabulary as they come, and forgets them when there are many."""
 
-    def __init__(self, words: dict[bytes, int]):
-        super().__init__(words)
-        self.fixed = words
+class Prior:
+    """Corpus counts of the paths: log-shares of the digits after each beginning of a path, and log n of whole paths."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > len(self.fixed) + 200_000:
-            self.clear()
-            self.update(self.fixed)
-        i = self[word] = len(self.fixed) + suffix_class(word)
-        return i
+    def __init__(self, counts: np.ndarray):
+        self.leaf = np.log(np.maximum(counts, 0.5))
+        n = counts + LEAST
+        self.levels = []
+        for _ in range(LEVELS):
+            n = n.reshape(-1, DIGITS)
+            self.levels.append(np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32))
+            n = n.sum(axis=1)
+        self.levels.reverse()
 
 
 class Network:
-    """Parameters: embeddings for each place of the window, hidden bias, output weights and bias."""
+    """Parameters: embeddings for each place, hidden bias, scales by beginning of a path, output weights of each level."""
 
-    SHAPES = ((len(SIDES), CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
+    SHAPES = (*[(ENDINGS + 1, HIDDEN)] * len(SIDES), (HIDDEN,), *[(min(DIGITS**d, SCALES), HIDDEN) for d in range(1, LEVELS)], *[(HIDDEN, DIGITS)] * LEVELS)
 
-    def __init__(self, parts: list[np.ndarray]):
-        self.parts = parts
+    def __init__(self, parts: list[np.ndarray], prior: Prior):
+        self.parts, self.prior = parts, prior
+        k = len(SIDES)
+        self.embeddings, self.bias, self.scales, self.weights = parts[:k], parts[k], [None, *parts[k + 1 : k + LEVELS]], parts[k + LEVELS :]
 
     @classmethod
-    def start(cls, prior: np.ndarray, seed: int = 7) -> Network:
+    def start(cls, prior: Prior, seed: int = 7) -> Network:
         draw = np.random.default_rng(seed)
-        return cls([draw.normal(0, 0.1, cls.SHAPES[0]).astype(np.float32), np.zeros(HIDDEN, np.float32), draw.normal(0, 0.1, cls.SHAPES[2]).astype(np.float32), prior.astype(np.float32)])
+        k = len(SIDES)
+        parts = [draw.normal(0, 0.1, s).astype(np.float32) if i < k else np.zeros(s, np.float32) for i, s in enumerate(cls.SHAPES)]
+        for i in range(k + 1, k + LEVELS):
+            parts[i] += 1
+        for i in range(k + LEVELS, len(parts)):
+            parts[i] = draw.normal(0, 0.05, cls.SHAPES[i]).astype(np.float32)
+        return cls(parts, prior)
 
     def pack(self) -> bytes:
         return np.concatenate([p.ravel() for p in self.parts]).astype("<f4").tobytes()
 
     @classmethod
-    def unpack(cls, flat: np.ndarray) -> Network:
+    def unpack(cls, flat: np.ndarray, prior: Prior) -> Network:
         cuts = np.cumsum([int(np.prod(s)) for s in cls.SHAPES])[:-1]
-        return cls([p.reshape(s).astype(np.float32) for p, s in zip(np.split(flat, cuts), cls.SHAPES)])
-
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hidden values and log-probabilities of the classes; context has a column for each place."""
-        e, b, w, d = self.parts
-        h = b + e[0][context[:, 0]]
-        for k in range(1, len(SIDES)):
-            h += e[k][context[:, k]]
-        np.tanh(h, out=h)
-        z = h @ w
-        z += d
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return h, z
-
-    def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        out = np.empty(len(target))
-        for at in range(0, len(target), BATCH):
-            c, t = context[at : at + BATCH], target[at : at + BATCH]
-            out[at : at + BATCH] = self.forward(c)[1][np.arange(len(t)), t]
-        return out
-
-    def gradient(self, context: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
-        """Of the mean log-probability of the targets."""
-        e, b, w, d = self.parts
-        h, z = self.forward(context)
-        g = -np.exp(z)
-        g[np.arange(len(target)), target] += 1
-        g /= len(target)
-        gh = (g @ w.T) * (1 - h * h)
-        ge = np.empty_like(e)
-        for k in range(len(SIDES)):
-            hot = np.zeros((len(target), CLASSES + 1), np.float32)
-            hot[np.arange(len(target)), context[:, k]] = 1
-            ge[k] = hot.T @ gh
-        return [ge, gh.sum(axis=0), h.T @ g, g.sum(axis=0)]
+        return cls([p.reshape(s).astype(np.float32) for p, s in zip(np.split(flat, cuts), cls.SHAPES)], prior)
+
+    def forward(self, context: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
+        """Hidden values, what each level saw, and the log-probability of each path."""
+        hidden = self.bias + self.embeddings[0][context[0]]
+        for e, c in zip(self.embeddings[1:], context[1:]):
+            hidden += e[c]
+        np.tanh(hidden, out=hidden)
+        rows, ones, seen = np.arange(len(path)), np.ones(DIGITS, hidden.dtype), []
+        total = np.zeros(len(path), hidden.dtype)
+        for level, (scale, weight) in enumerate(zip(self.scales, self.weights)):
+            above = path >> 4 * (LEVELS - level)
+            digit = path >> 4 * (LEVELS - 1 - level) & DIGITS - 1
+            at = above % len(scale) if level else None
+            s = scale[at] if level else None
+            h = hidden * s if level else hidden
+            z = h @ weight
+            z += self.prior.levels[level][above] if level else self.prior.levels[0]
+            np.minimum(z, 60, out=z)
+            total += z[rows, digit]
+            np.exp(z, out=z)
+            norm = z @ ones
+            total -= np.log(norm)
+            seen.append((at, s, h, z, norm, digit))
+        return hidden, seen, total
+
+    def gradient(self, context: np.ndarray, path: np.ndarray) -> list[tuple[np.ndarray | slice, np.ndarray]]:
+        """(rows, slope of the summed log-probability there) of each part."""
+        hidden, seen, _ = self.forward(context, path)
+        rows = np.arange(len(path))
+        back = np.zeros_like(hidden)
+        scales, weights = [], []
+        for (at, s, h, z, norm, digit), weight in zip(seen, self.weights):
+            z *= (-1 / norm)[:, None]
+            z[rows, digit] += 1
+            weights.append((slice(None), h.T @ z))
+            g = z @ weight.T
+            if at is not None:
+                scales.append(_by_row(at, g * hidden))
+                g *= s
+            back += g
+        back *= 1 - hidden * hidden
+        return [*[_by_row(c, back) for c in context], (slice(None), back.sum(axis=0)), *scales, *weights]
+
+
+def _by_row(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(at, kind="stable")
+    row = at[order]
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    return row[first], np.add.reduceat(g[order], first, axis=0)
 
 
 class Trainer:
-    """Adam ascent, a step a batch."""
+    """Ascent with a step for each parameter by the slopes that it has seen, a step a batch; rows without slope stay."""
 
     def __init__(self, net: Network):
-        self.net, self.t = Network([p.copy() for p in net.parts]), 0
-        self.m, self.v = ([np.zeros_like(p) for p in net.parts] for _ in range(2))
+        self.net = Network([p.copy() for p in net.parts], net.prior)
+        self.seen = [np.full_like(p, 1e-3) for p in net.parts]
 
-    def step(self, context: np.ndarray, target: np.ndarray) -> None:
-        self.t += 1
-        for p, g, m, v in zip(self.net.parts, self.net.gradient(context, target), self.m, self.v):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p += RATE / (1 + self.t / 500) ** 0.5 * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
+    def step(self, context: np.ndarray, path: np.ndarray) -> None:
+        n = np.float32(len(path) ** 0.5)
+        for p, seen, (at, g) in zip(self.net.parts, self.seen, self.net.gradient(context, path)):
+            g = g / n
+            seen[at] += g * g
+            p[at] += np.float32(RATE) * g / np.sqrt(seen[at])
 
 
-def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(context, target) classes of all words of the texts; places beyond a text's ends have class EDGE."""
-    reach = max(SIDES)
-    pad = np.full(reach, EDGE, np.int64)
-    flat = np.concatenate([x for d in docs for x in (d, pad)] + [pad])
-    flat = np.concatenate([pad, flat])
-    at = np.flatnonzero(flat != EDGE)
-    return np.stack([flat[at + k] for k in SIDES], axis=1), flat[at]
-
-
-_COUNT = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+_COUNT = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: Counter = Counter()
+
+    def rows() -> pa.RecordBatch:
+        keys = np.fromiter(map(_KEYS.__getitem__, held), np.uint64, len(held))
+        return batch_of(_COUNT, [keys.view(np.int64), list(held.values())])
+
     for _, texts in id_text_rows(batches):
         for t in texts:
             held.update(words_of(t))
         if len(held) > COUNTED:
-            yield batch_of(_COUNT, zip(*held.items()))
+            yield rows()
             held = Counter()
     if held:
-        yield batch_of(_COUNT, zip(*held.items()))
+        yield rows()
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    """Counts of every word of the corpus; the VOCABULARY most frequent by name, the rest by class."""
-    counts = scratch(docs.select("doc_id", "text").mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    named = {bytes(r["word"]): i for i, r in enumerate(top)}
-    sums = pa.schema([("cls", pa.int32()), ("n", pa.int64()), ("types", pa.int64())])
+class Counts:
+    """How often each word occurs: the table of all, the totals of the paths, and the KEPT most frequent by key."""
 
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, types = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-        for b in batches:
-            for w, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if w not in named:
-                    c = suffix_class(w)
-                    n[c] += k
-                    types[c] += 1
-        yield batch_of(sums, [np.arange(CLASSES), n, types])
+    def __init__(self, table: DataFrame):
+        self.table = table
+        path = F.shiftrightunsigned("key", 48)
+        sums = table.groupBy(path.alias("path")).agg(F.sum("n").alias("n")).toPandas()  # LEAVES rows at most
+        n = np.zeros(LEAVES)
+        n[sums["path"].to_numpy(np.int64)] = sums["n"].to_numpy(np.float64)
+        self.total, self.prior = int(n.sum()), Prior(n)
+        top = most_frequent(table, "n", KEPT).toPandas().sort_values("key")
+        self.keys, self.logs = top["key"].to_numpy(np.int64), np.log(top["n"].to_numpy(np.float64))
 
-    rest_n, rest_types = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.mapInArrow(rest, "cls int, n long, types long").groupBy("cls").agg(F.sum("n").alias("n"), F.sum("types").alias("types")).collect():
-        rest_n[r["cls"]], rest_types[r["cls"]] = r["n"], r["types"]
-    n = np.array([r["n"] for r in top], np.int64)
-    class_n = rest_n.copy()
-    for i, w in enumerate(named):
-        class_n[i if i < OWN else suffix_class(w)] += n[i]
-    vocab = Vocabulary(list(named), n, class_n, rest_n, rest_types)
-    vocab.counts = counts
-    return vocab
 
+def count_words(docs: DataFrame) -> Counts:
+    table = docs.select("doc_id", "text").mapInArrow(_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return Counts(scratch(table, "lm-counts"))
 
-_PARTS = pa.schema([("task", pa.int32()), ("n", pa.int64()), ("net", pa.binary())])
 
+_CODES = pa.schema([("shard", pa.int32()), ("mark", pa.int64()), ("codes", pa.binary())])
 
-def _mean(table: pa.Table) -> pa.Table:
-    total, n = None, 0
-    for net, k in zip(table.column("net").to_pylist(), table.column("n").to_pylist()):
-        x = np.frombuffer(net, "<f4").astype(np.float64) * k
-        total, n = x if total is None else total + x, n + k
-    return pa.table([[0], [n], [(total / n).astype("<f4").tobytes()]], schema=_PARTS)
 
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            yield batch_of(_CODES, [part.column(0), part.column(1), [paths_of(keys_of(t)).tobytes() for t in part.column(2).to_pylist()]])
 
-def train(docs: DataFrame, vocab: Vocabulary, rounds: int = 1) -> Network:
-    """Each round: every task trains on all its words from the common parameters; means by words, in two levels."""
-    net = Network.start(vocab.prior)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+_PARTS = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("net", pa.binary())])
+_PARTS_DDL = "shard long, n long, net binary"
+
 
-        index, trainer, seen = vocab.index(), Trainer(net), 0
-        for _, texts in id_text_rows(batches):
-            docs_ = [vocab.cls[np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))] for ws in map(words_of, texts) if ws]
-            if not docs_:
-                continue
-            context, target = windows(docs_)
-            order = np.random.default_rng(len(target)).permutation(len(target))
-            for at in range(0, len(target), BATCH):
-                some = order[at : at + BATCH]
-                trainer.step(context[some], target[some])
-            seen += len(target)
-        if seen:
-            yield batch_of(_PARTS, [[TaskContext.get().partitionId()], [seen], [trainer.net.pack()]])
-
-    for _ in range(rounds):
-        parts = docs.select("doc_id", "text").mapInArrow(run, "task int, n long, net binary")
-        means = parts.withColumn("task", F.pmod("task", F.lit(GROUPS))).groupBy("task").applyInArrow(_mean, "task int, n long, net binary").collect()
-        if not means:
-            return net
-        n = np.array([m["n"] for m in means], float)
-        net = Network.unpack((np.stack([np.frombuffer(m["net"], "<f4") for m in means]) * (n / n.sum())[:, None]).sum(axis=0))
+def train_on(net: Network, docs: list[np.ndarray], seed: int) -> Network:
+    """One pass over the texts, in an order that the seed gives."""
+    trainer = Trainer(net)
+    context, path = windows(docs)
+    order = np.random.default_rng(seed).permutation(len(path))
+    for at in range(0, len(path), BATCH):
+        some = order[at : at + BATCH]
+        trainer.step(context[:, some], path[some])
+    return trainer.net
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    total, n = None, 0
+    table = table.sort_by("shard")
+    for net, k in zip(table.column("net"), table.column("n").to_pylist()):
+        x = np.frombuffer(net.as_py(), "<f4").astype(np.float64) * k
+        total, n = x if total is None else total + x, n + k
+    return pa.table([[table.column("shard")[0].as_py() // FAN_IN], [n], [(total / n).astype("<f4").tobytes()]], schema=_PARTS)
+
+
+def train(docs: DataFrame, counts: Counts) -> Network:
+    """The rounds one after the other; each has its own documents, and ends with the mean of its shards."""
+    net = Network.start(counts.prior)
+    shards = max(1, round(counts.total / ROUNDS / SHARD))
+    mark = F.xxhash64("doc_id", "text")
+    for turn in range(ROUNDS):
+        mine = docs.where((F.pmod(mark, F.lit(ROUNDS)) == turn) & F.col("text").isNotNull())
+        codes = mine.select(F.pmod(F.floor(mark / ROUNDS), F.lit(shards)).cast("int").alias("shard"), mark.alias("mark"), "text")
+        codes = codes.mapInArrow(_codes, "shard int, mark long, codes binary").repartitionById(shards, F.col("shard"))
+        start = net
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list[tuple[int, bytes]]] = {}
+            for b in batches:
+                for shard, at, raw in zip(*(b.column(k).to_pylist() for k in range(3))):
+                    if raw:
+                        held.setdefault(shard, []).append((at, raw))
+            for shard in sorted(held):
+                texts = [np.frombuffer(raw, np.uint16) for _, raw in sorted(held.pop(shard))]
+                done = train_on(start, texts, shard)
+                yield batch_of(_PARTS, [[shard], [sum(map(len, texts))], [done.pack()]])
+
+        parts, left = codes.mapInArrow(run, _PARTS_DDL), shards
+        while True:
+            left = -(-left // FAN_IN)
+            parts = parts.groupBy(F.floor(F.col("shard") / FAN_IN).alias("_group")).applyInArrow(_mean, _PARTS_DDL)
+            if left == 1:
+                break
+        mean = parts.collect()  # one row
+        if mean:
+            net = Network.unpack(np.frombuffer(mean[0]["net"], "<f4"), counts.prior)
     return net
 
 
-_SCORES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_prob", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))])
+_SCORES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
+
 
+def path_scores(net: Network, docs: list[np.ndarray]) -> np.ndarray:
+    """log P(path | both sides) of all words of the texts, given as paths."""
+    context, path = windows(docs)
+    out = np.empty(len(path))
+    for at in range(0, len(path), BATCH):
+        out[at : at + BATCH] = net.forward(context[:, at : at + BATCH], path[at : at + BATCH])[2]
+    return out
 
-def score(docs: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
-    """doc_id, n_words, log_prob (sum over all words) and its mean, per row.
 
-    A word outside the vocabulary is first scored by its class's mean count; the join then puts its own count there. A
-    word that the counts do not have keeps the mean.
-    """
-    known, means = len(vocab.words), vocab.inside[len(vocab.words) :]
-    total = F.array(*[F.lit(float(x)) for x in vocab.totals])
-    mean = F.array(*[F.lit(float(x)) for x in means])
+def score(docs: DataFrame, counts: Counts, net: Network) -> DataFrame:
+    """doc_id, score (sum of the words' conditional log-probabilities), its mean and n_words, per row."""
+    kept, logs, leaf = counts.keys, counts.logs, counts.prior.leaf
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        index, row = vocab.index(), TaskContext.get().partitionId() << 33
+        row = TaskContext.get().partitionId() << 33
         for ids, texts in id_text_rows(batches):
-            words = [words_of(t) for t in texts]
-            found = [np.fromiter(map(index.__getitem__, ws), np.int64, len(ws)) for ws in words]
-            n = np.array([len(f) for f in found])
-            sums = np.zeros(len(found))
-            full = [f for f in found if len(f)]
+            keys = [keys_of(t) for t in texts]
+            n = np.array([len(k) for k in keys])
+            sums, rare = np.zeros(len(keys)), [[]] * len(keys)
+            full = [k for k in keys if len(k)]
             if full:
-                context, target = windows([vocab.cls[f] for f in full])
-                each = net.log_prob(context, target) + vocab.inside[np.concatenate(full)]
-                sums[n > 0] = np.add.reduceat(each, np.r_[0, np.cumsum(n[n > 0])[:-1]])
-            rare = [[{"word": w, "k": k} for w, k in Counter([ws[x] for x in np.flatnonzero(f >= known)]).items()] for ws, f in zip(words, found)]
+                flat = np.concatenate(full)
+                each = path_scores(net, [paths_of(k) for k in full]) - leaf[(flat >> np.uint64(48)).astype(np.int64)]
+                signed = flat.view(np.int64)
+                at = np.minimum(np.searchsorted(kept, signed), len(kept) - 1)
+                known = kept[at] == signed
+                each += np.where(known, logs[at], 0.0)
+                cuts = np.r_[0, np.cumsum(n[n > 0])]
+                sums[n > 0] = np.add.reduceat(each, cuts[:-1])
+                left = np.flatnonzero(~known)
+                of = np.searchsorted(left, cuts)
+                rare = [[]] * len(keys)
+                for i, a, b in zip(np.flatnonzero(n > 0), of, of[1:]):
+                    rare[i] = signed[left[a:b]]
             yield batch_of(_SCORES, [range(row, row + len(ids)), ids, n, sums, rare])
             row += len(ids)
 
     # written once, so that both sides of the join see the same row numbers
-    rows = scratch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, n_words long, log_prob double, rare array<struct<word: binary, k: long>>"), "lm-rows")
-    if vocab.counts is not None:
-        last = vocab.counts.mapInArrow(_classes(vocab), "word binary, n long, cls int")
-        gain = F.col("k") * (F.log(F.col("n").cast("double")) - F.log(F.get(total, F.col("cls"))) - F.get(mean, F.col("cls")))
-        own = rows.select("row", F.inline("rare")).join(last, "word").groupBy("row").agg(F.sum(gain).alias("gain"))
-        rows = rows.drop("rare").join(own, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("gain", F.lit(0.0)))
-    return rows.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
-
-
-def _classes(vocab: Vocabulary):
-    """The class of each word of the counts outside the vocabulary."""
-    schema = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("cls", pa.int32())])
-    known = vocab.words
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            some = [(w, n, suffix_class(w)) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if w not in known]
-            if some:
-                yield batch_of(schema, zip(*some))
-
-    return run
+    rows = scratch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "row long, doc_id long, n_words long, score double, rare array<long>"), "lm-rows")
+    words = rows.select("row", F.explode("rare").alias("key"))
+    own = words.join(counts.table, "key", "left").groupBy("row").agg(F.sum(F.coalesce(F.log(F.col("n").cast("double")), F.log(F.lit(0.5)))).alias("own"))
+    whole = rows.drop("rare").join(own.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left")
+    whole = whole.withColumn("score", F.col("score") + F.coalesce("own", F.lit(0.0)))
+    return whole.select("doc_id", "score", F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).alias("mean_log_prob"), "n_words")
 
 
 def op4_pseudo_lm(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    vocab = vocabulary(docs)
-    return score(docs, vocab, train(docs, vocab))
+    counts = count_words(docs)
+    return score(docs, counts, train(docs, counts))

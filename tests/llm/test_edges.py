@@ -48,8 +48,8 @@ def scores(d, labels):
 
 
 def lm(d, labels):
-    v = pseudo_lm.vocabulary(d)
-    return pseudo_lm.score(d, v, pseudo_lm.train(d, v))
+    n = pseudo_lm.count_words(d)
+    return pseudo_lm.score(d, n, pseudo_lm.train(d, n))
 
 
 ROW_OPS = {"quality": verdicts, "ngram": lambda d, _: ngram_join.ngram_components(d), "lines": lambda d, _: line_dedup.dedup_lines(d), "lm": lm, "mixture": lambda d, _: mixing.mixture(d), "toxicity": scores, "ctph": lambda d, _: ctph.fingerprints(d), "secrets": lambda d, _: secret_scan.scan_secrets(d)}
@@ -61,6 +61,12 @@ def test_one_row_each(name, docs, none, labels):
     assert ROW_OPS[name](none, labels).count() == 0
 
 
+def test_lm_edges(docs, labels):
+    got = {r["doc_id"]: r for r in lm(docs.where("doc_id <> 7"), labels).collect()}
+    assert all(got[i]["score"] == 0 and got[i]["mean_log_prob"] is None and got[i]["n_words"] == 0 for i in (2, 3, 4))
+    assert got[1]["score"] == got[6]["score"] < 0 and got[5]["n_words"] == 30_000
+
+
 def test_packing_edges(docs, none):
     got = packing.pack(docs).collect()
     assert sum(r["length"] for r in got if r["doc_id"] == 3) == 1  # an empty text is its end mark
