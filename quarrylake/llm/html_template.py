@@ -1,16 +1,18 @@
 """HTML extraction: equivalence-class template deduction.
 
-A page is a stream of tokens: tags, told apart by their path, and the text of blocks. Over all pages of a host each
-token has an occurrence vector (how often on which page), kept as the exclusive or of hashes of (page, count), so
-that it is summed in parallel. Tokens with equal vectors form a class; a class of a container's tags and the texts
-with the same vector is part of the template, and nesting the containers by path gives the template tree. What the
-template leaves open are slots; the host's main slot is the container that holds its varying text. Each page's
-result is the text in that container, without the parts that are named as menus, headers, footers, notices, adverts,
-forms or comments, unless these hold the page's only article or main element or most of the varying text. A page without the container, or a host of one page, is judged by its own tree.
+A page is a stream of tokens: tags, told apart by their path, and the texts of blocks by path and words. Over all pages
+of a host each token has an occurrence vector (how often on which page), kept as sums of hashes of (page, count), which
+add up in parallel. Tokens of equal vectors are a class. A class nests by its tags: each of its texts belongs to the
+deepest tag of the class above it, the text's anchor. An anchor is valid if its texts come in the same order after each
+of its tags, on every page; valid anchors and their texts, nested by path, are the template. What it leaves open are
+slots; the host's main slot is the container that holds its varying text. Each page's result is the text in that
+container, without the template's texts and without the parts that are named as menus, headers, footers, notices,
+adverts, forms or comments, unless these hold the page's only article or main element or most of the varying text. A
+page without the container, or a host of one page, is judged by its own tree.
 
 Defined cases: null html is an empty page with an empty text; a page without a url belongs to the host ""; repeated
-rows are extracted alike; unclosed elements end where HTML ends them; unfinished tags at the end are dropped; other
-columns are not read; an empty table gives an empty result.
+rows are extracted alike and count as one page for the support of a class; unclosed elements end where HTML ends them;
+unfinished tags at the end are dropped; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,15 +23,15 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import batch_of, read_table, scratch
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object select option button".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+RAW = frozenset("script style title textarea noscript template iframe svg object select option button annotation".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd mstyle mspace mpadded mfenced semantics".split())
 CLOSES_P = frozenset("address article aside blockquote body details div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table tbody td tfoot th thead tr ul".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = frozenset("ul ol dl table article main section body".split())
@@ -53,10 +55,12 @@ NEVER = frozenset("head nav header footer menu dialog aside".split())
 
 
 class Element:
-    __slots__ = ("tag", "path", "out")
+    """path names it, any says whether it or an element above it is out."""
 
-    def __init__(self, tag: str, path: str, out: bool):
-        self.tag, self.path, self.out = tag, path, out
+    __slots__ = ("tag", "path", "any")
+
+    def __init__(self, tag: str, path: str, any_: bool):
+        self.tag, self.path, self.any = tag, path, any_
 
 
 def _named(tag: str, attrs: str) -> tuple[str, bool]:
@@ -80,25 +84,33 @@ def _out_name(parts: list[str]) -> bool:
 def blocks(html: str, spared: frozenset[str] | set[str] = frozenset()) -> Iterator[tuple[str, bool, str]]:
     """(path, named out, text) of each block of text, and (path, named out, "") as each element opens.
 
-    The step of an element that is named out begins with "!"; elements of the paths in spared are not out.
+    The step of an element that is named out begins with "!"; elements of the paths in spared are not out. Whether text
+    is out is said of each run of it, so an inline element takes no more than its own words out of a block. A heading
+    in the header of an article or main element is not out.
     """
     stack: list[Element] = []
-    held: list[str] = []
+    held: list[tuple[str, str, bool]] = []
     end, n = 0, len(html)
 
+    def hold(text: str) -> None:
+        top = stack[-1] if stack else None
+        held.append((text, top.path if top else "", top.any if top else False))
+
     def flush() -> Iterator[tuple[str, bool, str]]:
-        text = " ".join(unescape("".join(held)).split())
+        for out in (False, True):
+            runs = [(t, p) for t, p, o in held if o == out]
+            text = " ".join(unescape("".join(t for t, _ in runs)).split())
+            if text:
+                yield (next(p for t, p in runs if not t.isspace()), out, text)
         held.clear()
-        if text:
-            yield (stack[-1].path if stack else "", any(e.out for e in stack), text)
 
     while end < n:
         m = _TOKEN.search(html, end)
         if m is None:
-            held.append(html[end:])
+            hold(html[end:])
             break
         if m.start() > end:
-            held.append(html[end : m.start()])
+            hold(html[end : m.start()])
         end = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -132,18 +144,29 @@ def blocks(html: str, spared: frozenset[str] | set[str] = frozenset()) -> Iterat
                 if stack[i].tag in SCOPES:
                     break
         step, out = _named(tag, attrs)
-        above = stack[-1].path if stack else ""
+        above, over = (stack[-1].path, stack[-1].any) if stack else ("", False)
         if tag in INLINE:
             path = f"{above}/!{step}" if out else above
-            stack.append(Element(tag, path, out and path not in spared))
         else:
             # below DEPTH a block has the path of the container there: nothing is lost, and paths stay bounded
             path = f"{above}/{'!' * out}{step}" if tag in MAIN or out or above.count("/") < DEPTH else above
-            stack.append(Element(tag, path, out and path not in spared))
-            yield (path, any(e.out for e in stack), "")
+        if over and _TITLE.match(tag) and _own_header(stack):
+            over = False
+        stack.append(Element(tag, path, over or out and path not in spared))
+        if tag not in INLINE:
+            yield (path, stack[-1].any, "")
     yield from flush()
 
 
+_TITLE = re.compile("h[1-6]$")
+
+
+def _own_header(stack: list[Element]) -> bool:
+    """Whether all that is out here is one header of an article or main element."""
+    at = next(i for i, e in enumerate(stack) if e.any)
+    return stack[at].tag == "header" and at > 0 and stack[at - 1].tag in MAIN and not any("!" in e.path[len(stack[at].path) :] for e in stack[at + 1 :])
+
+
 def _outs(path: str) -> list[str]:
     """The paths of the named out elements of a path."""
     return [path[: m.end()] for m in re.finditer(r"/![^/]*", path)]
@@ -180,8 +203,11 @@ def _hash(*what: str) -> int:
     return xxhash.xxh3_64_intdigest("\0".join(what)) - (1 << 63)
 
 
-_STATS = pa.schema([("host", pa.string()), ("path", pa.string()), ("out", pa.bool_()), ("token", pa.int64()), ("pages", pa.int64()), ("vector", pa.int64()), ("chars", pa.int64()), ("times", pa.int64())])
-_STATS_DDL = "host string, path string, out boolean, token long, pages long, vector long, chars long, times long"
+#: Bits that a page sets one of in a token's mask: their number is its support, the same for repeated rows.
+MASKS = 4
+_SUMS = ("pages", "low", "high", "chars", "times")
+_STATS = pa.schema([("host", pa.string()), ("path", pa.string()), ("out", pa.bool_()), ("token", pa.int64()), *((k, pa.int64()) for k in _SUMS), *((f"mask{k}", pa.int64()) for k in range(MASKS))])
+_STATS_DDL = "host string, path string, out boolean, token long, " + ", ".join(f"{k} long" for k in _SUMS) + "".join(f", mask{k} long" for k in range(MASKS))
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,15 +222,16 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     x = seen.setdefault((path, out, _hash(path, text) if text else 0), [0, 0])
                     x[0] += 1
                     x[1] += len(text)
-                host = host_of(url)
+                host, bit = host_of(url), _hash(str(page), url or "", html or "") % (64 * MASKS)
                 for (path, out, token), (n, chars) in seen.items():
-                    s = sums.setdefault((host, path, out, token), [0, 0, 0, 0])
-                    s[0] += 1
-                    s[1] ^= _hash(str(page), url or "", str(n))
-                    s[2] += chars
-                    s[3] += n
+                    s = sums.setdefault((host, path, out, token), [0] * (len(_SUMS) + MASKS))
+                    v = _hash(str(page), url or "", str(n)) + (1 << 63)
+                    for k, x in enumerate((1, v & 0x7FFFFFFF, v >> 33, chars, n)):
+                        s[k] += x
+                    s[len(_SUMS) + bit // 64] |= 1 << bit % 64
             if sums:
-                yield batch_of(_STATS, zip(*((*k, *v) for k, v in sums.items())))
+                signed = lambda x: x - (x >> 63 << 64)
+                yield batch_of(_STATS, zip(*((*k, *v[: len(_SUMS)], *map(signed, v[len(_SUMS) :])) for k, v in sums.items())))
 
 
 def _above(path):
@@ -213,20 +240,28 @@ def _above(path):
     return F.array_distinct(F.transform(F.sequence(F.lit(2), F.greatest(F.size(steps), F.lit(2))), lambda k: F.array_join(F.slice(steps, 1, k), "/")))
 
 
+def _summed(tokens: DataFrame, by: list[str]) -> DataFrame:
+    support = sum((F.bit_count(F.bit_or(f"mask{k}")) for k in range(MASKS)), F.lit(0))
+    return tokens.groupBy(*by).agg(*[F.sum(k).alias(k) for k in _SUMS], support.alias("support"), *[F.bit_or(f"mask{k}").alias(f"mask{k}") for k in range(MASKS)])
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """host -> its main container's path and the template's texts.
 
-    A text is steady if its vector equals that of a container above it (its own among them), of whose text a quarter or
-    more is not such. Steady texts of MIN_PAGES pages or more are the template's. The main container is an article or
-    main element where the varying text is in one; else the deepest element of BOXES that is once on its pages and keeps
+    A text is steady if its class has a tag above it, of whose text a quarter or more is not of the class. Steady texts
+    of MIN_PAGES pages or more are the template's if their anchors are valid. The main container is an article or main
+    element where the varying text is in one; else the deepest element of BOXES that is once on its pages and keeps
     nearly all of the varying text, since what is outside of it is lost.
     """
     keyed = pages.select(F.col("page_id").cast("string").alias("page"), "url", "html")
-    tokens = scratch(keyed.mapInArrow(_occurrences, _STATS_DDL).groupBy("host", "path", "out", "token").agg(F.sum("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector"), F.sum("chars").alias("chars"), F.sum("times").alias("times")), "html-tokens")
-    tags = tokens.where("token = 0").groupBy("host", F.col("path").alias("container")).agg(F.sum("pages").alias("pages"), F.expr("bit_xor(vector)").alias("vector"), F.sum("times").alias("times"))
-    texts = tokens.where("token <> 0")
+    tokens = scratch(_summed(keyed.mapInArrow(_occurrences, _STATS_DDL), ["host", "path", "out", "token"]), "html-tokens")
+    vector = ["host", "pages", "low", "high"]
+    tags = _summed(tokens.where("token = 0"), ["host", "path"]).withColumnRenamed("path", "container").drop("chars", *[f"mask{k}" for k in range(MASKS)])
+    texts = tokens.where("token <> 0").drop("times", *[f"mask{k}" for k in range(MASKS)])
     inside = F.expr("path = container or startswith(path, container || '/')")
-    pairs = scratch(texts.where("pages > 1").join(tags.drop("times"), ["host", "vector", "pages"]).where(inside).select("host", "container", "path", "out", "token", "pages", "chars"), "html-pairs")
+    # the classes: tokens of equal vectors, here a text with each tag of its class above it
+    pairs = texts.where("pages > 1").join(tags.select(*vector, "container"), vector).where(inside)
+    pairs = scratch(pairs.select("host", "container", "path", "out", "token", "support", "chars"), "html-pairs")
     by_path = scratch(texts.groupBy("host", "path", "out").agg(F.sum("chars").alias("chars")), "html-paths")
     spared = _spared(by_path, pairs, tags)
     open_ = F.expr("not out or spared is not null and forall(above, x -> not startswith(element_at(split(x, '/'), -1), '!') or array_contains(spared, x))")
@@ -235,8 +270,13 @@ def templates(pages: DataFrame) -> DataFrame:
     # each container above a path holds its text; paths are few a host, whatever its pages
     whole = by_path.withColumn("container", F.explode(_above("path"))).groupBy("host", "container").agg(F.sum("chars").alias("whole"))
     varied = pairs.groupBy("host", "container").agg(F.sum("chars").alias("same")).join(whole, ["host", "container"]).where("same * 4 <= whole * 3").select("host", "container")
-    steady = scratch(pairs.join(varied, ["host", "container"], "left_semi").select("host", "path", "token", "pages", "chars").distinct(), "html-steady")
-    fixed = steady.where(F.col("pages") >= MIN_PAGES).groupBy("host").agg(F.collect_set("token").alias("fixed"))
+    kept = pairs.join(varied, ["host", "container"], "left_semi")
+    steady = kept.groupBy("host", "path", "token", "support").agg(F.max("chars").alias("chars"), F.max_by("container", F.size(F.split("container", "/"))).alias("anchor"))
+    steady = scratch(steady.withColumn("anchor", F.xxhash64("anchor")), "html-steady")
+    found = steady.where(F.col("support") >= MIN_PAGES).select("host", "token", "anchor")
+    bad = scratch(_disordered(pages, found, spared), "html-disordered")
+    steady = steady.join(bad, ["host", "anchor"], "left_anti")
+    fixed = found.join(bad, ["host", "anchor"], "left_anti").groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("fixed"))
     left = by_path.unionByName(steady.select("host", "path", (-F.col("chars")).alias("chars"))).groupBy("host", "path").agg(F.sum("chars").alias("varying"))
     held = left.withColumn("container", F.explode(_above("path"))).groupBy("host", "container").agg(F.sum("varying").alias("varying"))
     last = F.element_at(F.split("container", "/"), -1)
@@ -250,6 +290,56 @@ def templates(pages: DataFrame) -> DataFrame:
     return best.join(fixed, "host", "full").join(spared, "host", "full").select("host", F.col("best.container").alias("container"), (F.col("best.semantic") == 1).alias("semantic"), "fixed", "spared")
 
 
+_ORDERS = pa.schema([("host", pa.string()), ("anchor", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+
+
+def orders(html: str, anchor_of: dict[int, int], spared: frozenset[str] | set[str] = frozenset()) -> dict[int, set[int]]:
+    """Anchor -> hashes of the sequences of its texts, one after each of its tags; anchors are hashed paths."""
+    anchors, now, out = set(anchor_of.values()), {}, {}
+    known: dict[str, int] = {}
+    for path, _, text in page_blocks(html, spared):
+        if text:
+            token = _hash(path, text)
+            if token in anchor_of:
+                now.setdefault(anchor_of[token], []).append(token)
+            continue
+        a = known.get(path)
+        if a is None:
+            a = known[path] = _spark_hash(path)
+        if a in anchors:
+            if a in now:
+                out.setdefault(a, set()).add(_hash(*map(str, now[a])))
+            now[a] = []
+    for a, tokens in now.items():
+        out.setdefault(a, set()).add(_hash(*map(str, tokens)))
+    return out
+
+
+def _spark_hash(text: str) -> int:
+    """xxhash64() of Spark for one string."""
+    return (xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=42) + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            found: dict[tuple[str, int], set[int]] = {}
+            for host, html, of, spared in zip(*(part.column(k).to_pylist() for k in range(4))):
+                for a, hashes in orders(html or "", {x["token"]: x["anchor"] for x in of}, set(spared or ())).items():
+                    found.setdefault((host, a), set()).update(hashes)
+            if found:
+                yield batch_of(_ORDERS, zip(*((*k, min(v), max(v)) for k, v in found.items())))
+
+
+def _disordered(pages: DataFrame, found: DataFrame, spared: DataFrame) -> DataFrame:
+    """(host, anchor) of the anchors whose texts do not come in one order. Only pages of hosts with anchors are read again."""
+    of = found.groupBy("host").agg(F.collect_list(F.struct("token", "anchor")).alias("of")).join(spared, "host", "left")
+    known = pages.select(_host().alias("host"), "html").join(scratch(of, "html-anchors"), "host").select("host", "html", "of", "spared")
+    seen = known.mapInArrow(_orders, "host string, anchor long, low long, high long")
+    return seen.groupBy("host", "anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("host", "anchor")
+
+
 def _spared(by_path: DataFrame, pairs: DataFrame, tags: DataFrame) -> DataFrame:
     """host -> the paths of named out elements that hold most of its varying text, where no article or main element has text; known from MIN_PAGES pages on."""
     steady = pairs.select("host", "path", "out", "token", "chars").distinct()
@@ -258,7 +348,7 @@ def _spared(by_path: DataFrame, pairs: DataFrame, tags: DataFrame) -> DataFrame:
     hosts = moving.groupBy("host").agg(F.sum("chars").alias("total"), F.max(~F.col("out") & F.col("path").rlike(r"/(article|main)(\.|/|$)")).alias("semantic")).where("not semantic").drop("semantic")
     last = F.element_at(F.split("container", "/"), -1)
     named = last.startswith("!") & ~F.ltrim(F.substring_index(last, ".", 1), F.lit("!")).isin(*NEVER)
-    most = held.where(named).join(hosts, "host").where("held * 2 > total").join(tags.where(F.col("pages") >= MIN_PAGES).select("host", "container"), ["host", "container"], "left_semi")
+    most = held.where(named).join(hosts, "host").where("held * 2 > total").join(tags.where(F.col("support") >= MIN_PAGES).select("host", "container"), ["host", "container"], "left_semi")
     return most.groupBy("host").agg(F.collect_set("container").alias("spared"))
 
 
@@ -295,11 +385,18 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch_of(_OUT, [ids, urls, [main_text(h or "", c, bool(s), set(f or ()), set(x or ())) for h, c, s, f, x in zip(htmls, boxes, semantic, fixed, spared)]])
 
 
+def _host() -> Column:
+    return F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/?#:]*)", 1), F.lit("")))
+
+
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url and main text of every row. The pages meet their host's template in a join that Spark may split where a host is hot."""
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/?#:]*)", 1), F.lit("")))
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
-    joined = keyed.join(templates(pages), "host", "left").select("page_id", "url", "html", "container", "semantic", "fixed", "spared")
+    """page_id, url and main text of every row.
+
+    The templates are a written table of a row a host, so pages meet them in a join whose sides are plain exchanges:
+    Spark broadcasts a small one, and else splits the pages of a hot host.
+    """
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _host().alias("host"))
+    joined = keyed.join(scratch(templates(pages), "html-templates"), "host", "left").select("page_id", "url", "html", "container", "semantic", "fixed", "spared")
     return joined.mapInArrow(_extract, "page_id long, url string, text string")
 
 

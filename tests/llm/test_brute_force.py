@@ -647,6 +647,88 @@ def texts_of(pages):
     return {r["page_id"]: r["text"] for r in html_template.extract(pages).collect()}
 
 
+def plain_template(pages):
+    """Texts (path, words) that the pages' template holds. A page is a list of (path, text), with text None where an element opens; all by comparing whole vectors and sequences."""
+    tokens = {x for page in pages for x in page}
+    vector = {x: tuple(page.count(x) for page in pages) for x in tokens}
+    size = lambda keep: sum(len(t) for page in pages for p, t in page if t is not None and keep(p, t))
+    anchors = defaultdict(set)
+    for path, text in tokens:
+        if text is None or sum(n > 0 for n in vector[path, text]) < 4:
+            continue
+        above = [p for p, t in tokens if t is None and (path + "/").startswith(p + "/") and vector[p, None] == vector[path, text]]
+        for a in sorted(above, key=len, reverse=True):
+            under = lambda p, a=a: (p + "/").startswith(a + "/")
+            same = size(lambda p, t: under(p) and vector[p, t] == vector[a, None])
+            if 4 * same <= 3 * size(lambda p, t: under(p)):
+                anchors[a].add((path, text))
+                break
+    out = set()
+    for a, texts in anchors.items():
+        orders = set()
+        for page in pages:
+            now = None
+            for x in [*page, (a, None)]:
+                if x == (a, None):
+                    if now is not None:
+                        orders.add(tuple(now))
+                    now = []
+                elif x in texts and now is not None:
+                    now.append(x)
+        if len(orders) == 1:
+            out |= texts
+    return out
+
+
+def test_templates_against_plain(spark):
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows, want = [], {}
+    for h in range(6):
+        notes = [" ".join(word() for _ in range(3)) for _ in range(4)]
+        kinds = ["div", "section", "p", "blockquote"]
+        boxes = [(r.choice(kinds), note) for note in notes]
+        n = r.choice([3, 5, 8])
+        pages = []
+        for k in range(n):
+            at = sorted(r.sample(range(12), 4)) if h % 2 else sorted(r.sample(range(12), 4), key=lambda x: r.random())
+            body = [("p", " ".join(word() for _ in range(12))) for _ in range(12)]
+            if h in (1, 2, 3):
+                for place, box in sorted(zip(at, boxes), reverse=True):
+                    body.insert(place, box)
+            elif k % 2:  # on half of the pages only: no tag has that vector
+                body.insert(3, boxes[0])
+            page = [("/html", None), ("/html/body", None), ("/html/body/div.text", None)]
+            for tag, text in body:
+                page += [(f"/html/body/div.text/{tag}", None), (f"/html/body/div.text/{tag}", text)]
+            pages.append(page)
+            html_ = "<html><body><div class=text>" + "".join(f"<{tag}>{text}</{tag}>" for tag, text in body) + "</div></body></html>"
+            rows.append((100 * h + k, f"http://host{h}.example/{k}", html_))
+        gone = plain_template(pages)
+        assert bool(gone) == (n >= 4 and h in (1, 3)) or h == 2
+        for k, page in enumerate(pages):
+            want[100 * h + k] = "\n".join(t for p, t in page if t is not None and (p, t) not in gone)
+    schema = "page_id long, url string, html string"
+    assert texts_of(spark.createDataFrame(rows, schema)) == want
+    twice = html_template.extract(spark.createDataFrame(rows + rows, schema).repartition(5)).collect()
+    assert len(twice) == 2 * len(rows) and all(x["text"] == want[x["page_id"]] for x in twice)
+
+
+def test_exclusion_is_by_run_of_text():
+    m = html_template.main_text
+    assert m("<article><p>x <span class='ad'>BUY</span> y</p></article>") == "x y"
+    assert m("<article><p>words here <a class='share'>Share</p><p>next</p></article>") == "words here\nnext"
+    assert m("<article><section id='search-algorithms'><p>S</p></section></article>") == "S"
+    assert m("<header><h1>Site</h1></header><article><header><h1>Title</h1><p>by me</p></header><p>body</p></article>") == "Title\nbody"
+    assert m("<article><p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p></article>") == "a x=2 b"
+
+
+def test_hashes_are_those_of_spark(spark):
+    names = ["", "/html", "/html/body/div.é", "x" * 100]
+    got = spark.createDataFrame([(n,) for n in names], "a string").select(F.xxhash64("a").alias("h")).collect()
+    assert [r["h"] for r in got] == [html_template._spark_hash(n) for n in names]
+
+
 def test_template_texts_go_inside_articles(spark):
     page = lambda k: f"<html><body><article><h1>T{k}</h1><p>Read us daily, only here</p><p>first words of story {k}</p><h2>Summary</h2><p>the other words {k} of it</p><div class=x>Send us your mail</div></article></body></html>"
     got = texts_of(html_pages(spark, *map(page, range(6))))
