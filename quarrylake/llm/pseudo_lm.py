@@ -3,7 +3,7 @@
 Every word is predicted from the words on both sides. A word's place among all words is a path of LEVELS digits: all
 but the last a hash of its ending, so that like words are near, the last a hash of the word. A network in numpy with a
 window of two words to either side (an embedding for each place and ending, a hidden layer) gives each digit's
-probability after the digits before it: the hidden layer is scaled by the path so far, and a softmax over DIGITS
+probability after the digits before it: the hidden layer is scaled by the first two of them, and a softmax over DIGITS
 follows. The words that share a whole path have their shares of its corpus count.
 So log P(word | both sides) = sum of the digits' log-probabilities + log n(word) - log n(path), a distribution over all
 words of the corpus, and a document's score is the sum over its words. The softmaxes' offsets are the corpus counts of
@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import batch_of, id_text_rows, most_frequent, read_table, scratch
 
-SIDES, HIDDEN, DIGITS, LEVELS = (-2, -1, 1, 2), 24, 16, 4
+SIDES, HIDDEN, DIGITS, LEVELS = (-2, -1, 1, 2), 16, 16, 4
 #: A word's ending is its last ENDING bytes, one of ENDINGS hashes; EDGE is what is beyond a text's ends.
-ENDING, ENDINGS, LEAVES, SCALES = 3, DIGITS ** (LEVELS - 1), DIGITS**LEVELS, 1024
+ENDING, ENDINGS, LEAVES = 3, DIGITS ** (LEVELS - 1), DIGITS**LEVELS
 EDGE = ENDINGS
-ROUNDS, SHARD, BATCH, RATE, FAN_IN, LEAST = 4, 1 << 20, 2048, 0.1, 64, 0.1
-KEPT, COUNTED = 1 << 16, 200_000
+ROUNDS, SHARD, BATCH, RATE, FAN_IN, LEAST = 4, 1 << 20, 2048, 0.1, 32, 0.1
+#: Words whose windows a shard holds at a time.
+CHUNK = 1 << 17
+KEPT, COUNTED, KNOWN = 1 << 16, 100_000, 200_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -49,7 +51,7 @@ class _Keys(dict):
     """Word -> key: 12 bits of its ending's hash, 52 of its own; the first 16 are its path. Bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > KNOWN:
             self.clear()
         key = self[word] = xxhash.xxh3_64_intdigest(word[-ENDING:]) % ENDINGS << 52 | xxhash.xxh3_64_intdigest(word) >> 12
         return key
@@ -94,25 +96,23 @@ class Prior:
 
 
 class Network:
-    """Parameters: embeddings for each place, hidden bias, scales by beginning of a path, output weights of each level."""
+    """Parameters: embeddings for each place, hidden bias, scales by the first and the first two digits, output weights of each level."""
 
-    SHAPES = (*[(ENDINGS + 1, HIDDEN)] * len(SIDES), (HIDDEN,), *[(min(DIGITS**d, SCALES), HIDDEN) for d in range(1, LEVELS)], *[(HIDDEN, DIGITS)] * LEVELS)
+    SHAPES = (*[(ENDINGS + 1, HIDDEN)] * len(SIDES), (HIDDEN,), (DIGITS, HIDDEN), (DIGITS**2, HIDDEN), *[(HIDDEN, DIGITS)] * LEVELS)
 
     def __init__(self, parts: list[np.ndarray], prior: Prior):
         self.parts, self.prior = parts, prior
         k = len(SIDES)
-        self.embeddings, self.bias, self.scales, self.weights = parts[:k], parts[k], [None, *parts[k + 1 : k + LEVELS]], parts[k + LEVELS :]
+        self.embeddings, self.bias, self.scales, self.weights = parts[:k], parts[k], parts[k + 1 : k + 3], parts[k + 3 :]
 
     @classmethod
     def start(cls, prior: Prior, seed: int = 7) -> Network:
         draw = np.random.default_rng(seed)
         k = len(SIDES)
-        parts = [draw.normal(0, 0.1, s).astype(np.float32) if i < k else np.zeros(s, np.float32) for i, s in enumerate(cls.SHAPES)]
-        for i in range(k + 1, k + LEVELS):
-            parts[i] += 1
-        for i in range(k + LEVELS, len(parts)):
-            parts[i] = draw.normal(0, 0.05, cls.SHAPES[i]).astype(np.float32)
-        return cls(parts, prior)
+        embeddings = [draw.normal(0, 0.1, s) for s in cls.SHAPES[:k]]
+        middle = [np.zeros(cls.SHAPES[k]), *[np.ones(s) for s in cls.SHAPES[k + 1 : k + 3]]]
+        weights = [draw.normal(0, 0.05, s) for s in cls.SHAPES[k + 3 :]]
+        return cls([p.astype(np.float32) for p in (*embeddings, *middle, *weights)], prior)
 
     def pack(self) -> bytes:
         return np.concatenate([p.ravel() for p in self.parts]).astype("<f4").tobytes()
@@ -122,51 +122,49 @@ class Network:
         cuts = np.cumsum([int(np.prod(s)) for s in cls.SHAPES])[:-1]
         return cls([p.reshape(s).astype(np.float32) for p, s in zip(np.split(flat, cuts), cls.SHAPES)], prior)
 
-    def forward(self, context: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, list, np.ndarray]:
-        """Hidden values, what each level saw, and the log-probability of each path."""
+    def forward(self, context: np.ndarray, path: np.ndarray) -> tuple[np.ndarray, list, list, np.ndarray]:
+        """Hidden values, their scales (rows, values), what each level saw, and the log-probability of each path."""
         hidden = self.bias + self.embeddings[0][context[0]]
         for e, c in zip(self.embeddings[1:], context[1:]):
             hidden += e[c]
         np.tanh(hidden, out=hidden)
+        scaled = [(at, t[at]) for t, at in zip(self.scales, (path >> 12, path >> 8))]
+        inputs = [hidden, *(hidden * s for _, s in scaled)]
         rows, ones, seen = np.arange(len(path)), np.ones(DIGITS, hidden.dtype), []
         total = np.zeros(len(path), hidden.dtype)
-        for level, (scale, weight) in enumerate(zip(self.scales, self.weights)):
-            above = path >> 4 * (LEVELS - level)
+        for level, (weight, offset) in enumerate(zip(self.weights, self.prior.levels)):
             digit = path >> 4 * (LEVELS - 1 - level) & DIGITS - 1
-            at = above % len(scale) if level else None
-            s = scale[at] if level else None
-            h = hidden * s if level else hidden
+            h = inputs[min(level, 2)]
             z = h @ weight
-            z += self.prior.levels[level][above] if level else self.prior.levels[0]
+            z += offset[path >> 4 * (LEVELS - level)] if level else offset
             np.minimum(z, 60, out=z)
             total += z[rows, digit]
             np.exp(z, out=z)
             norm = z @ ones
             total -= np.log(norm)
-            seen.append((at, s, h, z, norm, digit))
-        return hidden, seen, total
+            seen.append((h, z, norm, digit))
+        return hidden, scaled, seen, total
 
     def gradient(self, context: np.ndarray, path: np.ndarray) -> list[tuple[np.ndarray | slice, np.ndarray]]:
         """(rows, slope of the summed log-probability there) of each part."""
-        hidden, seen, _ = self.forward(context, path)
-        rows = np.arange(len(path))
-        back = np.zeros_like(hidden)
-        scales, weights = [], []
-        for (at, s, h, z, norm, digit), weight in zip(seen, self.weights):
+        hidden, scaled, seen, _ = self.forward(context, path)
+        rows, weights = np.arange(len(path)), []
+        back = [np.zeros_like(hidden) for _ in range(3)]
+        for level, ((h, z, norm, digit), weight) in enumerate(zip(seen, self.weights)):
             z *= (-1 / norm)[:, None]
             z[rows, digit] += 1
             weights.append((slice(None), h.T @ z))
-            g = z @ weight.T
-            if at is not None:
-                scales.append(_by_row(at, g * hidden))
-                g *= s
-            back += g
-        back *= 1 - hidden * hidden
-        return [*[_by_row(c, back) for c in context], (slice(None), back.sum(axis=0)), *scales, *weights]
+            back[min(level, 2)] += z @ weight.T
+        scales = [_by_row(at, g * hidden) for g, (at, _) in zip(back[1:], scaled)]
+        whole = back[0]
+        for g, (_, s) in zip(back[1:], scaled):
+            whole += g * s
+        whole *= 1 - hidden * hidden
+        return [*[_by_row(c, whole) for c in context], (slice(None), whole.sum(axis=0)), *scales, *weights]
 
 
 def _by_row(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # a radix sort: no table has more rows
     row = at[order]
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     return row[first], np.add.reduceat(g[order], first, axis=0)
@@ -240,14 +238,28 @@ _PARTS = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("net", pa.binary(
 _PARTS_DDL = "shard long, n long, net binary"
 
 
+def _chunks(docs: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """The texts in order, as many at a time as have CHUNK words; a longer text is one alone."""
+    held, n = [], 0
+    for d in docs:
+        if held and n + len(d) > CHUNK:
+            yield held
+            held, n = [], 0
+        held.append(d)
+        n += len(d)
+    if held:
+        yield held
+
+
 def train_on(net: Network, docs: list[np.ndarray], seed: int) -> Network:
-    """One pass over the texts, in an order that the seed gives."""
-    trainer = Trainer(net)
-    context, path = windows(docs)
-    order = np.random.default_rng(seed).permutation(len(path))
-    for at in range(0, len(path), BATCH):
-        some = order[at : at + BATCH]
-        trainer.step(context[:, some], path[some])
+    """One pass over the texts, each chunk's words in an order that the seed gives."""
+    trainer, draw = Trainer(net), np.random.default_rng(seed)
+    for some in _chunks(docs):
+        context, path = windows(some)
+        order = draw.permutation(len(path))
+        for at in range(0, len(path), BATCH):
+            now = order[at : at + BATCH]
+            trainer.step(context[:, now], path[now])
     return trainer.net
 
 
@@ -299,11 +311,11 @@ _SCORES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa
 
 def path_scores(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     """log P(path | both sides) of all words of the texts, given as paths."""
-    context, path = windows(docs)
-    out = np.empty(len(path))
-    for at in range(0, len(path), BATCH):
-        out[at : at + BATCH] = net.forward(context[:, at : at + BATCH], path[at : at + BATCH])[2]
-    return out
+    out = []
+    for some in _chunks(docs):
+        context, path = windows(some)
+        out += [net.forward(context[:, at : at + BATCH], path[at : at + BATCH])[-1] for at in range(0, len(path), BATCH)]
+    return np.concatenate(out).astype(float)
 
 
 def score(docs: DataFrame, counts: Counts, net: Network) -> DataFrame:

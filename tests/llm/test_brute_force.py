@@ -300,7 +300,7 @@ def test_network_gradient():
     net = pseudo_lm.Network.start(prior_of([text]))
     net = pseudo_lm.Network([p.astype(np.float64) + g.normal(0, 0.3, p.shape) for p in net.parts], net.prior)
     context, path = pseudo_lm.windows([text])
-    total = lambda: float(net.forward(context, path)[2].sum())
+    total = lambda: float(net.forward(context, path)[-1].sum())
     for p, (at, d) in zip(net.parts, net.gradient(context, path)):
         k = np.unravel_index(np.abs(d).argmax(), d.shape)
         k = k if isinstance(at, slice) else (at[k[0]], *k[1:])
@@ -339,9 +339,8 @@ def plain_log_prob(net, count, words, k):
             if list(leaf[:level]) == so_far:
                 below[leaf[level]] += m
         below += 0.1 * 16 ** (3 - level)
-        above = sum(d * 16 ** (len(so_far) - 1 - i) for i, d in enumerate(so_far))
-        h = hidden * net.parts[n + level][above % len(net.parts[n + level])] if level else hidden
-        z = h @ net.parts[n + 4 + level] + np.log(below / below.sum())
+        h = hidden * net.parts[n + 1][so_far[0]] if level == 1 else hidden * net.parts[n + 2][16 * so_far[0] + so_far[1]] if level else hidden
+        z = h @ net.parts[n + 3 + level] + np.log(below / below.sum())
         out += z[digit] - np.log(np.exp(z).sum())
         so_far.append(digit)
     return out + np.log(count[words[k]] / leaves[tuple(digits(words[k]))])
