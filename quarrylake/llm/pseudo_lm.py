@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import batch_of, id_text_rows, most_frequent, read_table, scratch
 
@@ -272,15 +272,20 @@ def _mean(table: pa.Table) -> pa.Table:
     return pa.table([[table.column("shard")[0].as_py() // FAN_IN], [n], [(total / n).astype("<f4").tobytes()]], schema=_PARTS)
 
 
+def shard_codes(docs: DataFrame, mark: Column, shards: int) -> DataFrame:
+    """(shard, mark, codes) of each text, a partition a shard."""
+    codes = docs.select(F.pmod(F.shiftright(mark, 8), F.lit(shards)).cast("int").alias("shard"), mark.alias("mark"), "text")
+    return codes.mapInArrow(_codes, "shard int, mark long, codes binary").repartitionById(shards, F.col("shard"))
+
+
 def train(docs: DataFrame, counts: Counts) -> Network:
     """The rounds one after the other; each has its own documents, and ends with the mean of its shards."""
-    net = Network.start(counts.prior)
+    net = Network.start(counts.prior)  # the mark's low bits give the round, others the shard
     shards = max(1, round(counts.total / ROUNDS / SHARD))
     mark = F.xxhash64("doc_id", "text")
     for turn in range(ROUNDS):
         mine = docs.where((F.pmod(mark, F.lit(ROUNDS)) == turn) & F.col("text").isNotNull())
-        codes = mine.select(F.pmod(F.floor(mark / ROUNDS), F.lit(shards)).cast("int").alias("shard"), mark.alias("mark"), "text")
-        codes = codes.mapInArrow(_codes, "shard int, mark long, codes binary").repartitionById(shards, F.col("shard"))
+        codes = shard_codes(mine, mark, shards)
         start = net
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

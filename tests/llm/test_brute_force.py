@@ -374,6 +374,12 @@ def test_lm_is_a_function_of_the_rows(spark, small, monkeypatch):
     assert max(abs((found[0][i] or 0) - (found[1][i] or 0)) for i in found[0]) < 1e-3
 
 
+def test_lm_shards_are_even(spark):
+    docs = spark.createDataFrame([(k, f"some words {k}") for k in range(2000)], "doc_id long, text string")
+    got = pseudo_lm.shard_codes(docs, F.xxhash64("doc_id", "text"), 10).withColumn("part", F.spark_partition_id()).groupBy("shard", "part").count().collect()
+    assert len(got) == 10 and all(r["shard"] == r["part"] and 120 < r["count"] < 280 for r in got)
+
+
 def test_lm_knows_more_than_word_counts():
     import os
 
