@@ -139,7 +139,7 @@ VIEWS = {
           WHERE length(t) >= 3 OR (length(t) = 2 AND regexp_matches(t, '\p{L}') AND regexp_matches(t, '[^\x00-\x7F]'))),
         title_terms AS (SELECT doc_id, lower(t) AS term FROM title_tokens
           UNION ALL SELECT doc_id, term FROM (SELECT doc_id, lower(t) AS low, unnest(list_transform(string_split_regex(regexp_replace(t, '([\p{Ll}\p{N}])(\p{Lu})', '\1 \2', 'g'), '[._/''-]+'), lambda p: lower(p))) AS term FROM title_tokens) WHERE length(term) >= 2 AND term <> low)""",
-    "query_terms": r"""query_terms AS (SELECT DISTINCT item_id, lower(t) AS term FROM (SELECT item_id, unnest(list_slice(list_filter(regexp_extract_all(translate(text, 'ʼ’‐‑‒–—―−', '''''-------'), '[\p{L}\p{N}][\p{L}\p{M}\p{N}]*(?:[._/''-][\p{L}\p{N}][\p{L}\p{M}\p{N}]*)*'), lambda t: length(t) >= 3), 1, 6)) AS t FROM benchmark))""",
+    "query_terms": r"""query_terms AS (SELECT DISTINCT item_id, lower(t) AS term FROM (SELECT item_id, unnest(list_filter(regexp_extract_all(translate(text, 'ʼ’‐‑‒–—―−', '''''-------'), '[\p{L}\p{N}][\p{L}\p{M}\p{N}]*(?:[._/''-][\p{L}\p{N}][\p{L}\p{M}\p{N}]*)*'), lambda t: length(t) >= 3)) AS t FROM benchmark))""",
 }
 
 

@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scores as S, text as X
+from .traversal import written
 
 
 def weighted_terms(docs: DataFrame, key: str, fields: dict[str, int], body: str) -> DataFrame:
-    """(key, term, field_weight, tf): the greatest weight of the fields that have the term; tf counts the body's terms.
+    """(key, term, field_weight, tf, n): the greatest weight of the fields that have the term; n counts the body's terms, tf is n or 1.
 
     Tokens are exploded before they are tested and opened, so that this runs in generated code and not in array
     lambdas; one aggregate, which combines on the map side.
@@ -19,7 +20,13 @@ def weighted_terms(docs: DataFrame, key: str, fields: dict[str, int], body: str)
     parts = F.array(field(body, S.BODY, 1), *[field(c, w, 0) for c, w in fields.items()])
     found = docs.select(key, F.explode(parts).alias("x")).select(key, "x.w", "x.n", F.explode("x.ts").alias("t")).where(X.is_token(F.col("t")))
     terms = found.select(key, "w", "n", F.explode(X.token_terms(F.col("t"))).alias("term"))
-    return terms.groupBy(key, "term").agg(F.max("w").alias("field_weight"), F.greatest(F.sum("n"), F.lit(1)).cast("long").alias("tf"))
+    return terms.groupBy(key, "term").agg(F.max("w").alias("field_weight"), F.greatest(F.sum("n"), F.lit(1)).cast("long").alias("tf"), F.sum("n").cast("long").alias("n"))
+
+
+def with_lengths(docs: DataFrame, postings: DataFrame, key: str) -> DataFrame:
+    """docs with their lengths, the sums of n over their postings: the texts are not read again for them."""
+    n = postings.where("n > 0").groupBy(F.col(key).alias("_key")).agg(F.sum("n").alias("length"))
+    return docs.join(n, F.col(key) == F.col("_key"), "left").drop("_key").withColumn("length", F.coalesce("length", F.lit(0).cast("long")))
 
 
 def document_lengths(docs: DataFrame, key: str, body: str) -> DataFrame:
@@ -36,6 +43,14 @@ def document_frequency(postings: DataFrame, docs: DataFrame, key: str, logical:
     return postings.select(key, "term").join(docs.select(key, logical), key).groupBy("term").agg(F.countDistinct(logical).alias("frequency"))
 
 
+def term_frequency(docs: DataFrame, fields: set[str], name: str, wanted: DataFrame, logical: str = "logical_key") -> DataFrame:
+    """term -> logical documents that have it, of the wanted terms only: terms meet them before anything is aggregated."""
+    tokens = docs.select(logical, F.explode(F.array(*[X.raw_tokens(F.col(f)) for f in sorted(fields)])).alias("ts")).select(logical, F.explode("ts").alias("t")).where(X.is_token(F.col("t")))
+    terms = tokens.select(logical, F.explode(X.token_terms(F.col("t"))).alias("term"))
+    named = docs.where(F.length(name) >= 3).select(logical, F.lower(name).alias("term"))
+    return terms.unionByName(named).join(wanted, "term", "left_semi").groupBy("term").agg(F.countDistinct(logical).alias("frequency"))
+
+
 def select_query_terms(terms: DataFrame, frequency: DataFrame, documents: Column, limit: int = 32, by: str = "query_id") -> DataFrame:
     """The rarest terms of each query that the corpus has, at most limit; ties by the term."""
     scored = terms.join(frequency, "term").withColumn("idf", S.idf(documents, F.col("frequency")))
@@ -47,13 +62,17 @@ def term_top_k(scored: DataFrame, k: int, by: list[str], order: list) -> DataFra
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def bm25(terms: DataFrame, postings: DataFrame, docs: DataFrame, key: str, per_term: int = 256, limit: int = 10) -> DataFrame:
-    """Top documents of each query (query_id, term): terms meet postings, each term keeps its per_term best, a document's scores add up."""
+def bm25(terms: DataFrame, postings: DataFrame, docs: DataFrame, key: str, per_query: int = 32, per_term: int = 256, limit: int = 10) -> DataFrame:
+    """Top documents of each query (query_id, term): the query's per_query rarest terms meet postings, each term keeps its per_term best, a document's scores add up.
+
+    postings is read once for the frequencies and once for the hits, so it should be a written table.
+    """
     stats = logical_statistics(docs)
-    postings = postings.join(terms.select("term").distinct(), "term", "left_semi")  # pushed below the postings' aggregate
-    df = document_frequency(postings, docs, key)
-    idf = df.crossJoin(stats).select("term", S.idf(F.col("documents"), F.col("frequency")).alias("idf"), (F.col("total_length") / F.greatest(F.col("documents"), F.lit(1))).alias("mean_length"))  # one row of statistics
-    hits = postings.join(terms.join(idf, "term"), "term").join(docs.select(key, "uri", "length"), key)
+    wanted = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    df = document_frequency(wanted, docs, key).crossJoin(stats)  # one row of statistics
+    chosen = select_query_terms(terms, df, F.col("documents"), per_query)
+    chosen = chosen.select("query_id", "term", "idf", (F.col("total_length") / F.greatest(F.col("documents"), F.lit(1))).alias("mean_length"))
+    hits = postings.join(chosen, "term").join(docs.select(key, "uri", "length"), key)
     hits = hits.withColumn("term_score", S.bm25(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("idf"), F.col("field_weight")))
     best = term_top_k(hits, per_term, ["query_id", "term"], [F.desc("term_score"), F.desc("field_weight"), "uri"])
     total = best.groupBy("query_id", key, "uri").agg(F.round(F.sum("term_score"), 6).alias("score"))
@@ -84,11 +103,20 @@ def exact_strength(matches: DataFrame, bonus: int = 4) -> DataFrame:
     return m.join(exact_frequency(matches), "term").groupBy("uri").agg(F.sum(weight).alias("strength"), F.array_sort(F.collect_set("term")).alias("terms"))
 
 
+def numbered(rows: DataFrame, order: list, name: str = "position") -> DataFrame:
+    """rows with their place in one order. The sorted rows are written, then numbered by partition: no task sees all of them."""
+    ranged = written(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row a partition
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return ranged.join(before.drop("_n"), part == F.col("_part")).withColumn(name, F.col("_before") + inside + 1).drop("_at", "_part", "_before")
+
+
 def exact_boost(hits: DataFrame, matches: DataFrame) -> DataFrame:
     """Ranked hits and exact matches in one list: stronger exact evidence first inside a category, then score; exact-only rows join with score 0."""
     both = hits.join(exact_strength(matches), "uri", "full_outer").withColumn("category", F.coalesce("category", X.category_of(F.col("uri"))))
-    order = [F.when(F.col("category") == "memories", 0).when(F.col("category") == "resources", 1).otherwise(2), F.desc(F.coalesce("strength", F.lit(0.0))), F.desc(F.coalesce("score", F.lit(0.0))), "uri"]
-    return both.withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("strength", F.coalesce("strength", F.lit(0.0))).withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    both = both.withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("strength", F.round(F.coalesce("strength", F.lit(0.0)), 9))
+    return numbered(both, [F.when(F.col("category") == "memories", 0).when(F.col("category") == "resources", 1).otherwise(2), F.desc("strength"), F.desc("score"), "uri"])
 
 
 def merge_hits(passes: list[DataFrame]) -> DataFrame:

@@ -15,10 +15,12 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where the session names none (tests)."""
+    """spark.checkpoint.dir, or a temporary folder where the session names none and runs on one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quarrylake-"))
     return _LOCAL[app]
@@ -33,7 +35,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "outgoing") -> DataFrame:
     """(id, depth, parent, edge_id) of nodes within depth of the seeds; the least parent and edge of the first round that reaches a node."""
     a, b = ("source_id", "target_id") if direction == "outgoing" else ("target_id", "source_id")
-    step = edges.where("source_id is not null and target_id is not null").select(F.col(a).alias("from"), F.col(b).alias("to"), F.col("id").alias("edge_id"))
+    # the edges of every round, read from their sources once
+    step = written(edges.where("source_id is not null and target_id is not null").select(F.col(a).alias("from"), F.col(b).alias("to"), F.col("id").alias("edge_id")), "step")
     seen = seeds.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("edge_id")).distinct()
     seen = written(seen, "reach")
     frontier = seen
@@ -52,7 +55,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, depth: int = 8) ->
     schema = "step int, id string, edge_id string"
     if source == target:
         return spark.createDataFrame([(0, source, None)], schema)
-    e = edges.where("source_id is not null and target_id is not null").select(F.col("source_id").alias("from"), F.col("target_id").alias("to"), F.col("id").alias("edge_id"))
+    e = written(edges.where("source_id is not null and target_id is not null").select(F.col("source_id").alias("from"), F.col("target_id").alias("to"), F.col("id").alias("edge_id")), "step")
     seen = spark.createDataFrame([(source,)], "id string")
     frontier, rounds = seen, []
     for _ in range(depth):
@@ -94,6 +97,8 @@ def components(edges: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFram
         if this == last:
             break
         last = this
+    else:
+        raise RuntimeError("components did not settle")
     return nodes.select("id").join(now.select(F.col("u").alias("id"), F.col("v").alias("r")), "id", "left").select("id", F.coalesce("r", "id").alias("root"))
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..adapters import code_edges, edges, read, snapshot_symbols, sql, symbols
-from ..functions import text as X
+from ..adapters import edges, read, snapshot_symbols, sql, symbols
+from ..functions import text as X, versions as V
 from ..operators import graph as G, traversal as T
 
 QUERIES: dict = {}
@@ -124,17 +124,44 @@ def tiered_resolution(spark, d):
     return G.tiered_resolution(_references(spark, d), lookup).select("reference_id", "tier", "matches", "target_id")
 
 
-@query("""WITH imports AS (SELECT 'r' || (p_size % 10) AS repository, p_type AS identity, p_partkey AS import_id, CASE WHEN p_partkey % 4 = 0 THEN CAST(p_size % 5 AS VARCHAR) END AS version FROM part),
-  exports AS (SELECT DISTINCT 'r' || (10 + p_size % 3) AS repository, p_type AS identity, CAST(p_size % 5 AS VARCHAR) AS version, 'x' || (p_size % 15) AS symbol_id FROM part WHERE p_partkey % 37 = 0),
+@query("""WITH imports AS (SELECT 'r' || (p_size % 10) AS repository, p_brand || '/' || p_type AS identity, p_partkey AS import_id, CASE WHEN p_partkey % 4 = 0 THEN CAST(p_size % 5 AS VARCHAR) END AS version FROM part),
+  exports AS (SELECT DISTINCT 'r' || (10 + p_size % 3) AS repository, p_brand || '/' || p_type AS identity, CAST(p_size % 5 AS VARCHAR) AS version, 'x' || (p_size % 15) AS symbol_id FROM part),
   n AS (SELECT i.repository, i.identity, import_id, count(*) AS candidates, count(CASE WHEN coalesce(i.version = e.version, true) THEN 1 END) AS fitting, min(CASE WHEN coalesce(i.version = e.version, true) THEN e.repository END) AS producer, max(CASE WHEN e.repository = i.repository THEN 1 ELSE 0 END) AS local FROM imports i JOIN exports e USING (identity) GROUP BY ALL)
 SELECT repository, identity, import_id, CASE WHEN fitting = 1 THEN 'bridge' WHEN fitting > 1 THEN 'ambiguous-producer' ELSE 'incompatible-package-version' END AS state, CASE WHEN fitting > 1 THEN fitting ELSE candidates END AS candidates, CASE WHEN fitting = 1 THEN producer END AS producer FROM n WHERE local = 0""")
 def bridge_resolution(spark, d):
     p = read(spark, d, "part")
-    imports = p.select(F.concat(F.lit("r"), (F.col("p_size") % 10).cast("string")).alias("repository"), F.col("p_type").alias("identity"), F.col("p_partkey").alias("import_id"), F.when(F.col("p_partkey") % 4 == 0, (F.col("p_size") % 5).cast("string")).alias("version"))
-    exports = p.where("p_partkey % 37 = 0").select(F.concat(F.lit("r"), (F.lit(10) + F.col("p_size") % 3).cast("string")).alias("repository"), F.col("p_type").alias("identity"), (F.col("p_size") % 5).cast("string").alias("version"), F.concat(F.lit("x"), (F.col("p_size") % 15).cast("string")).alias("symbol_id")).distinct()
+    identity = F.concat_ws("/", "p_brand", "p_type").alias("identity")
+    imports = p.select(F.concat(F.lit("r"), (F.col("p_size") % 10).cast("string")).alias("repository"), identity, F.col("p_partkey").alias("import_id"), F.when(F.col("p_partkey") % 4 == 0, (F.col("p_size") % 5).cast("string")).alias("version"))
+    exports = p.select(F.concat(F.lit("r"), (F.lit(10) + F.col("p_size") % 3).cast("string")).alias("repository"), identity, (F.col("p_size") % 5).cast("string").alias("version"), F.concat(F.lit("x"), (F.col("p_size") % 15).cast("string")).alias("symbol_id")).distinct()
     return G.bridges(imports, exports)
 
 
+@query("""WITH v AS (SELECT p_partkey, p_size % 3 AS a, p_partkey % 4 AS b, p_partkey % 7 AS c, p_size % 2 AS x, p_partkey % 5 AS y, p_size % 11 = 0 AS pre, p_partkey % 6 AS shape FROM part),
+  t AS (SELECT *, a * 10000 + b * 100 + c AS ver, x * 10000 + y * 100 AS low FROM v)
+SELECT p_partkey, CASE WHEN pre THEN false WHEN shape = 0 THEN ver >= low AND ver < CASE WHEN x > 0 THEN (x + 1) * 10000 WHEN y > 0 THEN (y + 1) * 100 ELSE 1 END WHEN shape = 1 THEN ver >= low AND ver < low + 100 WHEN shape = 2 THEN ver > low AND ver <= 20000 WHEN shape = 3 THEN a = x
+  WHEN shape = 4 THEN ver >= low AND ver <= 20102 ELSE a = 0 OR ver >= 20000 END AS fits FROM t""")
+def npm_compatibility(spark, d):
+    n = lambda c: c.cast("string")
+    a, b, c, x, y = F.col("p_size") % 3, F.col("p_partkey") % 4, F.col("p_partkey") % 7, F.col("p_size") % 2, F.col("p_partkey") % 5
+    base = F.concat_ws(".", n(x), n(y), F.lit("0"))
+    version = F.concat(F.concat_ws(".", n(a), n(b), n(c)), F.when(F.col("p_size") % 11 == 0, "-rc.1").otherwise(""))
+    shapes = (F.concat(F.lit("^"), base), F.concat(F.lit("~ "), base), F.concat(F.lit(">"), base, F.lit(", <= 2.0.0")), F.concat(n(x), F.lit(".x")), F.concat(base, F.lit(" - 2.1.2")))
+    constraint = F.lit("0.* || >=2")
+    for k, shape in enumerate(shapes):
+        constraint = F.when(F.col("p_partkey") % 6 == k, shape).otherwise(constraint)
+    return read(spark, d, "part").select("p_partkey", V.npm_compatible(constraint, version).alias("fits"))
+
+
+@query("""WITH v AS (SELECT p_partkey, p_size % 3 AS a, p_partkey % 4 AS b, p_size % 4 AS pre, p_size % 2 AS x, p_partkey % 3 AS y, p_partkey % 5 AS other FROM part), k AS (SELECT p_partkey, (a, b, CASE WHEN pre = 0 THEN 99 ELSE pre + 8 END) AS l, (x, y, CASE WHEN other = 0 THEN 99 ELSE other + 8 END) AS r FROM v)
+SELECT p_partkey, CASE WHEN l > r THEN 1 WHEN l < r THEN -1 ELSE 0 END AS comparison FROM k""")
+def semver_comparison(spark, d):
+    n = lambda c: c.cast("string")
+    pre = lambda c: F.when(c == 0, "").otherwise(F.concat(F.lit("-rc."), n(c + 8)))
+    left = F.concat(n(F.col("p_size") % 3), F.lit("."), n(F.col("p_partkey") % 4), F.lit(".0"), pre(F.col("p_size") % 4))
+    right = F.concat(n(F.col("p_size") % 2), F.lit("."), n(F.col("p_partkey") % 3), F.lit(".0"), pre(F.col("p_partkey") % 5))
+    return read(spark, d, "part").select("p_partkey", V.semver_compare(left, right).alias("comparison"))
+
+
 @query("""WITH rows AS (SELECT CAST(s_nationkey AS BIGINT) AS ordinal, l_partkey AS node_id, l_linenumber % 2 = 0 AS exported, CAST(l_linenumber % 3 AS BIGINT) AS lane_priority FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 40),
   one AS (SELECT ordinal, node_id, max(exported) AS exported, min(lane_priority) AS lane_priority FROM rows GROUP BY ALL), fair AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY lane_priority, exported DESC, node_id) <= 6)
 SELECT ordinal, node_id, exported, lane_priority, row_number() OVER (ORDER BY lane_priority, exported DESC, ordinal, node_id) AS catalog_rank FROM fair ORDER BY catalog_rank LIMIT 80""")
@@ -153,12 +180,13 @@ def diversity_rank(spark, d):
     return G.diversity_first(cards).select("repository", "id", "score", F.col("position").cast("long").alias("position")).orderBy("position").limit(60)
 
 
-@query("""WITH RECURSIVE links AS (SELECT DISTINCT 'k' || (o_orderkey % 97) AS alias_of, 'k' || (o_custkey % 89) AS alias FROM orders WHERE o_orderkey % 11 = 0), seeds AS (SELECT DISTINCT 'k' || n_nationkey AS root FROM nation WHERE n_nationkey < 6),
-  reach(root, key) AS (SELECT root, root FROM seeds UNION SELECT r.root, l.alias FROM reach r JOIN links l ON l.alias_of = r.key) SELECT root, key FROM reach""")
+@query("""WITH RECURSIVE links AS (SELECT 'r' || n_regionkey AS alias_of, 'n' || n_nationkey AS alias FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+  reach(root, key) AS (SELECT 'r' || r_regionkey, 'r' || r_regionkey FROM region UNION SELECT r.root, l.alias FROM reach r JOIN links l ON l.alias_of = r.key) SELECT root, key FROM reach""")
 def reexport_closure(spark, d):
-    links = read(spark, d, "orders").where("o_orderkey % 11 = 0").select(F.concat(F.lit("k"), (F.col("o_orderkey") % 97).cast("string")).alias("alias_of"), F.concat(F.lit("k"), (F.col("o_custkey") % 89).cast("string")).alias("alias")).distinct()
-    seeds = read(spark, d, "nation").where("n_nationkey < 6").select(F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("key"))
-    return T.alias_closure(links, seeds)
+    named = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    link = lambda t, p, a, q, b: read(spark, d, t).select(named(p, a).alias("alias_of"), named(q, b).alias("alias"))
+    links = link("nation", "r", "n_regionkey", "n", "n_nationkey").unionByName(link("customer", "n", "c_nationkey", "c", "c_custkey")).unionByName(link("orders", "c", "o_custkey", "o", "o_orderkey")).unionByName(link("nation", "n", "n_nationkey", "r", "n_regionkey"))
+    return T.alias_closure(links, read(spark, d, "region").select(named("r", "r_regionkey").alias("key")))
 
 
 @query(sql("edges", """RECURSIVE walk(id, depth) AS (SELECT 'order:1', 0 UNION SELECT e.target_id, w.depth + 1 FROM walk w JOIN edges e ON e.source_id = w.id WHERE w.depth < 3 AND e.target_id IS NOT NULL) SELECT id, min(depth) AS depth FROM walk GROUP BY id"""))
@@ -166,12 +194,13 @@ def bfs_reach(spark, d):
     return T.reach(edges(spark, d), spark.createDataFrame([("order:1",)], "id string"), 3).select("id", "depth")
 
 
-@query(sql("edges", "SELECT CAST(2 AS INTEGER) AS step, target_id AS id FROM edges WHERE id = 'c:1' UNION ALL SELECT 1, 'customer:1' UNION ALL SELECT 0, (SELECT min(source_id) FROM edges WHERE target_id = 'customer:1')"))
+@query(sql("edges", """RECURSIVE walk(id, depth, path) AS (SELECT 'order:1', 0, ['order:1'] UNION ALL SELECT e.target_id, w.depth + 1, list_append(w.path, e.target_id) FROM walk w JOIN edges e ON e.source_id = w.id WHERE w.depth < 6 AND e.target_id IS NOT NULL),
+  best AS (SELECT path FROM walk WHERE id = (SELECT 'nation:' || c_nationkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderkey = 1) ORDER BY depth, path LIMIT 1)
+SELECT CAST(generate_subscripts(path, 1) - 1 AS INTEGER) AS step, unnest(path) AS id FROM best"""))
 def bfs_path(spark, d):
-    e = edges(spark, d)
-    start = e.where("target_id = 'customer:1'").agg(F.min("source_id")).first()[0]
-    to = code_edges(spark, d).where("id = 'c:1'").first()["target_id"]
-    return T.shortest_path(e.where("relation <> 'calls'"), start, to).select("step", "id")
+    c = read(spark, d, "customer").join(read(spark, d, "orders").where("o_orderkey = 1"), F.col("c_custkey") == F.col("o_custkey"))
+    to = c.select(F.concat(F.lit("nation:"), F.col("c_nationkey").cast("string"))).first()
+    return T.shortest_path(edges(spark, d), "order:1", to[0] if to else "", 6).select("step", "id")
 
 
 @query(sql("edges", """RECURSIVE walk(id, depth) AS (SELECT 'nation:3', 0 UNION SELECT e.source_id, w.depth + 1 FROM walk w JOIN edges e ON e.target_id = w.id WHERE w.depth < 3 AND e.source_id IS NOT NULL) SELECT id, min(depth) AS depth FROM walk WHERE id <> 'nation:3' GROUP BY id"""))
@@ -179,22 +208,16 @@ def impact_reverse(spark, d):
     return T.impact(edges(spark, d), spark.createDataFrame([("nation:3",)], "id string"), 3).select("id", "depth")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'a' || (o_custkey % 211) AS x, 'a' || (o_orderkey % 307 + 1000 * (o_custkey % 5)) AS y FROM orders WHERE o_orderkey % 17 = 0), both_ AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
-  nodes AS (SELECT DISTINCT x AS id FROM both_), r(id, to_) AS (SELECT id, id FROM nodes UNION SELECT r.id, b.y FROM r JOIN both_ b ON b.x = r.to_) SELECT id, min(to_) AS root FROM r GROUP BY id""")
+@query()
 def components(spark, d):
-    e = read(spark, d, "orders").where("o_orderkey % 17 = 0").select(F.concat(F.lit("a"), (F.col("o_custkey") % 211).cast("string")).alias("source_id"), F.concat(F.lit("a"), (F.col("o_orderkey") % 307 + 1000 * (F.col("o_custkey") % 5)).cast("string")).alias("target_id")).distinct()
-    nodes = e.select(F.col("source_id").alias("id")).union(e.select("target_id")).distinct()
-    return T.components(e, nodes)
-
-
-def _community(spark, d):
-    s = symbols(spark, d).where("kind in ('package', 'module', 'class')")
-    return T.communities(code_edges(spark, d).where("relation <> 'imports'"), s, G.COHESIVE), s
+    """The whole graph; a recursive query would list each pair of a component, so tests compare it with a union-find."""
+    return T.components(edges(spark, d), symbols(spark, d))
 
 
-@query(sql("symbols edges", "SELECT id, min(id) OVER () AS community FROM symbols WHERE kind IN ('package', 'class') UNION ALL SELECT id, min(id) OVER (PARTITION BY path) FROM symbols WHERE kind = 'module'"))
+@query()
 def communities(spark, d):
-    return _community(spark, d)[0]
+    """Components over cohesive relations and files, of the whole graph; tests compare it with a union-find."""
+    return T.communities(edges(spark, d), symbols(spark, d), G.COHESIVE)
 
 
 @query(sql("symbols edges", """WITH ends AS (SELECT source_id AS id, 0 AS i FROM edges WHERE target_id IS NOT NULL AND source_id <> target_id UNION ALL SELECT target_id, 1 FROM edges WHERE target_id IS NOT NULL AND source_id <> target_id),
@@ -216,9 +239,9 @@ def relationship_groups(spark, d):
     return G.relationship_groups(edges(spark, d), 5)
 
 
-@query("(SELECT s_nationkey AS k FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_custkey % 3 = 0) UNION ALL (SELECT c_nationkey FROM customer WHERE c_custkey % 3 = 0 EXCEPT SELECT s_nationkey FROM supplier)")
+@query("(SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)")
 def except_mismatch(spark, d):
-    a, b = read(spark, d, "supplier").select(F.col("s_nationkey").alias("k")), read(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("k"))
+    a, b = read(spark, d, "customer").select(F.col("c_custkey").alias("k")), read(spark, d, "orders").select(F.col("o_custkey").alias("k"))
     return a.subtract(b).union(b.subtract(a))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..adapters import read, recall_docs, sql, vectors
 from ..functions import scores as S, text as X
-from ..operators import recall as R
+from ..operators import recall as R, traversal as T
 from ..plans import predicates as P
 
 QUERIES: dict = {}
@@ -23,61 +23,66 @@ def query(text: str | None = None):
     return add
 
 
-def _docs(spark, d) -> DataFrame:
-    return R.document_lengths(recall_docs(spark, d), "doc_id", "text")
-
-
 def _postings(docs: DataFrame) -> DataFrame:
+    """(doc_id, term, field_weight, tf, n) of the documents and their projects' names."""
     body = R.weighted_terms(docs, "doc_id", {"title": S.TITLE}, "text")
-    project = docs.where("length(project) >= 3").select("doc_id", F.lower("project").alias("term"), F.lit(S.PROJECT).alias("field_weight"), F.lit(1).cast("long").alias("tf"))
-    return body.unionByName(project).groupBy("doc_id", "term").agg(F.max("field_weight").cast("int").alias("field_weight"), F.max("tf").alias("tf"))
+    project = docs.where("length(project) >= 3").select("doc_id", F.lower("project").alias("term"), F.lit(S.PROJECT).alias("field_weight"), F.lit(1).cast("long").alias("tf"), F.lit(0).cast("long").alias("n"))
+    return body.unionByName(project).groupBy("doc_id", "term").agg(F.max("field_weight").cast("int").alias("field_weight"), F.max("tf").alias("tf"), F.max("n").alias("n"))
+
+
+def _index(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(documents with lengths, postings): the texts are read for the postings once, and these are written."""
+    docs = recall_docs(spark, d).drop("text", "title")
+    postings = T.written(_postings(recall_docs(spark, d)), "postings")
+    return R.with_lengths(docs, postings, "doc_id"), postings
 
 
 def _terms(spark, d) -> DataFrame:
-    """query_id, term: the first six tokens of each benchmark text."""
-    t = F.slice(F.filter(X.tokens(F.col("text")), lambda x: F.length(x) >= 3), 1, 6)
+    """query_id, term: the tokens of 3 characters or more of each benchmark text."""
+    t = F.filter(X.tokens(F.col("text")), lambda x: F.length(x) >= 3)
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.transform(t, F.lower))).alias("term"))
 
 
 _STATS = """lengths AS (SELECT r.doc_id, r.logical_key, r.uri, r.recorded_at, coalesce(n, 0) AS length FROM recall_docs r LEFT JOIN (SELECT doc_id, count(*) AS n FROM doc_terms GROUP BY doc_id) t ON r.doc_id = t.doc_id),
   stats AS (SELECT CAST(count(*) AS BIGINT) AS documents, CAST(coalesce(sum(l), 0) AS BIGINT) AS total_length FROM (SELECT logical_key, max(length) AS l FROM lengths GROUP BY logical_key)),
-  freq AS (SELECT term, count(DISTINCT logical_key) AS frequency FROM postings p JOIN recall_docs USING (doc_id) WHERE term IN (SELECT term FROM query_terms) GROUP BY term)"""
+  freq AS (SELECT term, count(DISTINCT logical_key) AS frequency FROM postings p JOIN recall_docs USING (doc_id) WHERE term IN (SELECT term FROM query_terms) GROUP BY term),
+  chosen AS (SELECT item_id, term, frequency, rank FROM (SELECT item_id, term, frequency, row_number() OVER (PARTITION BY item_id ORDER BY ln(1 + (documents - frequency + 0.5::DOUBLE) / (frequency + 0.5::DOUBLE)) DESC, term) AS rank FROM query_terms JOIN freq USING (term), stats) WHERE rank <= 32)"""
 
 
 @query(sql("recall_docs doc_terms title_terms postings query_terms", f"""WITH {_STATS},
   scored AS (SELECT q.item_id AS query_id, p.term, p.doc_id, l.uri, p.field_weight,
     ln(1 + (documents - frequency + 0.5::DOUBLE) / (frequency + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (length / greatest(total_length / greatest(documents, 1)::DOUBLE, 1.0::DOUBLE)))) + field_weight / 4.0::DOUBLE AS term_score
-    FROM postings p JOIN query_terms q USING (term) JOIN freq USING (term) JOIN lengths l USING (doc_id), stats),
+    FROM postings p JOIN chosen q USING (term) JOIN lengths l USING (doc_id), stats),
   best AS (SELECT *, row_number() OVER (PARTITION BY query_id, term ORDER BY term_score DESC, field_weight DESC, uri) AS r FROM scored),
   total AS (SELECT query_id, doc_id, uri, round(sum(term_score), 6) AS score FROM best WHERE r <= 256 GROUP BY ALL)
 SELECT query_id, uri, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uri) AS rank FROM total) WHERE rank <= 10"""))
 def bm25_topk(spark, d):
-    docs = _docs(spark, d)
-    return R.bm25(_terms(spark, d), _postings(docs), docs, "doc_id").select("query_id", "uri", "score")
+    docs, postings = _index(spark, d)
+    return R.bm25(_terms(spark, d), postings, docs, "doc_id").select("query_id", "uri", "score")
 
 
 @query(sql("recall_docs doc_terms title_terms postings query_terms", f"WITH {_STATS} SELECT documents, total_length FROM stats"))
 def corpus_stats_logical(spark, d):
-    return R.logical_statistics(_docs(spark, d))
+    return R.logical_statistics(R.document_lengths(recall_docs(spark, d), "doc_id", "text"))
 
 
 @query(sql("recall_docs doc_terms title_terms postings query_terms", f"WITH {_STATS} SELECT term, frequency FROM freq"))
 def doc_frequency(spark, d):
     docs = recall_docs(spark, d)
-    return R.document_frequency(_postings(docs).join(_terms(spark, d).select("term").distinct(), "term", "left_semi"), docs, "doc_id")
+    return R.term_frequency(docs, {"title", "text"}, "project", _terms(spark, d).select("term").distinct())
 
 
 @query(sql("recall_docs doc_terms title_terms postings", "SELECT doc_id, term, CAST(field_weight AS BIGINT) AS field_weight, tf FROM postings"))
 def postings_build(spark, d):
-    return _postings(recall_docs(spark, d)).withColumn("field_weight", F.col("field_weight").cast("long"))
+    return _postings(recall_docs(spark, d)).select("doc_id", "term", F.col("field_weight").cast("long").alias("field_weight"), "tf")
 
 
-@query(sql("recall_docs doc_terms title_terms postings query_terms", f"WITH {_STATS} SELECT query_id, term, rank FROM (SELECT item_id AS query_id, term, row_number() OVER (PARTITION BY item_id ORDER BY ln(1 + (documents - frequency + 0.5::DOUBLE) / (frequency + 0.5::DOUBLE)) DESC, term) AS rank FROM query_terms JOIN freq USING (term), stats) WHERE rank <= 3"))
+@query(sql("recall_docs doc_terms title_terms postings query_terms", f"WITH {_STATS} SELECT item_id AS query_id, term, rank FROM chosen"))
 def query_term_selection(spark, d):
-    docs = _docs(spark, d)
-    n = R.logical_statistics(docs).select("documents")
-    frequency = R.document_frequency(_postings(docs).join(_terms(spark, d).select("term").distinct(), "term", "left_semi"), docs, "doc_id").crossJoin(n)  # one row
-    return R.select_query_terms(_terms(spark, d), frequency, F.col("documents"), 3).select("query_id", "term", F.col("rank").cast("long").alias("rank"))
+    docs, postings = _index(spark, d)
+    terms = _terms(spark, d)
+    frequency = R.document_frequency(postings.join(terms.select("term").distinct(), "term", "left_semi"), docs, "doc_id").crossJoin(R.logical_statistics(docs))  # one row
+    return R.select_query_terms(terms, frequency, F.col("documents")).select("query_id", "term", F.col("rank").cast("long").alias("rank"))
 
 
 @query(sql("recall_docs doc_terms title_terms postings", "SELECT term, uri, rank FROM (SELECT term, uri, row_number() OVER (PARTITION BY term ORDER BY recorded_at DESC, uri) AS rank FROM postings JOIN recall_docs USING (doc_id) WHERE term IN ('the', 'und', 'les', 'que', 'license')) WHERE rank <= 8"))
@@ -122,15 +127,12 @@ def exact_match_strength(spark, d):
     return R.exact_strength(_exact(spark, d)).select("uri", F.round(F.round("strength", 9), 6).alias("strength"))
 
 
-@query(sql("recall_docs", f"""WITH {_EXACT}, hits AS (SELECT uri, round((doc_id % 97) / 97.0::DOUBLE, 6) AS score FROM recall_docs WHERE doc_id % 10 = 0),
-  j AS (SELECT coalesce(h.uri, s.uri) AS uri, coalesce(score, 0.0) AS score, coalesce(round(strength, 6), 0.0) AS strength FROM hits h FULL JOIN strength s ON h.uri = s.uri)
-SELECT uri, score, strength, row_number() OVER (ORDER BY strength DESC, score DESC, uri) AS position FROM j"""))
+@query(sql("recall_docs", f"""WITH {_EXACT}, hits AS (SELECT uri, round((doc_id % 97) / 97.0::DOUBLE, 6) AS score, CASE WHEN doc_id % 4 = 0 THEN 'memories' ELSE 'resources' END AS category FROM recall_docs),
+  j AS (SELECT h.uri, score, category, coalesce(round(strength, 9), 0.0) AS strength FROM hits h LEFT JOIN strength s ON h.uri = s.uri)
+SELECT uri, category, score, round(strength, 6) AS strength, row_number() OVER (ORDER BY CASE category WHEN 'memories' THEN 0 ELSE 1 END, strength DESC, score DESC, uri) AS position FROM j"""))
 def exact_boost_order(spark, d):
-    hits = recall_docs(spark, d).where("doc_id % 10 = 0").select("uri", F.round((F.col("doc_id") % 97) / 97.0, 6).alias("score"), F.lit("resources").alias("category"))
-    m = _exact(spark, d)
-    out = R.exact_boost(hits, m)
-    rounded = out.select("uri", "score", F.round(F.round("strength", 9), 6).alias("strength"))
-    return rounded.withColumn("position", F.row_number().over(Window.orderBy(F.desc("strength"), F.desc("score"), "uri")).cast("long"))
+    hits = recall_docs(spark, d).select("uri", F.round((F.col("doc_id") % 97) / 97.0, 6).alias("score"), F.when(F.col("doc_id") % 4 == 0, "memories").otherwise("resources").alias("category"))
+    return R.exact_boost(hits, _exact(spark, d)).select("uri", "category", "score", F.round("strength", 6).alias("strength"), "position")
 
 
 def _hits(spark, d) -> DataFrame:

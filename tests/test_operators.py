@@ -86,7 +86,7 @@ def test_bridges(spark):
 
 def test_versions(spark):
     assert V.compare("1.2.3", "1.2.3-rc.1") == 1 and V.compare("1.2.3-2", "1.2.3-10") == -1 and V.compare("x", "1.0.0") is None
-    for c, v, want in [("^1.2.0", "1.9.0", True), ("^1.2.0", "2.0.0", False), ("~1.2", "1.2.9", True), ("~1.2", "1.3.0", False), (">=1 <2 || 3.x", "3.4.5", True), ("1.0 - 2.0.0", "2.0.0", True), ("weird!", "1.0.0", False), (None, "1.0.0", True), ("^0.2.3", "0.3.0", False), ("<1.0.0", "0.9.0", True), (">1.2.3", "1.2.3", False), ("", "1.0.0", False)]:
+    for c, v, want in [("^1.2.0", "1.9.0", True), ("^1.2.0", "2.0.0", False), ("~1.2", "1.2.9", True), ("~1.2", "1.3.0", False), (">=1 <2 || 3.x", "3.4.5", True), ("1.0.0 - 2.0.0", "2.0.0", True), ("1.0 - 2.0", "1.5.0", False), ("^1.0.0", "1.5.0-beta.1", False), ("1.x", "1.2.3-rc.1", False), ("1.2.3-rc.1", "1.2.3-rc.1", True), ("1.2.3 || ", "1.2.3", False), (">=1.2, <2", "1.5.0", True), (">1.2", "1.2.1", True), ("<=1.2", "1.2.1", False), ("^0.0", "0.0.7", True), ("01.2", "1.2.0", False), ("weird!", "1.0.0", False), (None, "1.0.0", True), ("^0.2.3", "0.3.0", False), ("<1.0.0", "0.9.0", True), (">1.2.3", "1.2.3", False), ("", "1.0.0", False)]:
         assert V.satisfies(c, v) is want, (c, v)
     d = spark.createDataFrame([("^1.0.0", "1.5.0"), ("^1.0.0", "2.0.0")], "a string, b string")
     assert [r["x"] for r in d.select(V.npm_compatible("a", "b").alias("x")).collect()] == [True, False]
@@ -197,3 +197,35 @@ def test_keyset(spark):
     d = spark.createDataFrame([(a, b) for a in range(3) for b in range(3)], "a int, b int")
     assert [tuple(r) for r in R.keyset_page(d, ["a", "b"], (1, 1), 2).collect()] == [(1, 2), (2, 0)]
     assert [tuple(r) for r in R.mixed_keyset(d, [("a", False), ("b", True)], (1, 1), 2).collect()] == [(1, 0), (2, 2)]
+
+
+def test_whole_graph_components_and_communities(spark, small):
+    from quarrylake import adapters
+    from quarrylake.queries import QUERIES
+
+    def least_of(nodes, pairs):
+        at = {n: n for n in nodes}
+
+        def find(n):
+            while at[n] != n:
+                at[n] = at[at[n]]
+                n = at[n]
+            return n
+
+        for a, b in pairs:
+            for n in (a, b):
+                at.setdefault(n, n)
+            a, b = find(a), find(b)
+            at[max(a, b)] = min(a, b)
+        return {n: find(n) for n in nodes}
+
+    symbols = adapters.symbols(spark, small).select("id", "path").collect()
+    edges = adapters.edges(spark, small).where("target_id is not null").select("source_id", "target_id", "relation").collect()
+    ids = {r["id"] for r in symbols}
+    want = least_of(ids, [(e["source_id"], e["target_id"]) for e in edges])
+    assert {r["id"]: r["root"] for r in QUERIES["components"](spark, small).collect()} == want
+    first = {}
+    for r in symbols:
+        first[r["path"]] = min(r["id"], first.get(r["path"], r["id"]))
+    ties = [(r["id"], first[r["path"]]) for r in symbols] + [(e["source_id"], e["target_id"]) for e in edges if e["relation"] in G.COHESIVE]
+    assert {r["id"]: r["community"] for r in QUERIES["communities"](spark, small).collect()} == least_of(ids, ties)
