@@ -165,7 +165,8 @@ def markdown_outline(text: Column) -> Column:
 def claims(text: Column, limit: int = 16) -> Column:
     """Distinct sentences outside fences and headings, bullets stripped."""
     body = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)```.*?```", " "), r"(?m)^#{1,6} .*$", " ")
-    parts = F.transform(F.split(body, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(F.regexp_replace(s, r"^\s*([-*+]|\d+[.)])\s+", "")))
+    body = F.regexp_replace(body, r"(?m)^[ \t]*([-*+]|\d+[.)])[ \t]+", "")
+    parts = F.transform(F.split(body, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s))
     return F.slice(F.array_distinct(F.filter(parts, lambda s: s != "")), 1, limit)
 
 

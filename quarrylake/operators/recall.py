@@ -225,3 +225,15 @@ def code_link_best(links: DataFrame, selectors: DataFrame) -> DataFrame:
     rows = links.join(selectors, ["selector_kind", "selector_digest"])
     w = Window.partitionBy("document_id").orderBy("match_rank", "citation_ordinal", "anchor_ordinal", "anchor_id", "selector_digest")
     return rows.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+
+
+def hash_citations(citations: DataFrame, files: DataFrame) -> DataFrame:
+    """Citations (path, digest) whose file has that digest now or had it by its legacy rule (path, digest, legacy), told apart in matched; one equi-join by path and digest."""
+    now = files.select("path", "digest", F.lit("current").alias("matched"))
+    old = files.where("legacy is not null and not legacy <=> digest").select("path", F.col("legacy").alias("digest"), F.lit("legacy").alias("matched"))
+    return citations.join(now.unionByName(old), ["path", "digest"])
+
+
+def locator_matches(citations: DataFrame, symbols: DataFrame, locator: list[str]) -> DataFrame:
+    """Citations meet the symbols that equal them in every column of the locator, byte by byte."""
+    return citations.join(symbols.select("symbol_id", *locator), locator)

@@ -1,6 +1,6 @@
 """The query catalogue: QUERIES (name -> callable) and ORACLE_SQL (name -> DuckDB text)."""
 
-from . import graph_queries, memory_queries, recall_queries
+from . import graph_queries, memory_queries, recall_queries, rule_queries
 
-QUERIES = {**recall_queries.QUERIES, **graph_queries.QUERIES, **memory_queries.QUERIES}
-ORACLE_SQL = {**recall_queries.ORACLE_SQL, **graph_queries.ORACLE_SQL, **memory_queries.ORACLE_SQL}
+QUERIES = {**recall_queries.QUERIES, **graph_queries.QUERIES, **memory_queries.QUERIES, **rule_queries.QUERIES}
+ORACLE_SQL = {**recall_queries.ORACLE_SQL, **graph_queries.ORACLE_SQL, **memory_queries.ORACLE_SQL, **rule_queries.ORACLE_SQL}

@@ -50,7 +50,7 @@ def parse_memory(docs: DataFrame, uri: str = "uri", content: str = "content") ->
     out = [F.col(uri).alias("uri"), kind.alias("document"), body.alias("body")]
     for name in HEADER_FIELDS:
         v = header_field(c, name)
-        out.append((F.transform(F.split(v, r"\s*,\s*"), F.trim) if name == "keywords" else v).alias(name))
+        out.append((F.transform(F.split(v, r"\s*,\s*"), lambda x: F.trim(x)) if name == "keywords" else v).alias(name))
     return docs.select(*out)
 
 
