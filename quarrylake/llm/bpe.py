@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CACHE, LONGEST = 400_000, 24
+CACHE, LONGEST = 200_000, 24
 #: The file's own split for lower-case Latin-1 texts: 0 white space, 1 letters, 2 digits (each alone), 3 other symbols.
 _KIND = np.array([0 if chr(c).isspace() and c not in (28, 29, 30, 31) else 1 if chr(c).isalpha() else 2 if unicodedata.category(chr(c))[0] == "N" else 3 for c in range(256)], np.uint8)
 

@@ -118,7 +118,7 @@ def _row(docs: DataFrame) -> Column:
 
 def _nominated(bloom: BoundedBloom, spans: Spans):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in id_text_rows(batches, 4096):
+        for _, texts in id_text_rows(batches, 1024):
             held: dict[tuple[bytes, bytes], None] = {}
             size = 0
             for t in texts:
@@ -126,7 +126,7 @@ def _nominated(bloom: BoundedBloom, spans: Spans):
                     if bloom.has(key) and (key, raw) not in held:
                         held[(key, raw)] = None
                         size += len(raw)
-                if size > 8 << 20:
+                if size > 4 << 20:
                     yield batch_of(_BYTES, zip(*held))
                     held, size = {}, 0
             if held:
