@@ -37,7 +37,7 @@ SIDES, HIDDEN, DIGITS, LEVELS = (-2, -1, 1, 2), 16, 16, 4
 #: A word's ending is its last ENDING bytes, one of ENDINGS hashes; EDGE is what is beyond a text's ends.
 ENDING, ENDINGS, LEAVES = 3, DIGITS ** (LEVELS - 1), DIGITS**LEVELS
 EDGE = ENDINGS
-ROUNDS, SHARD, BATCH, RATE, FAN_IN, LEAST = 4, 1 << 20, 2048, 0.1, 32, 0.1
+ROUNDS, SHARD, BATCH, RATE, FAN_IN, LEAST = 4, 1 << 20, 4096, 0.1, 32, 0.1
 #: Words whose windows a shard holds at a time.
 CHUNK = 1 << 17
 KEPT, COUNTED, KNOWN = 1 << 16, 100_000, 200_000
