@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +64,37 @@ def id_text_rows(batches: Iterator[pa.RecordBatch], chunk: int = 512) -> Iterato
             yield part.column(0).to_pylist(), part.column(1).to_pylist()
 
 
+def give_back() -> None:
+    """Memory that this process has freed goes back to the machine (where its C library can)."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow; a Python worker lives on from stage to stage, so a task's end gives its memory back."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def lean_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """run for applyInArrow, likewise at the end of a group; for groups of the size of a task."""
+
+    @functools.wraps(run)
+    def whole(table: pa.Table) -> pa.Table:
+        out = run(table)
+        give_back()
+        return out
+
+    return whole
+
+
 def most_frequent(df: DataFrame, n: str, limit: int) -> DataFrame:
     """The rows of greatest n, limit at most: whole classes of n (a quarter of a power of two wide), so that a histogram of a few hundred rows finds the cut and no task sends its own top rows to the driver. df is read twice."""
     level = F.floor(F.log2(F.col(n)) * 4).cast("int")

@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BoundedBloom, batch_of, id_text_rows, scratch
+from .common import BoundedBloom, batch_of, id_text_rows, lean, scratch
 
 SPAN, BITS, MIN_LINES, LONG_WORDS = 2, 1, 2, 50
 
@@ -138,11 +138,11 @@ def _nominated(bloom: BoundedBloom, spans: Spans):
 def cuts(docs: DataFrame, spans: Spans = removable) -> DataFrame:
     """id, row (as _row) -> the line ranges to remove, array<struct<a, b>>, for the rows that lose any."""
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", _row(docs).alias("row"))
-    places = scratch(rows.mapInArrow(_places(spans), "id long, row binary, a int, b int, key binary"), "line-places")
+    places = scratch(rows.mapInArrow(lean(_places(spans)), "id long, row binary, a int, b int, key binary"), "line-places")
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row", "a")
     repeated = scratch(places.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("key", F.col("first.row").alias("first_row"), F.col("first.a").alias("first_a")), "line-repeated")
     bloom = BoundedBloom.of(repeated, "key")
-    agreed = rows.select("doc_id", "text").mapInArrow(_nominated(bloom, spans), "key binary, bytes binary").groupBy("key").agg((F.min("bytes") == F.max("bytes")).alias("same")).where("same").select("key")
+    agreed = rows.select("doc_id", "text").mapInArrow(lean(_nominated(bloom, spans)), "key binary, bytes binary").groupBy("key").agg((F.min("bytes") == F.max("bytes")).alias("same")).where("same").select("key")
     # a table of its own: places meet it in a join of two exchanges, which Spark broadcasts if small and splits where a chunk is hot
     sure = scratch(repeated.join(agreed, "key"), "line-sure")
     gone = places.join(sure, "key").where("row <> first_row or a <> first_a")
@@ -182,7 +182,7 @@ def _without(docs: DataFrame, cut: DataFrame) -> DataFrame:
 
     cut = cut.select(F.col("row").alias("__line_row"), F.col("cuts").alias("__line_cuts"))
     joined = docs.join(cut, _row(docs) == F.col("__line_row"), "left").select(*[docs[c] for c in docs.columns], "__line_cuts")
-    return joined.mapInArrow(rebuild, schema)
+    return joined.mapInArrow(lean(rebuild), schema)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bpe import default_path, word_bpe
-from .common import batch_of, id_text_rows, read_table, scratch
+from .common import batch_of, id_text_rows, lean, lean_group, read_table, scratch
 
 CAPACITY, NEARLY, FAN_IN = 2048, 2040, 8
 #: Pieces or bins that one round of best fit holds at a time: a partition of more is packed in runs, a group in parts of as many.
@@ -124,7 +124,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     The texts are read once; pieces without their ids are kept in the shared folder. A round moves a row a bin.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = scratch(source.mapInArrow(_pack(path or default_path()), _PIECES_DDL), "pieces")
+    pieces = scratch(source.mapInArrow(lean(_pack(path or default_path())), _PIECES_DDL), "pieces")
     open_ = pieces.where("up")
     bins = open_.groupBy("bin").agg(F.sum("length").alias("fill"))
     groups = pieces.agg(F.max(F.shiftright("bin", 32))).first()[0]  # one number: the last partition's
@@ -142,7 +142,7 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
         size = left.groupBy(F.col("tree").alias("_tree")).agg(F.count("*").alias("_n"))
         part = F.pmod(F.xxhash64("bin", F.lit(level)), F.ceil(F.col("_n") / RUN))
         step = left.join(size, F.col("tree") == F.col("_tree")).select("bin", "fill", "tree", part.alias("grp"))
-        step = scratch(step.groupBy("tree", "grp").applyInArrow(_merge_bins, _MOVES), f"bins-{level}")
+        step = scratch(step.groupBy("tree", "grp").applyInArrow(lean_group(_merge_bins), _MOVES), f"bins-{level}")
         if moved is None:
             moved = step.select("bin", "into", "base")
         else:

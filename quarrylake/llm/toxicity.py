@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batch_of, id_text_rows, read_table, scratch
+from .common import batch_of, id_text_rows, lean, read_table, scratch
 
 TRAIN_ROWS, THRESHOLD = 20_000, 0.3
 #: A lexicon entry must be in this many toxic rows, with log odds of at least LEAST_ODDS.
@@ -268,7 +268,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Grammar
                 c.update((f, y) for f in features_of(t))
             yield batch_of(counted, zip(*((f, y, n) for (f, y), n in c.items())) if c else [[]] * 3)
 
-    sums = chosen.mapInArrow(count, "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("q"))
+    sums = chosen.mapInArrow(lean(count), "feature string, toxic int, n long").groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("q"))
     odds = F.log((F.col("p") + 0.5) / (F.lit(float(pos)) - F.col("p") + 0.5)) - F.log((F.col("q") + 0.5) / (F.lit(float(neg)) - F.col("q") + 0.5))
     best = sums.where(F.col("p") >= LEAST_ROWS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc(F.col("p") * F.col("odds")), "feature").limit(8 * LEXICON).collect()
     weights = {r["feature"]: r["odds"] for r in best}
@@ -354,7 +354,7 @@ def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float = THRESHOLD)
                 part = [t is None or grammar.score(t) < threshold for t in texts.slice(at, 512).to_pylist()]
                 yield batch.slice(at, 512).filter(pa.array(part, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
