@@ -12,6 +12,7 @@ from .pseudo_lm import op4_pseudo_lm
 from .quality_gbt import op1_quality_rules
 from .secret_scan import op8_secret_scan
 from .toxicity import op6_toxicity
+from .valid_time import OP13_SQL, op13_sale_versions
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_html_template": op9_html_template,
     "op10_packing": op10_packing,
+    "op13_sale_versions": op13_sale_versions,
 }
-ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL, "op13_sale_versions": OP13_SQL}

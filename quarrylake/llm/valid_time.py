@@ -54,6 +54,31 @@ OUT = "rec string, id long, batch long, client long, slice int, at long, n_held
 _OUT = [x.split()[0] for x in OUT.split(", ")]
 _KEYS = ["client", "slice", "at", "seq", "id", "op", "cents"]
 
+#: The rows of op13_sale_versions in one piece: batches, horizons and prunings in closed form, crc32 by its table.
+OP13_SQL = """
+WITH poly AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+c0 AS (SELECT DISTINCT * FROM client_changes WHERE valid_at IS NOT NULL),
+c1 AS (SELECT c0.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(change_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS more FROM c0, poly),
+c2 AS (SELECT *, greatest(0, least(9, CAST(floor((date_diff('day', DATE '1970-01-01', CAST(valid_at AS DATE)) + more - 19723) * 10 / 152) AS BIGINT))) AS batch FROM c1),
+s AS (SELECT *, greatest(0, least(9, CAST(floor((date_diff('day', DATE '1970-01-01', CAST(arrived_at AS DATE)) - 19723) * 10 / 152) AS BIGINT))) AS batch FROM sales),
+b AS (SELECT b, (SELECT max(sold_at) FROM s WHERE batch < b) - INTERVAL 36 HOUR AS ws, (SELECT max(valid_at) FROM c2 WHERE batch < b) - INTERVAL 36 HOUR AS wc FROM range(11) r(b)),
+h AS (SELECT b, wc, CASE WHEN ws IS NULL OR wc IS NULL THEN TIMESTAMP '0001-01-01' ELSE least(ws, wc) END AS h FROM b),
+v AS (SELECT c2.*, c2.valid_at < h.wc AS late FROM c2 JOIN h ON h.b = c2.batch),
+e AS (SELECT s.*, coalesce((SELECT min(h.b) FROM h WHERE h.b >= s.batch AND h.b < 10 AND (s.sold_at IS NULL OR s.sold_at < h.h)), 10) AS out FROM s),
+p AS (SELECT row_number() OVER () AS n, e.*, coalesce((SELECT h.h FROM h WHERE h.b = e.out - 1), TIMESTAMP '0001-01-01') AS behind FROM e),
+k AS (SELECT o.client_id, o.out, arg_max(row(v.change_id), row_number) AS kept FROM (SELECT DISTINCT client_id, out, behind FROM p) o
+  JOIN (SELECT *, row_number() OVER (ORDER BY valid_at, seq NULLS FIRST, change_id NULLS FIRST, op NULLS FIRST, balance NULLS FIRST) AS row_number FROM v WHERE NOT coalesce(late, false)) v
+  ON v.client_id = o.client_id AND v.batch < o.out AND v.valid_at <= o.behind GROUP BY ALL),
+j AS (SELECT p.n, v.*, p.sold_at, p.behind, p.out, k.kept FROM p LEFT JOIN k ON k.client_id = p.client_id AND k.out = p.out
+  JOIN v ON v.client_id = p.client_id AND v.batch <= p.out AND NOT coalesce(v.late, false)
+  AND (v.valid_at > p.behind OR v.batch = p.out OR row(v.change_id) = k.kept)),
+g AS (SELECT n, count(*) AS n_held FROM j GROUP BY n),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY valid_at DESC, seq DESC NULLS LAST, change_id DESC NULLS LAST, op DESC NULLS LAST, balance DESC NULLS LAST) AS r FROM j WHERE valid_at <= sold_at) WHERE r = 1)
+SELECT 'sale' AS rec, p.sale_id AS id, p.out AS batch, coalesce(g.n_held, 0) AS n_held, m.change_id, CAST(floor(100 * m.balance + 0.5) AS BIGINT) AS balance_cents, m.op
+FROM p LEFT JOIN g USING (n) LEFT JOIN m USING (n)
+UNION ALL SELECT 'late', change_id, batch, NULL, NULL, NULL, NULL FROM v WHERE late
+"""
+
 
 def micros(at: Column) -> Column:
     """Microseconds of a timestamp without a zone since 1970."""
