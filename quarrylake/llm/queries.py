@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import OP12_SQL, op12_collocations
 from .ctph import op7_ctph
 from .html_template import op9_html_template
 from .line_dedup import op3_line_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_html_template": op9_html_template,
     "op10_packing": op10_packing,
+    "op12_collocations": op12_collocations,
     "op13_sale_versions": op13_sale_versions,
 }
-ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL, "op13_sale_versions": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL, "op12_collocations": OP12_SQL, "op13_sale_versions": OP13_SQL}
