@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .common import delete, read_table, shared_dir
 
@@ -155,100 +155,77 @@ def _pruned(versions: pd.DataFrame, horizon: int) -> tuple[pd.DataFrame, pd.Data
     return versions, told
 
 
-class SaleClerk(StatefulProcessor):
-    """Versions and waiting sales of the clients of a bucket. batch: its number; rest: microseconds of H below Spark's millisecond."""
+class SaleClerk:
+    """Versions and waiting sales of the clients of a bucket, one call a batch: with its new rows, or because its timer has run out. batch: its number; rest: microseconds of H below Spark's millisecond."""
+
+    STATE = "versions binary, waiting binary"
 
     def __init__(self, batch: int, rest: int):
         self.batch, self.rest = batch, rest
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("bucket", "versions binary, waiting binary, timer long")
-
-    def _load(self) -> None:
-        kept = self.state.get() if self.state.exists() else None
-        unpack = lambda x: pa.ipc.open_stream(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd")).read_pandas()
-        self.versions = unpack(kept[0]) if kept else pd.DataFrame({k: pd.Series(dtype=object if k == "op" else "int64") for k in _KEYS} | {"kept": pd.Series(dtype=bool)})
-        self.waiting = unpack(kept[1]) if kept else pd.DataFrame({k: pd.Series(dtype="int64") for k in ("client", "slice", "id", "at")} | {"lone": pd.Series(dtype=bool)})
-        self.timer = kept[2] if kept else None
-
-    def _save(self, floor: int) -> None:
-        """Keeps the state and sets the timer to the next time at which a sale or a version is due, after floor."""
-
-        def pack(x: pd.DataFrame) -> bytes:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, (t := pa.Table.from_pandas(x, preserve_index=False)).schema) as w:
-                w.write_table(t)
-            data = sink.getvalue()
-            return data.size.to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
-
-        times = [x.min() for x in (self.waiting["at"], self.versions["at"][~self.versions["kept"].astype(bool)]) if len(x)]
-        due = max(int(min(times)) // 1000 - 1, floor) if times else None
-        if due != self.timer:
-            if self.timer is not None:
-                self.handle.deleteTimer(self.timer)
-            if due is not None:
-                self.handle.registerTimer(due)
-            self.timer = due
-        self.state.update((pack(self.versions), pack(self.waiting), self.timer))
-
-    def _horizon(self, timers) -> int:
-        mark = timers.getCurrentWatermarkInMs()
-        return mark * 1000 + self.rest if mark > 0 else NONE
-
-    def _sold(self, sales: pd.DataFrame) -> pd.DataFrame:
-        place, held = _match(sales, self.versions)
-        got = self.versions.take(np.maximum(place, 0)).reset_index(drop=True) if len(self.versions) else pd.DataFrame({k: [None] * len(sales) for k in _KEYS})
-        got = got[["at", "seq", "id", "cents", "op"]].astype(object)
-        got[place < 0] = None
-        return pd.DataFrame({"rec": "sale", "id": sales["id"].to_numpy(), "client": sales["client"].to_numpy(), "slice": sales["slice"].to_numpy(), "at": sales["at"].to_numpy(), "n_held": held, "m_at": got["at"], "m_seq": got["seq"], "change_id": got["id"], "cents": got["cents"], "op": got["op"]})
-
-    def _told(self, parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = [p for p in parts if len(p)]
-        if parts:
-            out = pd.concat([p.assign(batch=self.batch).reindex(columns=_OUT) for p in parts], ignore_index=True)
-            yield out.astype({c: "Int64" for c in _OUT if c not in ("rec", "op")})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)
-        self._load()
-        horizon, out, flush = self._horizon(timerValues), [], (new["kind"] == "flush").any()
-        late = new[new["kind"] == "late"]
-        out.append(pd.DataFrame({"rec": "late", "id": late["id"]}))
-        fresh = new[(new["kind"] == "change") & ~new["lone"].astype(bool)]
-        if len(fresh):
-            both = pd.concat([self.versions, fresh[_KEYS].assign(kept=False)], ignore_index=True) if len(self.versions) else fresh[_KEYS].assign(kept=False)
-            self.versions = both.sort_values(_KEYS, na_position="first", ignore_index=True)
-            cut = fresh[fresh["slice"] != NO_SLICE]
-            if len(cut):
+    def __call__(self, key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        horizon = mark * 1000 + self.rest if mark > 0 else NONE
+        new = None if state.hasTimedOut else pd.concat(list(frames), ignore_index=True)
+        versions, waiting, out = self.step(new, *self._load(state), horizon)
+        state.update((_pack(versions), _pack(waiting)))
+        times = [x.min() for x in (waiting["at"], versions["at"][~versions["kept"]]) if len(x)]
+        if times:  # Spark calls when its watermark is beyond that time
+            state.setTimeoutTimestamp(max(int(min(times)) // 1000 - 1, mark + 1))
+        out = [p.assign(batch=self.batch).reindex(columns=_OUT) for p in out if len(p)]
+        if out:
+            yield pd.concat(out, ignore_index=True).astype({c: "Int64" for c in _OUT if c not in ("rec", "op")})
+
+    @staticmethod
+    def _load(state: GroupState) -> tuple[pd.DataFrame, pd.DataFrame]:
+        if state.exists:
+            versions, waiting = state.get
+            return _unpack(versions), _unpack(waiting)
+        return pd.DataFrame({k: pd.Series(dtype=object if k == "op" else "int64") for k in _KEYS} | {"kept": pd.Series(dtype=bool)}), pd.DataFrame({k: pd.Series(dtype="int64") for k in ("client", "slice", "id", "at")} | {"lone": pd.Series(dtype=bool)})
+
+    def step(self, new: pd.DataFrame | None, versions: pd.DataFrame, waiting: pd.DataFrame, horizon: int) -> tuple[pd.DataFrame, pd.DataFrame, list[pd.DataFrame]]:
+        """A batch: late changes, then versions, then sales whose time has come, then pruning."""
+        out, flush = [], False
+        if new is not None:
+            flush = (new["kind"] == "flush").any()
+            out.append(pd.DataFrame({"rec": "late", "id": new["id"][new["kind"] == "late"]}))
+            fresh = new[(new["kind"] == "change") & ~new["lone"].astype(bool)]
+            if len(fresh):
+                versions = _joint(versions, fresh[_KEYS].assign(kept=False)).sort_values(_KEYS, na_position="first", ignore_index=True)
+                cut = fresh[fresh["slice"] != NO_SLICE]
                 taken = cut.groupby(["client", "slice"], as_index=False).size().rename(columns={"size": "taken"})
-                last = self.versions.drop_duplicates(["client", "slice"], keep="last").rename(columns={"at": "m_at", "seq": "m_seq", "id": "change_id"})
+                last = versions.drop_duplicates(["client", "slice"], keep="last").rename(columns={"at": "m_at", "seq": "m_seq", "id": "change_id"})
                 out.append(taken.merge(last, on=["client", "slice"]).assign(rec="taken"))
-        sales = new[new["kind"] == "sale"]
-        now = (sales["at"] < horizon) | (sales["at"] == NONE)
-        goes, waits = sales[now], sales[~now]
-        if flush:
-            goes = self.waiting
-            self.waiting = self.waiting.iloc[:0]
-        if len(goes):
-            out.append(self._sold(goes))
-        if len(waits):
-            self.waiting = pd.concat([self.waiting, waits[self.waiting.columns]], ignore_index=True) if len(self.waiting) else waits[self.waiting.columns].reset_index(drop=True)
-        self._save(0)
-        yield from self._told(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._load()
-        if self.timer == expiredTimerInfo.getExpiryTimeInMs():
-            self.timer = None
-        horizon, out = self._horizon(timerValues), []
-        now = self.waiting["at"] < horizon
-        if now.any():
-            out.append(self._sold(self.waiting[now]))
-            self.waiting = self.waiting[~now].reset_index(drop=True)
-        self.versions, told = _pruned(self.versions, horizon)
-        self._save(timerValues.getCurrentWatermarkInMs() + 1)
-        yield from self._told([*out, told])
+            waiting = _joint(waiting, new[new["kind"] == "sale"][waiting.columns])
+        goes = (waiting["at"] < horizon) | (waiting["at"] == NONE) | flush
+        if goes.any():
+            out.append(_sold(waiting[goes], versions))
+            waiting = waiting[~goes].reset_index(drop=True)
+        versions, told = _pruned(versions, horizon)
+        return versions, waiting, [*out, told]
+
+
+def _joint(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    return pd.concat([x for x in (a, b) if len(x)] or [a], ignore_index=True)
+
+
+def _pack(x: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, (t := pa.Table.from_pandas(x, preserve_index=False)).schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_pandas()
+
+
+def _sold(sales: pd.DataFrame, versions: pd.DataFrame) -> pd.DataFrame:
+    place, held = _match(sales, versions)
+    got = versions.take(np.maximum(place, 0)).reset_index(drop=True) if len(versions) else pd.DataFrame({k: [None] * len(sales) for k in _KEYS})
+    got = got[["at", "seq", "id", "cents", "op"]].astype(object)
+    got[place < 0] = None
+    return pd.DataFrame({"rec": "sale", "id": sales["id"].to_numpy(), "client": sales["client"].to_numpy(), "slice": sales["slice"].to_numpy(), "at": sales["at"].to_numpy(), "n_held": held, "m_at": got["at"], "m_seq": got["seq"], "change_id": got["id"], "cents": got["cents"], "op": got["op"]})
 
 
 @contextmanager
@@ -314,7 +291,7 @@ def enriched(sales: DataFrame, changes: DataFrame, batches: int = BATCHES, delay
     _move(spark, f"{root}/staged/flush/batch={batches}", f"{root}/staged/sales/batch={batches}")
     for name in tables:
         _move(spark, f"{root}/nothing", f"{root}/in/{name}/none")
-    with _settings(spark, spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", spark__sql__streaming__noDataMicroBatches__enabled="false", spark__sql__streaming__multipleWatermarkPolicy="min"):
+    with _settings(spark, spark__sql__streaming__noDataMicroBatches__enabled="false", spark__sql__streaming__multipleWatermarkPolicy="min"):
         for b in range(batches + 1):
             for name in tables:
                 _move(spark, f"{root}/staged/{name}/batch={b}", f"{root}/in/{name}/batch={b}")
@@ -337,7 +314,7 @@ def _run(spark: SparkSession, root: str, batch: int, marks: dict[str, list[int]]
         parts.append(rows)
     both = parts[0].unionByName(parts[1])
     clerk = SaleClerk(batch, horizon % 1000 if horizon != NONE else 0)
-    told = both.groupBy("bucket").transformWithStateInPandas(statefulProcessor=clerk, outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+    told = both.groupBy("bucket").applyInPandasWithState(clerk.__call__, OUT, SaleClerk.STATE, "append", GroupStateTimeout.EventTimeTimeout)
     told.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
