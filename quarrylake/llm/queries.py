@@ -5,6 +5,7 @@ from __future__ import annotations
 from .collocations import OP12_SQL, op12_collocations
 from .ctph import op7_ctph
 from .html_template import op9_html_template
+from .language_id import op11_language_id
 from .line_dedup import op3_line_dedup
 from .mixing import OP5_SQL, op5_mixing
 from .ngram_join import op2_ngram_join
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_html_template": op9_html_template,
     "op10_packing": op10_packing,
+    "op11_language_id": op11_language_id,
     "op12_collocations": op12_collocations,
     "op13_sale_versions": op13_sale_versions,
 }
