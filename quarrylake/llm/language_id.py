@@ -73,7 +73,7 @@ def vocabulary(path: str | None = None) -> list[str]:
 
 
 class Pieces:
-    """A trie of pieces as one table: step[node, letter] is the next node or -1, piece[node] the piece that ends there or -1. A single letter outside of it is piece len(names)."""
+    """A trie of pieces as sorted arcs: keys of (node, letter), where they lead, and the piece that ends at each node or -1. A letter outside of it is piece len(names)."""
 
     def __init__(self, names: list[str]):
         self.names = names
@@ -88,13 +88,17 @@ class Pieces:
                 if at == len(children):
                     children.append({})
             ends[at] = k
-        self.step = np.full((len(children), len(letters) + 1), -1, np.int32)
-        for node, out in enumerate(children):
-            for c, to in out.items():
-                self.step[node, c] = to
+        arcs = sorted((node * (len(letters) + 1) + c, to) for node, out in enumerate(children) for c, to in out.items())
+        self.keys, self.to = np.array([k for k, _ in arcs], np.int64), np.array([to for _, to in arcs], np.int32)
         self.piece = np.full(len(children), -1, np.int32)
         self.piece[list(ends)] = list(ends.values())
 
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The nodes that letters lead to, or -1."""
+        key = node.astype(np.int64) * (len(self.letter) + 1) + code
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], -1)
+
     def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(word, from, to, piece) of every piece that fits into a word, by place of its end, and the words' lengths with the mark."""
         n = np.array([len(w) + 1 for w in words])
@@ -108,8 +112,9 @@ class Pieces:
         found.append((word[lone], start[lone], start[lone] + 1, np.full(lone.sum(), len(self.names), np.int32)))
         at = start
         while len(word):
-            code = codes[word, np.minimum(at, codes.shape[1] - 1)]
-            node = np.where((at < n[word]) & (code >= 0), self.step[node, code], -1)
+            live = at < n[word]
+            word, start, at, node = word[live], start[live], at[live], node[live]
+            node = self.step(node, codes[word, at])
             live = node >= 0
             word, start, at, node = word[live], start[live], at[live] + 1, node[live]
             ends = self.piece[node] >= 0

@@ -41,6 +41,8 @@ BATCHES, FIRST_DAY, DAYS = 10, 19723, 152
 DELAY_HOURS = 36
 #: A client of this share of all rows is cut into slices of so many hours.
 HEAVY_SHARE, SLICE_HOURS = 1024, 6
+#: But not one of fewer rows than these.
+LEAST_HEAVY = 64
 #: Rows of both tables a bucket and batch.
 BUCKET_ROWS = 4096
 HOUR = 3_600_000_000
@@ -94,14 +96,14 @@ def batch_number(at: Column, later: Column | None = None, batches: int = BATCHES
     return F.greatest(F.lit(0), F.least(F.lit(batches - 1), F.floor((day - FIRST_DAY) * batches / DAYS).cast("int"))).cast("int")
 
 
-def sale_rows(sales: DataFrame) -> DataFrame:
-    return sales.select(batch_number(F.col("arrived_at")).alias("batch"), F.lit("sale").alias("kind"), F.col("client_id").cast("long").alias("client"), F.col("sale_id").cast("long").alias("id"), micros(F.col("sold_at")).alias("at"), F.lit(NONE).alias("seq"), F.lit(None).cast("string").alias("op"), F.lit(NONE).alias("cents"))
+def sale_rows(sales: DataFrame, batches: int = BATCHES) -> DataFrame:
+    return sales.select(batch_number(F.col("arrived_at"), None, batches).alias("batch"), F.lit("sale").alias("kind"), F.col("client_id").cast("long").alias("client"), F.col("sale_id").cast("long").alias("id"), micros(F.col("sold_at")).alias("at"), F.lit(NONE).alias("seq"), F.lit(None).cast("string").alias("op"), F.lit(NONE).alias("cents"))
 
 
-def change_rows(changes: DataFrame) -> DataFrame:
+def change_rows(changes: DataFrame, batches: int = BATCHES) -> DataFrame:
     c = changes.select("change_id", "client_id", "seq", "op", "valid_at", "source", "segment", "city", "balance").where("valid_at is not null").distinct()
     cents = F.when(F.col("balance").isNotNull() & ~F.isnan("balance"), F.floor(F.col("balance") * 100 + 0.5).cast("long"))
-    batch = batch_number(F.col("valid_at"), (F.crc32(F.col("change_id").cast("string")) % 4).cast("int"))
+    batch = batch_number(F.col("valid_at"), (F.crc32(F.col("change_id").cast("string")) % 4).cast("int"), batches)
     orders = [F.coalesce(x, F.lit(NONE)) for x in (F.col("seq").cast("long"), F.col("change_id").cast("long"), cents)]
     return c.select(batch.alias("batch"), F.lit("change").alias("kind"), F.col("client_id").cast("long").alias("client"), orders[1].alias("id"), micros(F.col("valid_at")).alias("at"), orders[0].alias("seq"), "op", orders[2].alias("cents"))
 
@@ -242,8 +244,14 @@ def _settings(spark: SparkSession, **settings: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _move(spark: SparkSession, path: str, to: str) -> None:
-    """A folder under another name, if it is there."""
+def _marker(ids: DataFrame, kind: str, batch: Column, bucket: Column) -> DataFrame:
+    """Rows that are no sale and no change."""
+    fixed = {"batch": batch, "bucket": bucket, "kind": F.lit(kind), "lone": F.lit(True), "slice": F.lit(NO_SLICE), "op": F.lit(None)}
+    return ids.select(*[fixed.get(n, F.lit(0)).cast(t).alias(n) for n, t in (x.split() for x in ROWS.split(", "))])
+
+
+def _feed(spark: SparkSession, path: str, to: str) -> None:
+    """A batch's folder under the stream's; the last batch has no changes."""
     jvm = spark.sparkContext._jvm
     source, target = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(to)
     fs = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -272,13 +280,13 @@ def enriched(sales: DataFrame, changes: DataFrame, batches: int = BATCHES, delay
     """rec, id, batch, n_held, change_id, balance_cents, op: a row for each sale and each late change."""
     spark = sales.sparkSession
     root = f"{shared_dir(spark)}/valid-time/{uuid.uuid4().hex}"
-    tables = {"sales": sale_rows(sales), "changes": change_rows(changes)}
+    tables = {"sales": sale_rows(sales, batches), "changes": change_rows(changes, batches)}
     counted = tables["sales"].select("client").unionByName(tables["changes"].select("client"))
     per_client = counted.groupBy("client").count()
     total = sales.count() + changes.count()
-    heavy = [r["client"] for r in per_client.where((F.col("client").isNotNull()) & (F.col("count") * heavy_share >= total) & (F.col("count") > 64)).select("client").collect()]
+    heavy = [r["client"] for r in per_client.where((F.col("client").isNotNull()) & (F.col("count") * heavy_share >= total) & (F.col("count") >= LEAST_HEAVY)).select("client").collect()]
     buckets = max(8, total // batches // BUCKET_ROWS)
-    ticks = spark.range(batches).select(F.col("id").cast("int").alias("batch"), F.lit(0).cast("long").alias("bucket"), F.lit("tick").alias("kind"), *[F.lit({"lone": True, "slice": NO_SLICE, "op": None}.get(n, 0)).cast(t).alias(n) for n, t in (x.split() for x in ROWS.split(", ")[3:])])
+    ticks = _marker(spark.range(batches), "tick", F.col("id"), F.lit(0))  # so that each table has a row, and its mark, in each batch
     for name, rows in tables.items():
         placed = _placed(rows, heavy, buckets)
         if name == "changes":  # after the shuffle of distinct: few files a batch
@@ -286,15 +294,11 @@ def enriched(sales: DataFrame, changes: DataFrame, batches: int = BATCHES, delay
         placed.unionByName(ticks).write.partitionBy("batch").parquet(f"{root}/staged/{name}")
     marks = {name: _marks(spark, f"{root}/staged/{name}", batches) for name in tables}
     limits = horizons(marks["sales"], marks["changes"], delay_hours)
-    flush = spark.range(buckets).select(F.lit(batches).alias("batch"), F.col("id").alias("bucket"), F.lit("flush").alias("kind"), *[F.lit({"lone": True, "slice": NO_SLICE, "op": None}.get(n, 0)).cast(t).alias(n) for n, t in (x.split() for x in ROWS.split(", ")[3:])])
-    flush.write.partitionBy("batch").parquet(f"{root}/staged/flush")
-    _move(spark, f"{root}/staged/flush/batch={batches}", f"{root}/staged/sales/batch={batches}")
-    for name in tables:
-        _move(spark, f"{root}/nothing", f"{root}/in/{name}/none")
+    _marker(spark.range(buckets), "flush", F.lit(batches), F.col("id")).drop("batch").write.parquet(f"{root}/staged/sales/batch={batches}")
     with _settings(spark, spark__sql__streaming__noDataMicroBatches__enabled="false", spark__sql__streaming__multipleWatermarkPolicy="min"):
         for b in range(batches + 1):
             for name in tables:
-                _move(spark, f"{root}/staged/{name}/batch={b}", f"{root}/in/{name}/batch={b}")
+                _feed(spark, f"{root}/staged/{name}/batch={b}", f"{root}/in/{name}/batch={b}")
             _run(spark, root, b, {n: m[: b + 1] for n, m in marks.items()}, limits[b], delay_hours)
     out = spark.read.schema(OUT).parquet(f"{root}/out")
     for part in ("staged", "in", "checkpoint"):
@@ -321,7 +325,7 @@ def _run(spark: SparkSession, root: str, batch: int, marks: dict[str, list[int]]
 def _joined(out: DataFrame, limits: list[int]) -> DataFrame:
     """Rows of whole clients as they are; sales of sliced clients with what the other slices told."""
     as_null = lambda c: F.when(F.col(c) != NONE, F.col(c))
-    final = ["rec", "id", F.col("batch").cast("long").alias("batch"), "n_held", as_null("change_id").alias("change_id"), as_null("cents").alias("balance_cents"), "op"]
+    final = ["rec", as_null("id").alias("id"), F.col("batch").cast("long").alias("batch"), "n_held", as_null("change_id").alias("change_id"), as_null("cents").alias("balance_cents"), "op"]
     whole = out.where((F.col("rec") == "late") | (F.col("rec") == "sale") & (F.col("slice") == NO_SLICE))
     sold = out.where((F.col("rec") == "sale") & (F.col("slice") != NO_SLICE))
     told = out.where(F.col("rec").isin("taken", "kept")).withColumn("v", F.struct("m_at", "m_seq", "change_id", "op", "cents"))
