@@ -62,19 +62,41 @@ def term_top_k(scored: DataFrame, k: int, by: list[str], order: list) -> DataFra
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def bm25(terms: DataFrame, postings: DataFrame, docs: DataFrame, key: str, per_query: int = 32, per_term: int = 256, limit: int = 10) -> DataFrame:
-    """Top documents of each query (query_id, term): the query's per_query rarest terms meet postings, each term keeps its per_term best, a document's scores add up.
+def term_pools(terms: DataFrame, postings: DataFrame, docs: DataFrame, key: str, per_query: int = 32, per_term: int = 256, frequency: DataFrame | None = None) -> DataFrame:
+    """(query_id, term, key, uri, term_score): the query's per_query rarest terms meet postings, each term keeps its per_term best.
 
-    postings is read once for the frequencies and once for the hits, so it should be a written table.
+    frequency: (term, frequency) of an index; counted from postings if not given.
     """
     stats = logical_statistics(docs)
-    wanted = postings.join(terms.select("term").distinct(), "term", "left_semi")
-    df = document_frequency(wanted, docs, key).crossJoin(stats)  # one row of statistics
+    if frequency is None:
+        frequency = document_frequency(postings.join(terms.select("term").distinct(), "term", "left_semi"), docs, key)
+    df = frequency.crossJoin(stats)  # one row of statistics
     chosen = select_query_terms(terms, df, F.col("documents"), per_query)
     chosen = chosen.select("query_id", "term", "idf", (F.col("total_length") / F.greatest(F.col("documents"), F.lit(1))).alias("mean_length"))
     hits = postings.join(chosen, "term").join(docs.select(key, "uri", "length"), key)
     hits = hits.withColumn("term_score", S.bm25(F.col("tf"), F.col("length"), F.col("mean_length"), F.col("idf"), F.col("field_weight")))
-    best = term_top_k(hits, per_term, ["query_id", "term"], [F.desc("term_score"), F.desc("field_weight"), "uri"])
+    return term_top_k(hits, per_term, ["query_id", "term"], [F.desc("term_score"), F.desc("field_weight"), "uri"]).select("query_id", "term", key, "uri", "term_score")
+
+
+def exhaustive(terms: DataFrame, pools: DataFrame, docs: DataFrame, key: str, per_term: int, decode_limit: int, limit: int) -> DataFrame:
+    """Of each query, whether its answer is provably whole: every one of its terms was looked up and found, no term's pool was cut, and neither were the documents ranked nor the logical ones returned.
+
+    (query_id, query_terms, indexed_terms, fullest_pool, ranked_documents, candidates, exhaustive); pools are those of the same search.
+    """
+    asked = terms.groupBy("query_id").agg(F.countDistinct("term").alias("query_terms"))
+    pool = pools.groupBy("query_id", "term").agg(F.count("*").alias("n")).groupBy("query_id").agg(F.count("*").alias("indexed_terms"), F.max("n").alias("fullest_pool"))
+    ranked = pools.select("query_id", key).distinct().join(docs.select(key, "logical_key"), key).groupBy("query_id").agg(F.count("*").alias("ranked_documents"), F.countDistinct("logical_key").alias("candidates"))
+    rows = asked.join(pool, "query_id", "left").join(ranked, "query_id", "left").na.fill(0, ["indexed_terms", "fullest_pool", "ranked_documents", "candidates"])
+    whole = (F.col("query_terms") == F.col("indexed_terms")) & (F.col("fullest_pool") < per_term) & (F.col("ranked_documents") <= decode_limit) & (F.col("candidates") <= limit)
+    return rows.withColumn("exhaustive", whole)
+
+
+def bm25(terms: DataFrame, postings: DataFrame, docs: DataFrame, key: str, per_query: int = 32, per_term: int = 256, limit: int = 10, frequency: DataFrame | None = None) -> DataFrame:
+    """Top documents of each query (query_id, term): a document's scores in the terms' pools add up.
+
+    postings is read once for the frequencies, where these are not given, and once for the hits, so it should be a written table.
+    """
+    best = term_pools(terms, postings, docs, key, per_query, per_term, frequency)
     total = best.groupBy("query_id", key, "uri").agg(F.round(F.sum("term_score"), 6).alias("score"))
     return term_top_k(total, limit, ["query_id"], [F.desc("score"), "uri"])
 

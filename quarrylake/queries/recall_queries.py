@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..adapters import read, recall_docs, sql, vectors
 from ..functions import scores as S, text as X
-from ..operators import recall as R, traversal as T
+from ..operators import recall as R, recall_index as I, traversal as T, vector_index as V
 from ..plans import predicates as P
 
 QUERIES: dict = {}
@@ -30,11 +33,15 @@ def _postings(docs: DataFrame) -> DataFrame:
     return body.unionByName(project).groupBy("doc_id", "term").agg(F.max("field_weight").cast("int").alias("field_weight"), F.max("tf").alias("tf"), F.max("n").alias("n"))
 
 
+def _opened(spark, d) -> I.RecallIndex:
+    """The index of a folder's documents, kept in the shared folder and brought up to date."""
+    return I.opened(recall_docs(spark, d), f"{T.shared_dir(spark)}/recall-index/{hashlib.md5(d.encode()).hexdigest()}", _postings)
+
+
 def _index(spark, d) -> tuple[DataFrame, DataFrame]:
-    """(documents with lengths, postings): the texts are read for the postings once, and these are written."""
-    docs = recall_docs(spark, d).drop("text", "title")
-    postings = T.written(_postings(recall_docs(spark, d)), "postings")
-    return R.with_lengths(docs, postings, "doc_id"), postings
+    """(documents with lengths, postings) of the index."""
+    index = _opened(spark, d)
+    return index.documents, index.postings()
 
 
 def _terms(spark, d) -> DataFrame:
@@ -57,8 +64,56 @@ _STATS = """lengths AS (SELECT r.doc_id, r.logical_key, r.uri, r.recorded_at, co
   total AS (SELECT query_id, doc_id, uri, round(sum(term_score), 6) AS score FROM best WHERE r <= 256 GROUP BY ALL)
 SELECT query_id, uri, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, uri) AS rank FROM total) WHERE rank <= 10"""))
 def bm25_topk(spark, d):
-    docs, postings = _index(spark, d)
-    return R.bm25(_terms(spark, d), postings, docs, "doc_id").select("query_id", "uri", "score")
+    index, terms = _opened(spark, d), _terms(spark, d)
+    some = index.buckets_of(terms)
+    return R.bm25(terms, index.postings(some), index.documents, "doc_id", frequency=index.frequency(some)).select("query_id", "uri", "score")
+
+
+BM25_SQL = ORACLE_SQL["bm25_topk"]
+
+
+def _older(docs: DataFrame) -> DataFrame:
+    """The documents as they were: a ninth not yet there, a seventh with another text, and a fifth that have gone since."""
+    gone = docs.where("doc_id % 5 = 0").withColumn("doc_id", -1 - F.col("doc_id")).withColumn("uri", F.concat("uri", F.lit("/old")))
+    was = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("earlier words of "), F.col("text"))).otherwise(F.col("text"))
+    return docs.where("doc_id % 9 <> 0").withColumn("text", was).unionByName(gone)
+
+
+def _refreshed(spark, d) -> I.RecallIndex:
+    docs = recall_docs(spark, d)
+    index = I.build(_older(docs), f"{T.shared_dir(spark)}/recall-index/{uuid.uuid4().hex}", _postings)
+    return I.refresh(index, docs, _postings)
+
+
+@query(BM25_SQL)
+def index_refresh_topk(spark, d):
+    """The best documents by an index that was built on older documents and refreshed: those of an index of today's."""
+    index, terms = _refreshed(spark, d), _terms(spark, d)
+    return R.bm25(terms, index.postings(), index.documents, "doc_id", frequency=index.frequency()).select("query_id", "uri", "score")
+
+
+@query(sql("recall_docs doc_terms title_terms postings", "SELECT term, count(DISTINCT logical_key) AS frequency FROM postings JOIN recall_docs USING (doc_id) GROUP BY term"))
+def index_refresh_frequency(spark, d):
+    """All document frequencies of the refreshed index."""
+    return _refreshed(spark, d).frequency()
+
+
+@query(sql("recall_docs doc_terms title_terms postings query_terms", f"""WITH {_STATS},
+  scored AS (SELECT q.item_id AS query_id, p.term, p.doc_id, l.uri, l.logical_key, p.field_weight,
+    ln(1 + (documents - frequency + 0.5::DOUBLE) / (frequency + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (length / greatest(total_length / greatest(documents, 1)::DOUBLE, 1.0::DOUBLE)))) + field_weight / 4.0::DOUBLE AS term_score
+    FROM postings p JOIN chosen q USING (term) JOIN lengths l USING (doc_id), stats),
+  pool AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, term ORDER BY term_score DESC, field_weight DESC, uri) AS r FROM scored) WHERE r <= 256),
+  asked AS (SELECT item_id AS query_id, count(*) AS query_terms FROM query_terms GROUP BY item_id),
+  terms AS (SELECT query_id, count(*) AS indexed_terms, max(n) AS fullest_pool FROM (SELECT query_id, term, count(*) AS n FROM pool GROUP BY ALL) GROUP BY query_id),
+  ranked AS (SELECT query_id, count(DISTINCT doc_id) AS ranked_documents, count(DISTINCT logical_key) AS candidates FROM pool GROUP BY query_id)
+SELECT query_id, query_terms, coalesce(indexed_terms, 0) AS indexed_terms, coalesce(fullest_pool, 0) AS fullest_pool, coalesce(ranked_documents, 0) AS ranked_documents, coalesce(candidates, 0) AS candidates,
+  query_terms = coalesce(indexed_terms, 0) AND coalesce(fullest_pool, 0) < 256 AND coalesce(ranked_documents, 0) <= 512 AND coalesce(candidates, 0) <= 400 AS exhaustive FROM asked LEFT JOIN terms USING (query_id) LEFT JOIN ranked USING (query_id)"""))
+def exhaustive_proof(spark, d):
+    """Which benchmark queries were answered in full."""
+    index, terms = _opened(spark, d), _terms(spark, d)
+    some = index.buckets_of(terms)
+    pools = T.written(R.term_pools(terms, index.postings(some), index.documents, "doc_id", frequency=index.frequency(some)), "pools")
+    return R.exhaustive(terms, pools, index.documents, "doc_id", 256, 512, 400)
 
 
 @query(sql("recall_docs doc_terms title_terms postings query_terms", f"WITH {_STATS} SELECT documents, total_length FROM stats"))
@@ -183,11 +238,21 @@ def keyset_page(spark, d):
   s AS (SELECT q.vec_id AS query_id, n.vec_id, round(greatest(-1.0, least(1.0, list_dot_product(n.v, q.v))), 5) AS score FROM n, n AS q WHERE q.vec_id % 20 = 0 AND n.vec_id <> q.vec_id)
 SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10"""))
 def vector_topk(spark, d):
+    """Exact: cells that the nearest ones do not rule out are read too."""
+    index, q = _vector_index(spark, d)
+    return V.search(index, q, 10, exact=True, same_id=False, digits=5)
+
+
+def _vector_index(spark, d):
     v = vectors(spark, d)
-    q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    a, b = q.select("query_id", S.l2_normalize(F.col("q")).alias("q")), v.select("vec_id", S.l2_normalize(F.col("v")).alias("v"))
-    s = b.join(a, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), S.dot(F.col("v"), F.col("q")))), 5).alias("score"))
-    return R.term_top_k(s, 10, ["query_id"], [F.desc("score"), "vec_id"]).select("query_id", "vec_id", "score")
+    return V.build(v, f"{T.shared_dir(spark)}/vector-index/{uuid.uuid4().hex}"), v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "v")
+
+
+@query()
+def vector_index_topk(spark, d):
+    """By the probed cells alone; tests measure its recall against vector_topk."""
+    index, q = _vector_index(spark, d)
+    return V.search(index, q, 10, same_id=False, digits=5)
 
 
 @query(sql("recall_docs", "SELECT term, uri, line FROM (SELECT term, uri, line, row_number() OVER (PARTITION BY term ORDER BY uri, line) AS r FROM (SELECT uri, unnest(string_split(text, chr(10))) AS content, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM recall_docs), (VALUES ('license'), ('TOKEN')) v(term) WHERE contains(lower(content), lower(term))) WHERE r <= 25"))
