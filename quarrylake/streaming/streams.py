@@ -1,4 +1,4 @@
-"""Structured Streaming: rate counters, duplicate windows, sessions, incremental counts, outbox passes and lifecycles.
+"""Structured Streaming: rate counters, duplicate windows, sessions, incremental counts and lifecycles (stateful.py has those on timers).
 
 Each function takes a streaming or a batch DataFrame and returns one of the same kind where the semantics allow it;
 event times are timestamps (cast timestamp_ntz first).
@@ -6,7 +6,7 @@ event times are timestamps (cast timestamp_ntz first).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -69,18 +69,6 @@ def keep_counts(changes: DataFrame, table: str, keys: list[str], checkpoint: str
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
-def outbox_pass(rows: DataFrame, handle: Callable[[DataFrame], DataFrame], done: str, dead: str, checkpoint: str, attempts: int = 5):
-    """Each batch: the lowest pending generation of each share is handled; what fails too often goes to the dead letters. Streaming offsets stand in for row locks."""
-
-    def one(batch: DataFrame, batch_id: int) -> None:
-        alive = batch.where(F.col("attempts") < attempts)
-        first = alive.withColumn("_r", F.row_number().over(Window.partitionBy("share").orderBy("generation"))).where("_r = 1").drop("_r")
-        handle(first).write.mode("overwrite").parquet(f"{done}/batch={batch_id}")
-        batch.where(F.col("attempts") >= attempts).write.mode("overwrite").parquet(f"{dead}/batch={batch_id}")
-
-    return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
-
-
 def lifecycle_stream(operations: DataFrame, transitions: dict[tuple[str, str], str]) -> DataFrame:
     """State of each handoff after every operation in a batch, kept between batches (id, operation, ts) -> (id, state, rejected)."""
 
