@@ -1,6 +1,7 @@
 """The query catalogue: QUERIES (name -> callable) and ORACLE_SQL (name -> DuckDB text)."""
 
-from . import graph_queries, memory_queries, recall_queries, rule_queries
+from . import bounded_queries, graph_queries, memory_queries, recall_queries, rule_queries
 
-QUERIES = {**recall_queries.QUERIES, **graph_queries.QUERIES, **memory_queries.QUERIES, **rule_queries.QUERIES}
-ORACLE_SQL = {**recall_queries.ORACLE_SQL, **graph_queries.ORACLE_SQL, **memory_queries.ORACLE_SQL, **rule_queries.ORACLE_SQL}
+_PARTS = (recall_queries, graph_queries, bounded_queries, memory_queries, rule_queries)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL = {name: text for part in _PARTS for name, text in part.ORACLE_SQL.items()}

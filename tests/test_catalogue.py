@@ -42,7 +42,7 @@ def test_matches_sql(name, spark, small, duck):
 
 def test_every_query_is_registered():
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(QUERIES) - set(ORACLE_SQL) == {"markdown_chunks", "claim_contradictions", "components", "communities"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"markdown_chunks", "claim_contradictions", "components", "communities", "vector_index_topk"}
 
 
 def test_entry(spark):
