@@ -21,6 +21,8 @@ texts are read whole, whatever their length; other columns are passed by; an emp
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 import unicodedata
 from collections import Counter
@@ -93,6 +95,13 @@ class Pieces:
         self.piece = np.full(len(children), -1, np.int32)
         self.piece[list(ends)] = list(ends.values())
 
+    @functools.cached_property
+    def code(self) -> np.ndarray:
+        """The number of each code point's letter."""
+        out = np.full(0x110000, len(self.letter), np.int32)
+        out[[ord(c) for c in self.letter]] = list(self.letter.values())
+        return out
+
     def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
         """The nodes that letters lead to, or -1."""
         key = node.astype(np.int64) * (len(self.letter) + 1) + code
@@ -104,8 +113,8 @@ class Pieces:
         n = np.array([len(w) + 1 for w in words])
         codes = np.full((len(words), int(n.max())), -1, np.int32)
         other = len(self.letter)
-        flat = np.fromiter((self.letter.get(c, other) for w in words for c in MARK + w), np.int32, int(n.sum()))
-        codes[np.arange(codes.shape[1]) < n[:, None]] = flat
+        points = np.frombuffer("".join(MARK + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes[np.arange(codes.shape[1]) < n[:, None]] = self.code[points]
         word, start = np.nonzero(codes >= 0)
         node, found = np.zeros(len(word), np.int32), []
         lone = codes[word, start] == other
@@ -264,32 +273,29 @@ class Reader:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((0, len(self.model.langs)))
+        self.rows, self.real = np.zeros((0, len(self.model.langs))), np.zeros(0, bool)
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities of each text, and whether it has a word."""
         words = [words_of(t) for t in texts]
-        flat = pa.array([w for ws in words for w in ws], pa.string()).dictionary_encode()
-        distinct = flat.dictionary.to_pylist()
+        flat = list(itertools.chain.from_iterable(words))
+        distinct = set(flat)
         if len(self.known) + len(distinct) > self.most:
             self.clear()
-        fresh = [w for w in distinct if w not in self.known]
+        fresh = sorted(distinct.difference(self.known))
         if fresh:
-            probs = log_probs(self.pieces, self.table, fresh)
-            probs[[not is_word(w) for w in fresh]] = 0
+            real = np.array([is_word(w) for w in fresh])
             self.known |= {w: len(self.rows) + i for i, w in enumerate(fresh)}
-            self.rows = np.concatenate([self.rows, probs])
-        sums = np.zeros((len(texts), len(self.model.langs)))
-        real = np.array([is_word(w) for w in distinct], bool)
-        has = np.zeros(len(texts), bool)
-        if distinct:
-            index = flat.indices.to_numpy()
-            of = self.rows[np.array([self.known[w] for w in distinct])]
+            self.rows = np.concatenate([self.rows, np.where(real[:, None], log_probs(self.pieces, self.table, fresh), 0)])
+            self.real = np.concatenate([self.real, real])
+        sums, has = np.zeros((len(texts), len(self.model.langs))), np.zeros(len(texts), bool)
+        if flat:
+            index = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
             sizes = np.array([*map(len, words)])
             some = np.flatnonzero(sizes)
             at = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-            sums[some] = np.add.reduceat(of[index], at, axis=0)
-            has[some] = np.logical_or.reduceat(real[index], at)
+            sums[some] = np.add.reduceat(self.rows[index], at, axis=0)
+            has[some] = np.logical_or.reduceat(self.real[index], at)
         return sums, has
 
 
