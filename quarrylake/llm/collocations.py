@@ -36,7 +36,7 @@ from .common import batch_of, give_back, lean, read_table, scratch
 DEPTH = 4
 LEAST, TOP = 30, 2000
 #: Bytes of text a shard and a range; ranges at most; windows in the sample of boundaries, and documents in it, about.
-SHARD_BYTES, RANGE_BYTES, RANGES = 8 << 20, 4 << 20, 4096
+SHARD_BYTES, RANGE_BYTES, RANGES = 4 << 20, 4 << 20, 4096
 SAMPLE_WINDOWS, SAMPLE_DOCS = 1 << 15, 4096
 
 _WORD, _BLANK, _END = 0, 1, 2
