@@ -210,7 +210,7 @@ def source_ranges(candidates: DataFrame, files: int = 3, ranges: int = 2, lines:
     chosen = first_rows(per_file.select(by, "path", "best", "r"), [by], ["best", "path"], files)
 
     def fold(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
+        last = F.try_element_at(done, F.lit(-1))
         natural = F.greatest(last["e"], x["e"])
         cut = F.least(natural, last["s"] + (lines - 1))
         joined = F.struct(last["s"].alias("s"), cut.alias("e"), F.least(last["rank"], x["rank"]).alias("rank"), (last["t"] | x["t"] | (cut < natural)).alias("t"), F.array_distinct(F.concat(last["refs"], x["refs"])).alias("refs"))

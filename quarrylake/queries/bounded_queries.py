@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..adapters import edges, read, sql
-from ..operators import bounded as B
+from ..operators import bounded as B, routed as R
 from ..operators.traversal import written
 
 QUERIES: dict = {}
@@ -149,3 +149,59 @@ def source_excerpts(spark, d):
     file = F.col("l_partkey") % 9
     c = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("query_id"), F.concat(F.lit("f"), file.cast("string")).alias("path"), F.when((file == 4) & (F.col("l_returnflag") == "A"), "h2").otherwise("h1").alias("content_hash"), start.alias("start_line"), (start + F.col("l_quantity")).cast("long").alias("end_line"), ((F.col("l_orderkey") * 31 + F.col("l_linenumber")) % 1000).alias("rank"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("ref"), F.lit(False).alias("truncated"))
     return B.source_ranges(c)
+
+
+def _routed(spark, d):
+    """Brands as repositories of parts, the names and sizes of the suppliers' parts as queries; four brands may not be searched; each part is bridged to the next of another brand."""
+    p = read(spark, d, "part").select("p_partkey", "p_brand", "p_name", F.concat(F.lit("s"), F.col("p_size").cast("string")).alias("size"))
+    words = F.array_union(F.split("p_name", " "), F.array("size"))
+    postings = p.select(F.col("p_brand").alias("repository"), F.col("p_partkey").alias("symbol_id"), F.explode(words).alias("term")).withColumn("weight", F.when(F.col("term").rlike("^s[0-9]"), 1).otherwise(5))
+    terms = read(spark, d, "supplier").join(p, F.col("s_suppkey") == F.col("p_partkey")).select(F.col("s_suppkey").alias("query_id"), F.explode(words).alias("term"))
+    usable = p.select(F.col("p_brand").alias("repository")).distinct().where("repository not in ('Brand#3', 'Brand#7', 'Brand#11', 'Brand#12')")
+    ends = lambda x, shift: p.select((F.col("p_partkey") + shift).alias("id"), F.col("p_brand").alias(f"{x}_repository"), F.col("p_partkey").alias(f"{x}_symbol"))
+    bridges = ends("source", 0).join(ends("target", -1), "id").where("source_repository <> target_repository")
+    return terms, postings, usable, bridges
+
+
+def _routed_sql(phases: int, cards: int, per: int, budget: int) -> str:
+    out = ["""p AS (SELECT p_partkey, p_brand, list_distinct(string_split(p_name, ' ') || ['s' || p_size]) AS words FROM part),
+  post AS (SELECT p_brand AS repo, p_partkey AS sym, term, CASE WHEN regexp_matches(term, '^s[0-9]') THEN 1 ELSE 5 END AS w FROM (SELECT p_brand, p_partkey, unnest(words) AS term FROM p)),
+  t AS (SELECT s_suppkey AS q, unnest(words) AS term FROM supplier JOIN p ON s_suppkey = p_partkey),
+  usable AS (SELECT DISTINCT p_brand AS repo FROM p WHERE p_brand NOT IN ('Brand#3', 'Brand#7', 'Brand#11', 'Brand#12')),
+  br AS (SELECT a.p_brand AS r1, a.p_partkey AS s1, b.p_brand AS r2, b.p_partkey AS s2 FROM p a JOIN p b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_brand <> b.p_brand AND a.p_brand IN (SELECT repo FROM usable) AND b.p_brand IN (SELECT repo FROM usable)),
+  cat AS (SELECT repo, term, max(w) AS w, count(DISTINCT sym) AS n FROM post GROUP BY ALL),
+  r AS (SELECT q, repo, sum(w * 100 + least(n, 99)) AS score FROM t JOIN cat USING (term) GROUP BY ALL),
+  rr AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, repo) AS rank FROM r),
+  amb AS (SELECT q, count(*) AS routes, coalesce(max(CASE WHEN rank = 5 THEN score END) * 10 >= max(score) * 8, false) AS ambiguous FROM rr GROUP BY q),
+  wanted AS (SELECT q, count(*) AS wanted FROM t GROUP BY q),
+  hits AS (SELECT q, repo, sym, score FROM (SELECT t.q, repo, sym, sum(w) AS score, count(DISTINCT term) AS n FROM t JOIN post USING (term) GROUP BY ALL) JOIN wanted USING (q) WHERE n = wanted),
+  deep AS (SELECT * FROM hits WHERE repo IN (SELECT repo FROM usable) QUALIFY row_number() OVER (PARTITION BY q, repo ORDER BY score DESC, sym) <= %d),
+  st0 AS (SELECT q, routes, ambiguous, 0 AS cards, 0 AS selected, CAST(NULL AS VARCHAR) AS stop FROM amb)""" % per]
+    low = 0
+    for k in range(phases):
+        high = low + (4, 4, 16)[min(k, 2)]
+        first = f"WHEN left_ AND ambiguous AND {k} = 0 THEN NULL WHEN left_ AND n >= {cards} THEN 'result-budget' WHEN left_ AND ambiguous AND {k} > 0 THEN 'work-budget' ELSE 'sufficient-evidence'"
+        out += [f"c{k} AS (SELECT d.* FROM st{k} s JOIN rr ON rr.q = s.q AND rank > {low} AND rank <= {high} JOIN deep d ON d.q = rr.q AND d.repo = rr.repo WHERE stop IS NULL)",
+                f"x{k} AS (SELECT s.*, s.cards + (SELECT count(*) FROM c{k} c WHERE c.q = s.q) AS n, routes > {high} AS left_ FROM st{k} s)",
+                f"st{k + 1} AS (SELECT q, routes, ambiguous, CASE WHEN stop IS NULL THEN n ELSE cards END AS cards, CASE WHEN stop IS NULL THEN least(routes, {high}) ELSE selected END AS selected, CASE WHEN stop IS NOT NULL THEN stop WHEN n > 0 THEN CASE {first} END WHEN NOT left_ THEN 'exhaustion' END AS stop FROM x{k})"]
+        low = high
+    out += [
+        "f AS (" + " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(phases)) + ")",
+        "o AS (SELECT *, row_number() OVER (PARTITION BY q, repo ORDER BY score DESC, sym) AS own FROM f)",
+        "l AS (SELECT q, repo, row_number() OVER (PARTITION BY q ORDER BY score DESC, sym) AS lead FROM o WHERE own = 1)",
+        "loc AS (SELECT q, repo, sym, score, CASE WHEN own = 1 AND lead <= 4 THEN 0 ELSE 1 END AS tier FROM o JOIN l USING (q, repo))",
+        "ends AS (SELECT s1 AS place, r2 AS repo, s2 AS sym FROM br UNION ALL SELECT s2, r1, s1 FROM br)",
+        "oth AS (SELECT DISTINCT q, ends.repo, ends.sym FROM loc JOIN ends ON ends.place = loc.sym WHERE NOT EXISTS (SELECT 1 FROM loc m WHERE m.q = loc.q AND m.sym = ends.sym))",
+        f"ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, score DESC, sym) AS position FROM (SELECT * FROM loc UNION ALL SELECT q, repo, sym, 0, 2 FROM oth) QUALIFY position <= {cards})",
+        f"pg AS (SELECT q, position, repo, sym, score, 1 AS page, 10 + sym % 30 AS spent FROM ranked WHERE position = 1 UNION ALL SELECT n.q, n.position, n.repo, n.sym, n.score, CASE WHEN pg.spent + 10 + n.sym % 30 <= {budget} THEN pg.page ELSE pg.page + 1 END, CASE WHEN pg.spent + 10 + n.sym % 30 <= {budget} THEN pg.spent + 10 + n.sym % 30 ELSE 10 + n.sym % 30 END FROM pg JOIN ranked n ON n.q = pg.q AND n.position = pg.position + 1)",
+    ]
+    return "RECURSIVE " + ",\n".join(out) + f"\nSELECT s.q AS query_id, position, repo AS repository, sym AS symbol_id, score, CASE WHEN pg.sym IS NOT NULL THEN (SELECT count(*) FROM ends WHERE ends.place = pg.sym) END AS relationships, page, routes, selected, coalesce(stop, 'phase-limit') AS stop_reason FROM st{phases} s LEFT JOIN pg USING (q)"
+
+
+@query("WITH " + _routed_sql(4, 6, 4, 60))
+def routed_cards(spark, d):
+    """Cards of each query over all brands, in pages of 60 units, and why its search stopped."""
+    terms, postings, usable, bridges = _routed(spark, d)
+    cards, receipts = R.search(terms, postings, usable, bridges, evidence_cards=6, per_repository=4, phases=4)
+    rows = R.paged(written(cards, "routed-cards"), F.lit(10) + F.col("symbol_id") % 30, 60)
+    return receipts.join(rows, "query_id", "left")

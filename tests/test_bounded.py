@@ -228,3 +228,31 @@ def test_recall_index_unfinished_refresh(spark, small, tmp_path):
     index = RI.build(docs, f"file://{tmp_path}/d", RQ._postings, buckets=16)
     (tmp_path / "d" / "manifest" / "g=1").mkdir()
     assert RI.RecallIndex.open(spark, f"file://{tmp_path}/d").number == index.number == 0
+
+
+def test_routed_stops_and_pages(spark):
+    """Each stop reason, skipped members, bridge ends, and pages that join to the whole answer."""
+    from quarrylake.operators import routed as R
+
+    repos = [f"r{i:02}" for i in range(30)]
+    posts = [(r, f"{r}:a", "x", 9 - i % 9) for i, r in enumerate(repos)] + [("r03", "r03:b", "y", 1), ("r20", "r20:b", "z", 1), ("r20", "r20:b", "x", 1), ("r25", "r25:c", "lone", 3)]
+    terms = [(1, "x"), (2, "y"), (3, "z"), (3, "x"), (4, "nothing"), (5, "y"), (5, "lone"), (6, "lone")]
+    usable = [(r,) for r in repos if r != "r03"]
+    bridges = [(0, "r25", "r25:c", "r01", "r01:a"), (1, "r25", "r25:c", "r03", "r03:b")]
+    frame = spark.createDataFrame
+    cards, receipts = R.search(frame(terms, "query_id long, term string"), frame(posts, "repository string, symbol_id string, term string, weight int"), frame(usable, "repository string"), frame(bridges, "id long, source_repository string, source_symbol string, target_repository string, target_symbol string"), evidence_cards=5)
+    got = {r["query_id"]: (r["routes"], r["selected"], r["stop_reason"]) for r in receipts.collect()}
+    assert got[1] == (30, 8, "result-budget") and got[2] == (1, 1, "exhaustion") and got[4] == (0, 0, "exhaustion") and got[5] == (2, 2, "exhaustion")
+    assert got[3][2] == "sufficient-evidence" or got[3][2] == "work-budget"
+    assert got[6] == (1, 1, "sufficient-evidence")
+    of = lambda q: [(r["symbol_id"], r["score"], r["relationships"]) for r in sorted(cards.where(F.col("query_id") == q).collect(), key=lambda r: r["position"])]
+    assert of(6) == [("r25:c", 3, 1), ("r01:a", 0, 1)] and len(of(1)) == 5 and [s for s, _, _ in of(3)] == ["r20:b"]
+    paged = R.paged(cards, F.lit(2), 5)
+    rows = sorted(paged.where("query_id = 1").collect(), key=lambda r: r["position"])
+    assert [r["page"] for r in rows] == [1, 1, 2, 2, 3]
+    seen, page = [], paged.where("page = 1")
+    for number in (2, 3, 4):
+        seen += [(r["query_id"], r["position"], r["symbol_id"]) for r in page.collect()]
+        rest = R.continued(paged, R.continuation(page))
+        page = rest.where(F.col("page") == number)
+    assert sorted(seen) == sorted((r["query_id"], r["position"], r["symbol_id"]) for r in cards.collect())
