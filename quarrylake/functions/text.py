@@ -78,10 +78,15 @@ def document_identifiers(text: Column) -> Column:
     return F.slice(cased_identifiers(text), 1, 64)
 
 
-def identity_selectors(text: Column) -> Column:
-    """At most 8 paths, dotted names and cased identifiers inside a longer query."""
+def identities(text: Column) -> Column:
+    """Paths, dotted names and cased identifiers of a text."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}_$][\p{L}\p{N}_$./#:-]*"), F.lit(0))
-    return F.slice(F.array_distinct(F.filter(found, lambda t: t.rlike(r"[./#]|[a-z0-9][A-Z]|_"))), 1, 8)
+    return F.array_distinct(F.filter(found, lambda t: t.rlike(r"[./#]|[a-z0-9][A-Z]|_")))
+
+
+def identity_selectors(text: Column) -> Column:
+    """At most 8 of these, in order, of a longer query."""
+    return F.slice(identities(text), 1, 8)
 
 
 def exact_term_score(term: Column) -> Column:

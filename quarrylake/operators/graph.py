@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scores as S, text as X
-from .recall import term_top_k
+from .recall import numbered, term_top_k
 
 COHESIVE = ("contains", "declares", "exports", "extends", "implements", "overrides", "reexports")
 # Provenance order and the least confidence that needs no review.
@@ -148,14 +148,18 @@ def workset_lane(rows: DataFrame, per_member: int, limit: int) -> DataFrame:
     return cut.withColumn("catalog_rank", F.row_number().over(Window.orderBy("lane_priority", F.desc("exported"), "ordinal", "node_id")))
 
 
-def diversity_first(cards: DataFrame, repositories: int = 4) -> DataFrame:
-    """The best card of each of the leading repositories first, then the rest by score."""
-    inside = Window.partitionBy("repository").orderBy(F.desc("score"), "id")
-    rows = cards.withColumn("rn", F.row_number().over(inside))
-    lead = rows.where("rn = 1").withColumn("repository_rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).select("repository", "repository_rank")
-    rows = rows.join(lead, "repository")
-    first = (F.col("rn") == 1) & (F.col("repository_rank") <= repositories)
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(F.when(first, 0).otherwise(1), F.desc("score"), "id"))).drop("rn", "repository_rank")
+def diversity_first(cards: DataFrame, repositories: int = 4, limit: int | None = None) -> DataFrame:
+    """The best card of each of the leading repositories first, then the rest by score; the first limit of them.
+
+    Without a limit the order is numbered over written, sorted partitions, so that no task sees all cards.
+    """
+    best = cards.withColumn("rn", F.row_number().over(Window.partitionBy("repository").orderBy(F.desc("score"), "id"))).where("rn = 1")
+    lead = best.orderBy(F.desc("score"), "id").limit(repositories).select("id", "repository", F.lit(0).alias("first"))
+    rows = cards.join(lead, ["id", "repository"], "left").withColumn("first", F.coalesce("first", F.lit(1)))
+    order = ["first", F.desc("score"), "id"]
+    if limit is None:
+        return numbered(rows, order).drop("first")
+    return rows.orderBy(*order).limit(limit).withColumn("position", F.row_number().over(Window.orderBy(*order))).drop("first")
 
 
 def hubs(edges: DataFrame, symbols: DataFrame, spread: float = 2.0, god: float = 4.0) -> DataFrame:
@@ -176,9 +180,9 @@ def surprising_links(edges: DataFrame, community: DataFrame) -> DataFrame:
     c = community.select("id", "community")
     j = edges.join(c.select(F.col("id").alias("source_id"), F.col("community").alias("c1")), "source_id").join(c.select(F.col("id").alias("target_id"), F.col("community").alias("c2")), "target_id").where("c1 <> c2")
     j = j.withColumn("low", F.least("c1", "c2")).withColumn("high", F.greatest("c1", "c2"))
-    w = Window.partitionBy("low", "high")
-    j = j.withColumn("score", F.round(clamped(F.col("confidence")) / F.count("*").over(w), 6))
-    return term_top_k(j, 1, ["low", "high"], [F.desc("score"), "id"]).select("low", "high", "id", "score")
+    strength = clamped(F.col("confidence"))
+    best = j.groupBy("low", "high").agg(F.min_by("id", F.struct((-F.round(strength, 12)).alias("c"), "id")).alias("id"), F.max(strength).alias("c"), F.count("*").alias("n"))
+    return best.select("low", "high", "id", F.round(F.col("c") / F.col("n"), 6).alias("score"))
 
 
 def relationship_groups(edges: DataFrame, least: int) -> DataFrame:

@@ -208,7 +208,7 @@ def task_alignment(topic: Column, task: Column, query: Column) -> Column:
     """Topic words 3, task words 2, phrases of two words 3 times that; 0 without a phrase or two words."""
     words = lambda c: X.basis_tokens(c)
     seq = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= 3)
-    pairs = lambda c: F.array_distinct(F.zip_with(seq(c), F.slice(seq(c), 2, 10_000), lambda a, b: F.concat_ws(" ", a, b)))
+    pairs = lambda c: F.array_distinct(F.zip_with(seq(c), F.slice(seq(c), F.lit(2), F.greatest(F.size(seq(c)), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b)))
     one = F.size(F.array_intersect(words(topic), words(query))) * 3 + F.size(F.array_intersect(words(task), words(query))) * 2
     two = F.size(F.filter(F.array_intersect(pairs(topic), pairs(query)), lambda p: p.contains(" "))) * 9 + F.size(F.filter(F.array_intersect(pairs(task), pairs(query)), lambda p: p.contains(" "))) * 6
     shared = F.size(F.array_intersect(F.array_union(words(topic), words(task)), words(query)))
@@ -225,18 +225,24 @@ def feedback_scores(events: DataFrame, now: Column) -> DataFrame:
     """uri -> decayed feedback, clamped to [-1, 1] after every event in time order.
 
     Clamped additions compose: a run of events is the map x -> min(hi, max(lo, x + s)), so a uri's events fold from
-    per-day parts and no uri's events need to be gathered whole; each part is an ordered array of one day.
+    parts of a minute, those into parts of a day, and those into the score: no more than a minute's events of a uri are one array.
     """
     w = events.select("uri", "ts", "event_id", (S.action_weight(F.col("action")) * S.decay((now.cast("double") - F.col("ts").cast("timestamp").cast("double")) / 86400.0)).alias("d"))
     fold = lambda rows, start, step: F.aggregate(rows, start, step)
-    day = w.groupBy("uri", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "d"))).alias("e"))
+    minute = w.groupBy("uri", F.date_trunc("minute", F.col("ts").cast("timestamp")).alias("minute")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "d"))).alias("e"))
     start = F.struct(F.lit(0.0).alias("s"), F.lit(-1e9).alias("lo"), F.lit(1e9).alias("hi"))
 
     def step(acc: Column, x: Column) -> Column:
         clamp = lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v))
         return F.struct((acc.s + x.d).alias("s"), clamp(acc.lo + x.d).alias("lo"), clamp(acc.hi + x.d).alias("hi"))
 
-    parts = day.select("uri", "day", fold(F.col("e"), start, step).alias("p"))
+    def join(acc: Column, x: Column) -> Column:
+        clamp = lambda v: F.greatest(x.p.lo, F.least(x.p.hi, v + x.p.s))
+        return F.struct((acc.s + x.p.s).alias("s"), clamp(acc.lo).alias("lo"), clamp(acc.hi).alias("hi"))
+
+    minutes = minute.select("uri", "minute", fold(F.col("e"), start, step).alias("p"))
+    days = minutes.groupBy("uri", F.to_date("minute").alias("day")).agg(F.array_sort(F.collect_list(F.struct("minute", "p"))).alias("e"))
+    parts = days.select("uri", "day", fold(F.col("e"), start, join).alias("p"))
     whole = parts.groupBy("uri").agg(F.array_sort(F.collect_list(F.struct("day", "p"))).alias("p"))
     score = F.aggregate("p", F.lit(0.0), lambda acc, x: F.greatest(x.p.lo, F.least(x.p.hi, acc + x.p.s)))
     return whole.select("uri", F.round(score, 6).alias("score"))
@@ -256,11 +262,25 @@ def value_report(events: DataFrame) -> DataFrame:
 
 
 def percentiles(values: DataFrame, by: list[str], column: str) -> DataFrame:
-    """p50, p95 and p99 as sorted[min(n - 1, floor(n q))], by rank in a window: no group's values are gathered in a row."""
-    w = Window.partitionBy(*by)
-    r = values.where(F.col(column).isNotNull()).withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy(column)) - 1)
-    pick = lambda q: F.max(F.when(F.col("k") == F.least(F.col("n") - 1, F.floor(F.col("n") * q)), F.col(column)))
-    return r.groupBy(*by).agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"), F.min(column).alias("least"), F.max(column).alias("most"), F.round(F.avg(column), 6).alias("mean"))
+    """p50, p95 and p99 as sorted[min(n - 1, floor(n q))]: equal values are counted first, and ranks are sums of counts.
+
+    A group is cut into 1024 parts of its range, so that ranks are sums over the parts before and inside a part.
+    """
+    counts = values.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    edges = counts.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("n"), F.sum(F.col("_v") * F.col("_n")).alias("_sum"))
+    part = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 1023)).otherwise(0).cast("int")
+    placed = counts.join(edges, by).withColumn("_part", part)
+    parts = placed.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"))
+    order = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.withColumn("_before", F.coalesce(F.sum("_size").over(order), F.lit(0))).drop("_size")
+    inside = Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(before, [*by, "_part"]).withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
+
+    def pick(q: float) -> Column:
+        k = F.least(F.col("n") - 1, F.floor(F.col("n") * q))
+        return F.max(F.when((k >= F.col("_end") - F.col("_n")) & (k < F.col("_end")), F.col("_v")))
+
+    return ranked.groupBy(*by).agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"), F.first("_lo").alias("least"), F.first("_hi").alias("most"), F.round(F.first("_sum") / F.first("n"), 6).alias("mean"))
 
 
 def outbox_health(rows: DataFrame, attempts: int = 5) -> DataFrame:

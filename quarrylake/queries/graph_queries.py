@@ -87,10 +87,9 @@ def adjacency_both(spark, d):
 _PRIORITY = "CASE provenance WHEN 'declared' THEN 1 WHEN 'resolved' THEN 2 WHEN 'syntactic' THEN 3 WHEN 'heuristic' THEN 4 ELSE 5 END, confidence DESC, relation, id"
 
 
-@query(sql("edges", f"WITH ends AS (SELECT source_id AS node, * FROM edges WHERE source_id IS NOT NULL UNION ALL SELECT target_id AS node, * FROM edges WHERE target_id IS NOT NULL AND target_id IS DISTINCT FROM source_id) SELECT node, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY {_PRIORITY}) AS rank FROM ends WHERE starts_with(node, 'part:') OR starts_with(node, 'nation:')) WHERE rank <= 3"))
+@query(sql("edges", f"WITH ends AS (SELECT source_id AS node, * FROM edges WHERE source_id IS NOT NULL UNION ALL SELECT target_id AS node, * FROM edges WHERE target_id IS NOT NULL AND target_id IS DISTINCT FROM source_id) SELECT node, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY {_PRIORITY}) AS rank FROM ends) WHERE rank <= 3"))
 def representative_edges(spark, d):
-    n = symbols(spark, d).where(F.col("id").startswith("part:") | F.col("id").startswith("nation:"))
-    return G.representative_edges(edges(spark, d), n, 3).select("node", "id", F.col("rank").cast("long").alias("rank"))
+    return G.representative_edges(edges(spark, d), symbols(spark, d), 3).select("node", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(sql("symbols", "SELECT path, id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY exported DESC, qualified_name, id) AS r FROM symbols WHERE starts_with(path, 'app/') OR starts_with(path, 'docs/')) WHERE r <= 5"))
@@ -113,14 +112,14 @@ def _references(spark, d):
 
 
 @query("""WITH refs AS (SELECT o_orderkey AS reference_id, 'customer:' || o_custkey AS self_id, CASE WHEN o_orderkey % 5 = 0 THEN 'overrides' ELSE 'calls' END AS relation, CASE WHEN o_orderkey % 3 = 0 THEN 'seg' || (o_custkey % 40) ELSE 'nothing' END AS k0, 'cust' || o_custkey AS k1 FROM orders),
-  lookup AS (SELECT 'seg' || (c_custkey % 60) AS lookup_key, 'customer:' || c_custkey AS symbol_id FROM customer WHERE c_custkey % 60 < 20 AND c_custkey < 200 UNION ALL SELECT 'cust' || c_custkey, 'customer:' || c_custkey FROM customer),
+  lookup AS (SELECT 'seg' || (c_custkey % 60) AS lookup_key, 'customer:' || c_custkey AS symbol_id FROM customer UNION ALL SELECT 'cust' || c_custkey, 'customer:' || c_custkey FROM customer),
   m AS (SELECT reference_id, 0 AS tier, symbol_id FROM refs JOIN lookup ON k0 = lookup_key WHERE NOT (relation = 'overrides' AND symbol_id = self_id) UNION ALL SELECT reference_id, 1, symbol_id FROM refs JOIN lookup ON k1 = lookup_key WHERE NOT (relation = 'overrides' AND symbol_id = self_id)),
   t AS (SELECT reference_id, tier, count(DISTINCT symbol_id) AS matches, min(symbol_id) AS symbol_id FROM m GROUP BY ALL)
 SELECT r.reference_id, t.tier, coalesce(matches, 0) AS matches, CASE WHEN matches = 1 THEN symbol_id END AS target_id FROM refs r LEFT JOIN (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY reference_id ORDER BY tier) = 1) t ON r.reference_id = t.reference_id""")
 def tiered_resolution(spark, d):
     c = read(spark, d, "customer")
     sym = F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("symbol_id")
-    lookup = c.where("c_custkey % 60 < 20 and c_custkey < 200").select(F.concat(F.lit("seg"), (F.col("c_custkey") % 60).cast("string")).alias("lookup_key"), sym).unionByName(c.select(F.concat(F.lit("cust"), F.col("c_custkey").cast("string")).alias("lookup_key"), sym))
+    lookup = c.select(F.concat(F.lit("seg"), (F.col("c_custkey") % 60).cast("string")).alias("lookup_key"), sym).unionByName(c.select(F.concat(F.lit("cust"), F.col("c_custkey").cast("string")).alias("lookup_key"), sym))
     return G.tiered_resolution(_references(spark, d), lookup).select("reference_id", "tier", "matches", "target_id")
 
 
@@ -162,12 +161,12 @@ def semver_comparison(spark, d):
     return read(spark, d, "part").select("p_partkey", V.semver_compare(left, right).alias("comparison"))
 
 
-@query("""WITH rows AS (SELECT CAST(s_nationkey AS BIGINT) AS ordinal, l_partkey AS node_id, l_linenumber % 2 = 0 AS exported, CAST(l_linenumber % 3 AS BIGINT) AS lane_priority FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity > 40),
+@query("""WITH rows AS (SELECT CAST(s_nationkey AS BIGINT) AS ordinal, l_partkey AS node_id, l_linenumber % 2 = 0 AS exported, CAST(l_linenumber % 3 AS BIGINT) AS lane_priority FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
   one AS (SELECT ordinal, node_id, max(exported) AS exported, min(lane_priority) AS lane_priority FROM rows GROUP BY ALL), fair AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY lane_priority, exported DESC, node_id) <= 6)
 SELECT ordinal, node_id, exported, lane_priority, row_number() OVER (ORDER BY lane_priority, exported DESC, ordinal, node_id) AS catalog_rank FROM fair ORDER BY catalog_rank LIMIT 80""")
 def workset_exact_lane(spark, d):
     l, s = read(spark, d, "lineitem"), read(spark, d, "supplier")
-    rows = l.where("l_quantity > 40").join(s, l.l_suppkey == s.s_suppkey).select(F.col("s_nationkey").cast("long").alias("ordinal"), F.col("l_partkey").alias("node_id"), (F.col("l_linenumber") % 2 == 0).alias("exported"), (F.col("l_linenumber") % 3).cast("long").alias("lane_priority"))
+    rows = l.join(s, l.l_suppkey == s.s_suppkey).select(F.col("s_nationkey").cast("long").alias("ordinal"), F.col("l_partkey").alias("node_id"), (F.col("l_linenumber") % 2 == 0).alias("exported"), (F.col("l_linenumber") % 3).cast("long").alias("lane_priority"))
     return G.workset_lane(rows, 6, 80).select("ordinal", "node_id", "exported", "lane_priority", F.col("catalog_rank").cast("long").alias("catalog_rank"))
 
 
@@ -177,7 +176,7 @@ def workset_exact_lane(spark, d):
 SELECT repository, id, score, row_number() OVER (ORDER BY CASE WHEN rn = 1 AND k <= 4 THEN 0 ELSE 1 END, score DESC, id) AS position FROM r JOIN lead USING (repository) ORDER BY position LIMIT 60""")
 def diversity_rank(spark, d):
     cards = read(spark, d, "part").select(F.col("p_brand").alias("repository"), F.col("p_partkey").alias("id"), F.round(F.lit(0.5) + (F.col("p_partkey") % 89) / 200.0 + F.size(X.normalized_terms(F.col("p_name"))) / 100.0, 6).alias("score"))
-    return G.diversity_first(cards).select("repository", "id", "score", F.col("position").cast("long").alias("position")).orderBy("position").limit(60)
+    return G.diversity_first(cards, limit=60).select("repository", "id", "score", F.col("position").cast("long").alias("position"))
 
 
 @query("""WITH RECURSIVE links AS (SELECT 'r' || n_regionkey AS alias_of, 'n' || n_nationkey AS alias FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
@@ -256,11 +255,11 @@ def project_attribution(spark, d):
     return G.nearest_prefix(symbols(spark, d).select("path").distinct(), roots)
 
 
-@query(sql("symbols", r"""WITH f AS (SELECT id, unnest([struct_pack(v := name, w := 5), struct_pack(v := qualified_name, w := 4), struct_pack(v := path, w := 3), struct_pack(v := package_name, w := 3)]) AS x FROM symbols WHERE kind IN ('package', 'module')),
+@query(sql("symbols", r"""WITH f AS (SELECT id, unnest([struct_pack(v := name, w := 5), struct_pack(v := qualified_name, w := 4), struct_pack(v := path, w := 3), struct_pack(v := package_name, w := 3)]) AS x FROM symbols),
   t AS (SELECT id, x.w AS w, unnest(list_distinct(regexp_extract_all(lower(regexp_replace(regexp_replace(x.v, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')), '[\p{L}\p{N}_$.-]{2,}'))) AS term FROM f)
 SELECT id, term, max(w) AS weight FROM t GROUP BY ALL"""))
 def symbol_terms(spark, d):
-    return G.symbol_terms(symbols(spark, d).where("kind in ('package', 'module')"))
+    return G.symbol_terms(symbols(spark, d))
 
 
 @query(sql("symbols", "SELECT path, CASE WHEN path LIKE 'docs/%' OR path LIKE '%.md' THEN 'documentation' WHEN path LIKE 'tests/%' THEN 'test' ELSE 'implementation' END AS path_class, CASE WHEN path LIKE 'docs/%' OR path LIKE '%.md' THEN 0.55::DOUBLE WHEN path LIKE 'tests/%' THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS multiplier FROM (SELECT DISTINCT path FROM symbols)"))

@@ -85,11 +85,11 @@ def premise_state(spark, d):
     return M.premise_state(memory_records(spark, d), now())
 
 
-@query(sql("memory_records", """WITH l AS (SELECT uri AS source, supersedes AS target FROM memory_records WHERE supersedes IN (SELECT uri FROM memory_records)), s AS (SELECT uri AS seed FROM memory_records WHERE generation % 4 = 1)
+@query(sql("memory_records", """WITH l AS (SELECT uri AS source, supersedes AS target FROM memory_records WHERE supersedes IN (SELECT uri FROM memory_records)), s AS (SELECT uri AS seed FROM memory_records)
 SELECT seed, 'outgoing' AS direction, target AS neighbour FROM l JOIN s ON source = seed UNION ALL SELECT seed, 'incoming', source FROM l JOIN s ON target = seed"""))
 def memory_one_hop(spark, d):
     r = memory_records(spark, d)
-    return M.one_hop(r, r.where("generation % 4 = 1"))
+    return M.one_hop(r, r)
 
 
 @query()

@@ -183,24 +183,29 @@ def natural_order(spark, d):
     return read(spark, d, "part").select("p_partkey", X.natural_key(name).alias("natural_key"))
 
 
-@query("SELECT p_partkey, 'parseItem' || p_size || ' order_id x2' AS identifiers, 'src/' || p_size || '.ts parseItem' || p_size || ' a.b order_id' AS selectors FROM part")
+@query(r"""WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_$][\p{L}\p{N}_$./#:-]*'), lambda t: regexp_matches(t, '[./#]|[a-z0-9][A-Z]|_'))) AS s, text FROM documents)
+SELECT doc_id, len(s) AS found FROM t""")
 def query_identifiers(spark, d):
-    n = _s("p_size")
-    text = F.concat(F.lit("why does parseItem"), n, F.lit(" drop the order_id or x2 twice, parseItem"), n, F.lit("?"))
-    asked = F.concat(F.lit("see src/"), n, F.lit(".ts and parseItem"), n, F.lit(" then a.b with order_id"))
-    return read(spark, d, "part").select("p_partkey", F.array_join(X.document_identifiers(text), " ").alias("identifiers"), F.array_join(X.identity_selectors(asked), " ").alias("selectors"))
+    """Paths, dotted names and cased identifiers of every document's text, counted (the first eight are what a query uses)."""
+    return read(spark, d, "documents").select("doc_id", F.size(X.identities(F.col("text"))).cast("long").alias("found"))
 
 
-@query("SELECT p_partkey, 'Parser' || CAST(100 + p_size AS VARCHAR) || ' v2.1 broken item' AS terms FROM part")
+_STOP = ", ".join(f"'{w}'" for w in sorted(X.STOPWORDS))
+
+
+@query(r"""WITH t AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ʼ’‐‑‒–—―−', '''''-------'), '[\p{L}\p{N}][\p{L}\p{M}\p{N}]*(?:[._/''-][\p{L}\p{N}][\p{L}\p{M}\p{N}]*)*')) AS t FROM benchmark)),
+  k AS (SELECT item_id, t, length(t) + CASE WHEN regexp_matches(t, '\p{Lu}') THEN 8 ELSE 0 END + CASE WHEN regexp_matches(t, '[\p{N}._/''-]') THEN 6 ELSE 0 END AS s FROM t WHERE lower(t) NOT IN (""" + _STOP + r""") AND (length(t) >= 4 OR length(t) = 3 AND regexp_matches(t, '[\p{Lu}\p{N}]'))),
+  b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY s DESC, t) <= 4)
+SELECT item_id, string_agg(t, ' ' ORDER BY s DESC, t) AS terms FROM b GROUP BY item_id""")
 def distinctive_terms(spark, d):
-    text = F.concat(F.lit("why is the item broken with v2.1 and Parser"), _s(F.lit(100) + F.col("p_size")))
-    return read(spark, d, "part").select("p_partkey", F.array_join(X.exact_terms(text), " ").alias("terms"))
+    """The most distinctive words of each benchmark passage that has any."""
+    return read(spark, d, "benchmark").select("item_id", F.array_join(X.exact_terms(F.col("text")), " ").alias("terms")).where("terms <> ''")
 
 
-@query("SELECT c_custkey, '/home/~/c' || c_custkey || ' [mail] [key]' AS text FROM customer")
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(/Users|/home)/[^/\s]+', '\1/~', 'g'), '[\w.+-]+@[\w-]+\.[\w.]+', '[mail]', 'g'), '\b[A-Za-z0-9+/_-]{32,}\b', '[key]', 'g')) AS digest FROM documents""")
 def redacted_text(spark, d):
-    text = F.concat(F.lit("/home/user"), _s("c_custkey"), F.lit("/c"), _s("c_custkey"), F.lit(" a.b"), _s("c_custkey"), F.lit("@mail.example "), F.rpad(_s("c_custkey"), 40, "Ab1"))
-    return read(spark, d, "customer").select("c_custkey", X.redact(text).alias("text"))
+    """Every document's text without home folders, addresses and keys."""
+    return read(spark, d, "documents").select("doc_id", F.md5(X.redact(F.coalesce("text", F.lit(""))).cast("binary")).alias("digest"))
 
 
 @query("SELECT n_nationkey, '# ' || n_name || ';## Region ' || n_regionkey AS outline FROM nation")
@@ -308,9 +313,9 @@ def identity_states(spark, d):
     return M.identity_state(c, ["any"])
 
 
-@query("WITH s AS (SELECT c_nationkey AS project, count(*) AS n, max(c_custkey % 7 = 0) AS dirty, max(c_mktsegment = 'BUILDING') AS unready, max(c_custkey % 2 = 0) AS equal FROM customer WHERE c_acctbal > 9000 GROUP BY ALL) SELECT project, CASE WHEN n <> 1 OR dirty OR unready THEN 'unknown' WHEN equal THEN 'fresh' ELSE 'stale' END AS freshness FROM s")
+@query("WITH s AS (SELECT c_custkey AS project, count(*) AS n, max(c_custkey % 7 = 0) AS dirty, max(c_mktsegment = 'BUILDING') AS unready, max(c_custkey % 2 = 0) AS equal FROM customer GROUP BY ALL) SELECT project, CASE WHEN n <> 1 OR dirty OR unready THEN 'unknown' WHEN equal THEN 'fresh' ELSE 'stale' END AS freshness FROM s")
 def project_freshness(spark, d):
-    s = read(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("project"), (F.col("c_custkey") % 7 == 0).alias("dirty"), F.when(F.col("c_mktsegment") == "BUILDING", "building").otherwise("ready").alias("state"), (F.col("c_custkey") % 2).alias("commit"), F.lit(0).alias("head"))
+    s = read(spark, d, "customer").select(F.col("c_custkey").alias("project"), (F.col("c_custkey") % 7 == 0).alias("dirty"), F.when(F.col("c_mktsegment") == "BUILDING", "building").otherwise("ready").alias("state"), (F.col("c_custkey") % 2).alias("commit"), F.lit(0).alias("head"))
     return M.freshness(s)
 
 
@@ -401,7 +406,7 @@ def sarif_findings(spark, d):
 # jobs
 
 
-@query("SELECT k AS share FROM (SELECT DISTINCT c_mktsegment AS k FROM customer) ORDER BY CASE WHEN k > 'FURNITURE' THEN 0 ELSE 1 END, k")
+@query("SELECT k AS share, row_number() OVER (ORDER BY CASE WHEN k >= 'FURNITURE' THEN 0 ELSE 1 END, k) AS position FROM (SELECT DISTINCT c_mktsegment AS k FROM customer)")
 def share_rotation(spark, d):
     keys = read(spark, d, "customer").select(F.col("c_mktsegment").alias("share")).distinct()
-    return ST.rotate(keys, "FURNITURE").select("share")
+    return ST.rotate(keys, "FURNITURE").select("share", "position")

@@ -92,5 +92,6 @@ def generation_digest(previous: str, changes: DataFrame) -> DataFrame:
 
 
 def rotate(keys: DataFrame, after: str, key: str = "share") -> DataFrame:
-    """Keys from the one after on, then the others."""
-    return keys.orderBy(F.when(F.col(key) >= after, 0).otherwise(1), key)
+    """Keys with their position: from the one after on, then the others. For the shares of a directory, which are few."""
+    order = [F.when(F.col(key) >= after, 0).otherwise(1), key]
+    return keys.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long")).orderBy("position")
