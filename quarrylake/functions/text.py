@@ -205,3 +205,19 @@ def natural_key(text: Column) -> Column:
 def redact(text: Column) -> Column:
     """Home folders, addresses and key-like runs give way to a mark."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"(/Users|/home)/[^/\s]+", "$1/~"), r"[\w.+-]+@[\w-]+\.[\w.]+", "[mail]"), r"\b[A-Za-z0-9+/_-]{32,}\b", "[key]")
+
+
+_ISO = r"^(\d{4})(?:-(\d{2})(?:-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?)?)?$"
+
+
+def iso_utc(text: Column) -> Column:
+    """A time in one of the ISO 8601 forms (year, month, day, minute or second; with or without a zone, which is then UTC) as yyyy-MM-ddTHH:mm:ss.SSSZ, cut to milliseconds; null for any other text and for days and times that do not exist."""
+    t = F.trim(text)
+    part = lambda k, default: F.when(F.regexp_extract(t, _ISO, k) == "", default).otherwise(F.regexp_extract(t, _ISO, k))
+    number = lambda k, default: part(k, default).cast("int")
+    zone = F.regexp_replace(F.regexp_extract(t, _ISO, 8), ":", "")
+    minutes = F.when(zone.isin("", "Z"), 0).otherwise((F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int")) * F.when(zone.startswith("-"), -1).otherwise(1))
+    second = F.concat(part(6, "0"), F.substring(F.concat(F.regexp_extract(t, _ISO, 7), F.lit("")), 1, 4)).try_cast("decimal(16,6)")
+    at = F.try_make_timestamp_ntz(number(1, "0"), number(2, "1"), number(3, "1"), number(4, "0"), number(5, "0"), second)
+    fits = t.rlike(_ISO) & (F.abs(minutes) < 24 * 60) & (second < 60)
+    return F.when(fits, F.date_format(at - F.make_dt_interval(F.lit(0), F.lit(0), minutes), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))

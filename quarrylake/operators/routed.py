@@ -118,3 +118,44 @@ def continuation(page: DataFrame) -> DataFrame:
 def continued(cards: DataFrame, cursors: DataFrame) -> DataFrame:
     """The cards after a cursor of each query (query_id, cursor)."""
     return cards.join(cursors, "query_id").where(F.col("position") > F.split("cursor", ":")[0].cast("int")).drop("cursor")
+
+
+_LANE = [("matched_terms", True), ("matched_weight", True), ("exported", True), ("ordinal", False), ("node_id", False)]
+
+
+def lexical_lane(terms: DataFrame, members: DataFrame, routing_terms: DataFrame, symbols: DataFrame, per_member: int, limit: int, after: DataFrame | None = None) -> DataFrame:
+    """Symbols of published members that have terms of a query, a page of limit a query.
+
+    terms (query_id, term), members (ordinal, projection), routing_terms (projection, node_id, term, weight) and symbols (projection,
+    node_id, exported). Most terms first, then their weight, then exported ones; per_member fair places a member; catalog_rank is the
+    place among all of these. after (query_id and the columns of a page's last row): the next page.
+    """
+    asked = terms.distinct()
+    met = asked.join(routing_terms, "term").join(members, "projection").join(symbols.select("projection", "node_id", F.col("exported").cast("int").alias("exported")), ["projection", "node_id"])
+    match = met.groupBy("query_id", "ordinal", "node_id").agg(F.max("exported").alias("exported"), F.count("*").alias("matched_terms"), F.sum("weight").alias("matched_weight"))
+    order = [F.desc(c) if down else F.asc(c) for c, down in _LANE]
+    fair = term_top_k(match, per_member, ["query_id", "ordinal"], order).drop("rank")
+    ranked = fair.withColumn("catalog_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))  # per_member rows a member
+    if after is not None:
+        last = after.select("query_id", *[F.col(c).alias(f"_{c}") for c, _ in _LANE])
+        beyond, equal = F.lit(False), F.lit(True)
+        for c, down in _LANE:
+            beyond = beyond | (equal & ((F.col(c) < F.col(f"_{c}")) if down else (F.col(c) > F.col(f"_{c}"))))
+            equal = equal & (F.col(c) == F.col(f"_{c}"))
+        ranked = ranked.join(last, "query_id").where(beyond).drop(*[f"_{c}" for c, _ in _LANE])
+    return term_top_k(ranked, limit, ["query_id"], ["catalog_rank"]).drop("rank")
+
+
+def coverage(published: DataFrame, generations: DataFrame, members: DataFrame, projections: DataFrame) -> DataFrame:
+    """(workset, declared, actual, ready, complete): whether a published generation has all its members, each with a ready projection.
+
+    published (workset, generation), generations (generation, member_count, state), members (generation, ordinal, projection),
+    projections (projection, state). A workset without a ready generation is not complete and declares none.
+    """
+    ready = projections.where("state = 'ready'").select("projection", F.lit(1).alias("ok")).distinct()
+    counted = members.join(ready, "projection", "left").groupBy("generation").agg(F.count("*").alias("actual"), F.count("ok").alias("ready"))
+    live = generations.where("state = 'ready'").select("generation", F.col("member_count").alias("declared"))
+    rows = published.join(live, "generation", "left").join(counted, "generation", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    whole = F.col("declared").isNotNull() & (zero("actual") == F.col("declared")) & (zero("ready") == F.col("declared"))
+    return rows.select("workset", "declared", zero("actual").alias("actual"), zero("ready").alias("ready"), whole.alias("complete"))

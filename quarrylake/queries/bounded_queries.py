@@ -205,3 +205,55 @@ def routed_cards(spark, d):
     cards, receipts = R.search(terms, postings, usable, bridges, evidence_cards=6, per_repository=4, phases=4)
     rows = R.paged(written(cards, "routed-cards"), F.lit(10) + F.col("symbol_id") % 30, 60)
     return receipts.join(rows, "query_id", "left")
+
+
+_LEXICAL = """p AS (SELECT p_partkey, p_brand, p_size % 2 AS exported, list_distinct(string_split(p_name, ' ') || ['s' || p_size]) AS words FROM part),
+  members AS (SELECT CAST(row_number() OVER (ORDER BY p_brand) AS INTEGER) AS ordinal, p_brand AS projection FROM (SELECT DISTINCT p_brand FROM part)),
+  rt AS (SELECT p_brand AS projection, p_partkey AS node_id, term, CASE WHEN regexp_matches(term, '^s[0-9]') THEN 1 ELSE 5 END AS weight FROM (SELECT p_brand, p_partkey, unnest(words) AS term FROM p)),
+  t AS (SELECT s_suppkey AS query_id, unnest(words) AS term FROM supplier JOIN p ON s_suppkey = p_partkey),
+  m AS (SELECT query_id, ordinal, node_id, max(exported) AS exported, count(*) AS matched_terms, sum(weight) AS matched_weight FROM t JOIN rt USING (term) JOIN members USING (projection) JOIN p ON p_partkey = node_id GROUP BY ALL),
+  f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query_id, ordinal ORDER BY matched_terms DESC, matched_weight DESC, exported DESC, ordinal, node_id) <= 3),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY matched_terms DESC, matched_weight DESC, exported DESC, ordinal, node_id) AS catalog_rank FROM f)"""
+
+
+def _lane(spark, d, after=None):
+    terms, postings, _, _ = _routed(spark, d)
+    p = read(spark, d, "part")
+    brands = p.select("p_brand").distinct()  # a row a member
+    members = brands.join(brands.withColumnRenamed("p_brand", "b"), F.col("b") <= F.col("p_brand")).groupBy(F.col("p_brand").alias("projection")).agg(F.count("*").cast("int").alias("ordinal"))
+    routing = postings.select(F.col("repository").alias("projection"), F.col("symbol_id").alias("node_id"), "term", "weight")
+    nodes = p.select(F.col("p_brand").alias("projection"), F.col("p_partkey").alias("node_id"), (F.col("p_size") % 2).alias("exported"))
+    return R.lexical_lane(terms, members, routing, nodes, 3, 10, after).select("query_id", "ordinal", "node_id", "exported", "matched_terms", "matched_weight", F.col("catalog_rank").cast("long").alias("catalog_rank"))
+
+
+@query(f"WITH {_LEXICAL} SELECT query_id, ordinal, node_id, exported, matched_terms, CAST(matched_weight AS BIGINT) AS matched_weight, catalog_rank FROM r WHERE catalog_rank > 10 AND catalog_rank <= 20")
+def workset_lexical_lane(spark, d):
+    """The second page of lexical candidates of each query, after the last row of the first."""
+    first = written(_lane(spark, d), "lane")
+    return _lane(spark, d, first.where("catalog_rank = 10"))
+
+
+@query("""WITH m AS (SELECT c_nationkey AS generation, c_custkey AS ordinal, c_mktsegment || (c_custkey % 50) AS projection FROM customer), p AS (SELECT DISTINCT c_mktsegment || (c_custkey % 50) AS projection FROM customer WHERE c_acctbal > 9900),
+  n AS (SELECT generation, count(*) AS actual, count(CASE WHEN projection NOT IN (SELECT projection FROM p) THEN 1 END) AS ready FROM m GROUP BY generation),
+  g AS (SELECT n_nationkey AS workset, CASE WHEN n_nationkey % 6 <> 5 THEN (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + CASE WHEN n_nationkey % 4 = 0 THEN 1 ELSE 0 END END AS declared FROM nation)
+SELECT workset, declared, coalesce(actual, 0) AS actual, coalesce(ready, 0) AS ready, coalesce(declared = coalesce(actual, 0) AND declared = coalesce(ready, 0), false) AS complete FROM g LEFT JOIN n ON n.generation = g.workset""")
+def workset_coverage(spark, d):
+    """Nations as worksets, their customers as members; every fourth declares one more, every sixth is not ready."""
+    c, n = read(spark, d, "customer"), read(spark, d, "nation")
+    projection = F.concat("c_mktsegment", (F.col("c_custkey") % 50).cast("string"))
+    members = c.select(F.col("c_nationkey").alias("generation"), F.col("c_custkey").alias("ordinal"), projection.alias("projection"))
+    broken = c.where("c_acctbal > 9900").select(projection.alias("projection")).distinct()
+    projections = members.select("projection").distinct().join(broken.withColumn("state", F.lit("failed")), "projection", "left").withColumn("state", F.coalesce("state", F.lit("ready")))
+    counts = members.groupBy("generation").count()
+    generations = n.join(counts, F.col("n_nationkey") == F.col("generation"), "left").select(F.col("n_nationkey").alias("generation"), (F.coalesce("count", F.lit(0)) + F.when(F.col("n_nationkey") % 4 == 0, 1).otherwise(0)).alias("member_count"), F.when(F.col("n_nationkey") % 6 == 5, "building").otherwise("ready").alias("state"))
+    return R.coverage(n.select(F.col("n_nationkey").alias("workset"), F.col("n_nationkey").alias("generation")), generations, members, projections)
+
+
+@query(r"""WITH s AS (SELECT stamp_id, regexp_extract(trim(raw, ' '), '^(\d{4})(?:-(\d{2})(?:-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?)?)?)?$', ['y', 'm', 'd', 'h', 'i', 's', 'f', 'z']) AS x FROM stamps),
+  p AS (SELECT stamp_id, x, replace(x.z, ':', '') AS z, TRY_CAST(x.y || '-' || coalesce(nullif(x.m, ''), '01') || '-' || coalesce(nullif(x.d, ''), '01') || ' ' || coalesce(nullif(x.h, ''), '00') || ':' || coalesce(nullif(x.i, ''), '00') || ':' || coalesce(nullif(x.s, ''), '00') || substr(x.f, 1, 4) AS TIMESTAMP) AS moment FROM s)
+SELECT stamp_id, CASE WHEN x.y <> '' THEN strftime(moment - to_minutes(CASE WHEN z IN ('', 'Z') THEN 0 ELSE (CAST(substr(z, 2, 2) AS INTEGER) * 60 + CAST(substr(z, 4, 2) AS INTEGER)) * CASE WHEN z[1] = '-' THEN -1 ELSE 1 END END), '%Y-%m-%dT%H:%M:%S.%gZ') END AS iso FROM p""")
+def normalised_stamps(spark, d):
+    """Every stamp's text as ISO UTC, or null."""
+    from ..functions.text import iso_utc
+
+    return read(spark, d, "stamps").select("stamp_id", iso_utc(F.col("raw")).alias("iso"))
