@@ -573,6 +573,20 @@ def test_secret_linking():
     assert kinds(far) == ["link_id", "link_secret"] and kinds(far.replace(" a a a ", "\n \n", 1)) == []
 
 
+def test_planted_credentials_over_a_table(spark, small):
+    """Multipart credentials planted in every tenth document of the table: each is linked with its parts, and what was there stays."""
+    docs = table(spark, small, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    weak = "aZ3kLm9QpR7sTu2Vw8Xy"
+    parts = F.concat(F.lit("\n\nlogin: deploy"), F.col("doc_id").cast("string"), F.lit(f" then {weak} at https://db.example.com/x\n\n{weak} alone\n\nlogin: nobody\n\n"))
+    planted = docs.withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat("text", parts)).otherwise(F.col("text")))
+    spans = lambda d: {r["id"]: [tuple(x) for x in r["spans"]] for r in secret_scan.scan_secrets(d).collect()}
+    before, after, texts = spans(docs), spans(planted), {r["doc_id"]: r["text"] for r in planted.collect()}
+    for i, text in texts.items():
+        assert [x for x in after[i] if x in before[i]] == before[i]
+        fresh = [(k, text[a:b]) for k, a, b in after[i] if (k, a, b) not in before[i]]
+        assert fresh == ([] if i % 10 else [("link_id", f"deploy{i}"), ("link_secret", weak), ("link_endpoint", "https://db.example.com/x")]), i
+
+
 def plain_links(text):
     """Weak parts by comparing every part with every other of its paragraph."""
     strong = secret_scan.base_spans(text)

@@ -52,7 +52,7 @@ def lm(d, labels):
     return pseudo_lm.score(d, n, pseudo_lm.train(d, n))
 
 
-ROW_OPS = {"quality": verdicts, "ngram": lambda d, _: ngram_join.ngram_components(d), "lines": lambda d, _: line_dedup.dedup_lines(d), "lm": lm, "mixture": lambda d, _: mixing.mixture(d), "toxicity": scores, "ctph": lambda d, _: ctph.fingerprints(d), "secrets": lambda d, _: secret_scan.scan_secrets(d)}
+ROW_OPS = {"quality": verdicts, "ngram": lambda d, _: ngram_join.ngram_components(d), "lines": lambda d, _: line_dedup.dedup_lines(d), "passages": lambda d, _: line_dedup.dedup_passages(d), "lm": lm, "mixture": lambda d, _: mixing.mixture(d), "toxicity": scores, "ctph": lambda d, _: ctph.fingerprints(d), "secrets": lambda d, _: secret_scan.scan_secrets(d)}
 
 
 @pytest.mark.parametrize("name", ROW_OPS)
@@ -74,8 +74,9 @@ def test_packing_edges(docs, none):
     assert packing.pack(none).count() == 0
 
 
-def test_line_dedup_keeps_columns(docs):
-    out = line_dedup.dedup_lines(docs)
+@pytest.mark.parametrize("dedup", [line_dedup.dedup_lines, line_dedup.dedup_passages])
+def test_line_dedup_keeps_columns(docs, dedup):
+    out = dedup(docs)
     assert out.columns == docs.columns
     kept = {(r["doc_id"], r["text"]) for r in out.collect()}
     assert (10, prose(6, 9)) in kept and (2, None) in kept
@@ -134,6 +135,8 @@ def test_toxic_drop_keeps_columns(docs, labels):
 
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c", None, 1), (2, None, "", 1), (3, "http://a.b/d", "<p>x<p", 1), (3, "http://a.b/d", "<p>x<p", 1), (None, "nonsense", "<article>" + "<p>y" * 3000, 1)], "page_id long, url string, html string, host int")
+    for name in ("container", "fixed", "slot", "spared", "path", "token"):
+        pages = pages.withColumn(name, F.lit(7))
     got = sorted(((r["page_id"] or 0, r["text"]) for r in html_template.extract(pages).collect()), key=str)
     assert (1, "") in got and (2, "") in got and got.count((3, "x")) == 2 and (0, "\n".join("y" * 3000)) in got
     assert html_template.extract(pages.limit(0)).count() == 0
