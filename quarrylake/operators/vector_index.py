@@ -116,15 +116,26 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, block_rows: i
     found = near.groupBy("cell").agg(F.count("*").alias("rows"), F.min("near").alias("cos_radius"))
     names = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
     table = names.join(found, "cell").withColumn("parts", F.ceil(F.col("rows") / block_rows).cast("int"))
-    table.write.parquet(f"{path}/cells")
+    table.write.mode("overwrite").parquet(f"{path}/cells")
     parts = spark.read.parquet(f"{path}/cells").select("cell", "parts")
     placed = near.join(parts, "cell").select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "cell")
-    placed.repartition("cell", "part").write.partitionBy("cell").parquet(f"{path}/vectors")
+    placed.repartition("cell", "part").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
     index = VectorIndex(spark, path)
-    spark.createDataFrame([(_calibrated(index, block_rows),)], "probes int").write.parquet(f"{path}/probes")
+    spark.createDataFrame([(_calibrated(index, block_rows),)], "probes int").write.mode("overwrite").parquet(f"{path}/probes")
     return index
 
 
+def opened(vectors: DataFrame, path: str) -> VectorIndex:
+    """The index of vectors kept below a folder, by a digest of all rows: built where there is none of these."""
+    spark = vectors.sparkSession
+    n, mark = vectors.agg(F.count("*"), F.bit_xor(F.xxhash64("vec_id", "v"))).first()
+    folder = f"{path}/{n}-{(mark or 0) & (1 << 64) - 1:016x}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/probes/_SUCCESS")
+    if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        return VectorIndex(spark, folder)
+    return build(vectors, folder)
+
+
 def _calibrated(index: VectorIndex, block_rows: int) -> int:
     """The place, in a vector's order of cells, up to which RECALL of its true neighbours lie."""
     some = index.vectors().orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(CALIBRATED).select(F.col("vec_id").alias("query_id"), "v")

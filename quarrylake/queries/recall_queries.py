@@ -244,8 +244,9 @@ def vector_topk(spark, d):
 
 
 def _vector_index(spark, d):
+    """The index of a folder's embeddings, kept in the shared folder, and the queries: every 20th vector."""
     v = vectors(spark, d)
-    return V.build(v, f"{T.shared_dir(spark)}/vector-index/{uuid.uuid4().hex}"), v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "v")
+    return V.opened(v.select("vec_id", "v"), f"{T.shared_dir(spark)}/vector-index/{hashlib.md5(d.encode()).hexdigest()}"), v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "v")
 
 
 @query()
