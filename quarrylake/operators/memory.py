@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scores as S, text as X
 from ..plans.predicates import expired, valid_now
+from .recall import numbered
+from .traversal import written
 
 # Days after which handoffs end, are reviewed or go at the latest.
 TERMINAL_DAYS, REVIEW_DAYS, MAXIMUM_DAYS = 7, 14, 30
@@ -110,7 +114,7 @@ def citation_findings(citations: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def health_report(findings: list[DataFrame]) -> DataFrame:
-    """All findings, gravest first, with their position."""
+    """All findings, gravest first; health_page() has them with positions."""
     out = findings[0]
     for f in findings[1:]:
         out = out.unionByName(f)
@@ -118,6 +122,51 @@ def health_report(findings: list[DataFrame]) -> DataFrame:
     return out.withColumn("severity_rank", order.cast("int")).orderBy("severity_rank", "category", "uri", "detail")
 
 
+def health_digest(findings: DataFrame, records: DataFrame) -> str:
+    """A digest of what a report was made of: findings, and records (uri, body); a sum of parts, so their order is nothing to it."""
+    part = lambda *c: F.conv(F.substring(F.sha2(F.concat_ws("\x00", *c), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    sums = [df.agg(F.count("*").alias("n"), F.coalesce(F.sum(part(*c)), F.lit(0)).alias("s")).first() for df, c in ((findings, ("uri", "category", "severity", "detail")), (records, ("uri", F.coalesce("body", F.lit("")))))]
+    return hashlib.sha256(":".join(str(x) for r in sums for x in r).encode()).hexdigest()[:40]
+
+
+def health_page(findings: list[DataFrame], records: DataFrame, limit: int, after: str | None = None) -> tuple[DataFrame, str | None]:
+    """A page of the report (position from 1) and the cursor of the next, None after the last.
+
+    A cursor is a position and a digest of all findings and records; one of another state, or beyond the end, raises
+    ValueError: the first page is to be asked for again. Repeated findings count once.
+    """
+    every = written(health_report(findings).dropDuplicates(["uri", "category", "detail"]), "findings")
+    digest, total, start = health_digest(every, records), every.count(), 0
+    if after is not None:
+        place, _, seen = after.partition(":")
+        if seen != digest or not place.isdigit() or not 0 < int(place) < total:
+            raise ValueError("the cursor is of another state of the report; ask for the first page")
+        start = int(place)
+    order = ["severity_rank", "category", "uri", "detail"]
+    page = numbered(every, order).where((F.col("position") > start) & (F.col("position") <= start + limit))
+    return page, f"{start + limit}:{digest}" if start + limit < total else None
+
+
+def storage_attribution(symbols: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
+    """(snapshot, classifier, files, source_bytes, symbol_rows, edge_rows, logical_bytes, bytes_per_symbol) and the share of a snapshot's bytes.
+
+    symbols (snapshot, classifier, payload_bytes), edges likewise, files (snapshot, classifier, bytes).
+    """
+    keys = ["snapshot", "classifier"]
+    part = lambda df, n, b: df.groupBy(*keys).agg(F.count("*").alias(n), F.sum(df.columns[-1]).alias(b))
+    rows = part(files.select(*keys, "bytes"), "files", "source_bytes").join(part(symbols.select(*keys, "payload_bytes"), "symbol_rows", "_s"), keys, "full").join(part(edges.select(*keys, "payload_bytes"), "edge_rows", "_e"), keys, "full")
+    rows = rows.na.fill(0, ["files", "source_bytes", "symbol_rows", "edge_rows", "_s", "_e"]).withColumn("logical_bytes", F.col("_s") + F.col("_e")).drop("_s", "_e")
+    whole = rows.groupBy("snapshot").agg(F.sum("logical_bytes").alias("_all"))
+    per = F.when(F.col("symbol_rows") > 0, F.round(F.col("logical_bytes") / F.col("symbol_rows"), 6))
+    return rows.join(whole, "snapshot").withColumn("bytes_per_symbol", per).withColumn("share", F.when(F.col("_all") > 0, F.round(F.col("logical_bytes") / F.col("_all"), 6)).otherwise(0.0)).drop("_all")
+
+
+def compaction_recommended(attribution: DataFrame, retired: DataFrame, ratio: float = 0.25, least_bytes: int = 1 << 20) -> DataFrame:
+    """(repository, logical_bytes, reclaimable, recommended): whether the bytes of retired snapshots (repository, snapshot, active) are worth a rewrite."""
+    rows = attribution.groupBy("snapshot").agg(F.sum("logical_bytes").alias("b")).join(retired, "snapshot").groupBy("repository").agg(F.sum("b").alias("logical_bytes"), F.sum(F.when(F.col("active"), 0).otherwise(F.col("b"))).alias("reclaimable"))
+    return rows.withColumn("recommended", (F.col("reclaimable") >= least_bytes) & (F.col("reclaimable") >= ratio * F.col("logical_bytes")))
+
+
 def health_summary(findings: DataFrame, sources: DataFrame) -> DataFrame:
     """source -> findings and status: unknown before findings before clean."""
     n = findings.groupBy("source").agg(F.count("*").alias("findings"))

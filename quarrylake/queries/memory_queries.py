@@ -75,8 +75,54 @@ def relation_findings(spark, d):
   UNION ALL SELECT uri, 'duplicate', 'low', CAST(n AS VARCHAR) FROM (SELECT uri, count(*) OVER (PARTITION BY project, topic, kind, {_SAME}) AS n, row_number() OVER (PARTITION BY project, topic, kind, {_SAME} ORDER BY {_NEWEST}) AS k FROM memory_records WHERE status = 'active') WHERE k > 1)
 SELECT uri, category, severity, detail, CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 3 ELSE 4 END AS severity_rank FROM f"""))
 def health_report(spark, d):
+    return M.health_report(_findings(memory_records(spark, d)))
+
+
+def _findings(r):
+    return [M.relation_findings(r), M.validity_findings(r, now()), M.review_findings(r, now()), M.duplicate_findings(r)]
+
+
+@query("WITH every AS (" + ORACLE_SQL["health_report"] + "), n AS (SELECT *, row_number() OVER (ORDER BY severity_rank, category, uri, detail) AS position FROM every) SELECT * FROM n WHERE position > 7")
+def health_pages(spark, d):
+    """All pages but the first, seven findings each, by their cursors."""
     r = memory_records(spark, d)
-    return M.health_report([M.relation_findings(r), M.validity_findings(r, now()), M.review_findings(r, now()), M.duplicate_findings(r)])
+    page, cursor = M.health_page(_findings(r), r, 7)
+    out = page.where("false")
+    while cursor is not None:
+        page, cursor = M.health_page(_findings(r), r, 7 if out.isEmpty() else 10_000_000, cursor)
+        out = out.unionByName(page)
+    return out
+
+
+def _storage(spark, d):
+    """Nations' orders as snapshots: their items as edges, their parts as symbols, their customers as files."""
+    o, l, c = (read(spark, d, t) for t in ("orders", "lineitem", "customer"))
+    snapshot = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("snapshot"), F.col("o_orderpriority").alias("classifier"))
+    items = l.join(snapshot, F.col("l_orderkey") == F.col("o_orderkey"))
+    edges = items.select("snapshot", "classifier", (F.col("l_linenumber") + 20).cast("long").alias("payload_bytes"))
+    symbols = items.select("snapshot", "classifier", "l_partkey").distinct().select("snapshot", "classifier", (F.col("l_partkey") % 97 + 10).alias("payload_bytes"))
+    files = snapshot.select("snapshot", "classifier", (F.col("o_orderkey") % 1000 + 1).alias("bytes"))
+    return M.storage_attribution(symbols, edges, files)
+
+
+_STORAGE = """s AS (SELECT o_orderkey, c_nationkey AS snapshot, o_orderpriority AS classifier FROM orders JOIN customer ON o_custkey = c_custkey),
+  i AS (SELECT snapshot, classifier, l_partkey, CAST(l_linenumber + 20 AS BIGINT) AS b FROM lineitem JOIN s ON l_orderkey = o_orderkey),
+  e AS (SELECT snapshot, classifier, count(*) AS edge_rows, sum(b) AS b FROM i GROUP BY ALL),
+  y AS (SELECT snapshot, classifier, count(*) AS symbol_rows, sum(l_partkey % 97 + 10) AS b FROM (SELECT DISTINCT snapshot, classifier, l_partkey FROM i) GROUP BY ALL),
+  f AS (SELECT snapshot, classifier, count(*) AS files, CAST(sum(o_orderkey % 1000 + 1) AS BIGINT) AS source_bytes FROM s GROUP BY ALL),
+  a AS (SELECT snapshot, classifier, files, source_bytes, coalesce(symbol_rows, 0) AS symbol_rows, coalesce(edge_rows, 0) AS edge_rows, CAST(coalesce(y.b, 0) + coalesce(e.b, 0) AS BIGINT) AS logical_bytes FROM f LEFT JOIN y USING (snapshot, classifier) LEFT JOIN e USING (snapshot, classifier))"""
+
+
+@query(f"WITH {_STORAGE} SELECT *, CASE WHEN symbol_rows > 0 THEN round(logical_bytes / symbol_rows::DOUBLE, 6) END AS bytes_per_symbol, CASE WHEN sum(logical_bytes) OVER (PARTITION BY snapshot) > 0 THEN round(logical_bytes / (sum(logical_bytes) OVER (PARTITION BY snapshot))::DOUBLE, 6) ELSE 0.0::DOUBLE END AS share FROM a")
+def storage_by_classifier(spark, d):
+    return _storage(spark, d)
+
+
+@query(f"WITH {_STORAGE}, b AS (SELECT snapshot, sum(logical_bytes) AS b FROM a GROUP BY snapshot) SELECT n_regionkey AS repository, CAST(sum(b) AS BIGINT) AS logical_bytes, CAST(sum(CASE WHEN n_nationkey % 3 = 0 THEN b ELSE 0 END) AS BIGINT) AS reclaimable, sum(CASE WHEN n_nationkey % 3 = 0 THEN b ELSE 0 END) >= 5000 AND sum(CASE WHEN n_nationkey % 3 = 0 THEN b ELSE 0 END) >= 0.4::DOUBLE * sum(b) AS recommended FROM b JOIN nation ON n_nationkey = snapshot GROUP BY n_regionkey")
+def compaction_advice(spark, d):
+    """Regions as repositories; every third nation's snapshot is retired."""
+    n = read(spark, d, "nation").select(F.col("n_nationkey").alias("snapshot"), F.col("n_regionkey").alias("repository"), (F.col("n_nationkey") % 3 != 0).alias("active"))
+    return M.compaction_recommended(_storage(spark, d), n, 0.4, 5000)
 
 
 @query(sql("memory_records", f"""WITH n AS (SELECT supersedes AS uri, count(*) AS superseders FROM memory_records WHERE status = 'active' AND supersedes IS NOT NULL GROUP BY 1)

@@ -256,3 +256,23 @@ def test_routed_stops_and_pages(spark):
         rest = R.continued(paged, R.continuation(page))
         page = rest.where(F.col("page") == number)
     assert sorted(seen) == sorted((r["query_id"], r["position"], r["symbol_id"]) for r in cards.collect())
+
+
+def test_health_cursors(spark):
+    from quarrylake.operators import memory as M
+
+    f = spark.createDataFrame([(f"u{i}", "relation-target", ["high", "low", "medium"][i % 3], "d") for i in range(7)] + [("u1", "relation-target", "low", "d")], "uri string, category string, severity string, detail string")
+    r = spark.createDataFrame([("u1", "body")], "uri string, body string")
+    seen, cursor = [], None
+    for size in (3, 3, 1):
+        page, cursor = M.health_page([f], r, 3, cursor)
+        rows = sorted(page.collect(), key=lambda x: x["position"])
+        assert len(rows) == size
+        seen += [(x["position"], x["severity"], x["uri"]) for x in rows]
+        if size == 3:
+            with pytest.raises(ValueError):
+                M.health_page([f], r.withColumn("body", F.lit("other")), 3, cursor)
+    assert cursor is None and seen == [(k + 1, s, u) for k, (s, u) in enumerate([("high", "u0"), ("high", "u3"), ("high", "u6"), ("medium", "u2"), ("medium", "u5"), ("low", "u1"), ("low", "u4")])]
+    for bad in ("7:x", "nonsense", "0:" + M.health_digest(f, r)):
+        with pytest.raises(ValueError):
+            M.health_page([f], r, 3, bad)
