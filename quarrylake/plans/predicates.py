@@ -160,3 +160,36 @@ def expansion_batches(n: int, sizes: tuple = (4, 4, 16)) -> list[range]:
 def glob_bounds(prefix: str) -> tuple[str, str]:
     """Half-open range of strings that start with prefix."""
     return prefix, prefix[:-1] + chr(ord(prefix[-1]) + 1) if prefix else "\U0010ffff"
+
+
+# What a query says of the records that it is about; a space stands for itself, ? and .* as in patterns.
+SCOPE_WORDS = {
+    "preferences": ("preferences?", "prefer", "styles?", "tone", "voice", "writing", "persona", "communication"),
+    "handoffs": ("handoffs?", "status", "next step", "in progress", "wip", "current work", "where .* left"),
+    "durable": ("durable", "feature knowledge", "design decisions?", "invariants?", "api contract", "gotchas?"),
+    "incidents": ("incidents?", "outage", "post-?mortem", "on-?call", "escalation"),
+}
+
+
+def scope_intents(query: Column) -> Column:
+    """The kinds of record that a query is about, in the order of SCOPE_WORDS; none: unclear, search everywhere."""
+    hit = lambda words: F.coalesce(query, F.lit("")).rlike(rf"(?i)\b(?:{'|'.join(words)})\b")
+    return F.filter(F.array(*[F.when(hit(words), F.lit(name)) for name, words in SCOPE_WORDS.items()]), lambda x: x.isNotNull())
+
+
+def exact_scopes(query: Column, project: Column, base: str, agents: str, repositories: str, external: str, archived: bool = False) -> Column:
+    """The folders that a query's exact terms are looked up in.
+
+    A clear query asks the folders of its kinds, those of a project where one is known, besides what is shared and what comes from
+    outside; an unclear one asks all, the agents' and the repositories' too. archived adds the archives of what is asked.
+    """
+    own = lambda folder: F.concat(F.lit(f"{base}/{folder}"), F.coalesce(F.concat(F.lit("/"), project), F.lit("")))
+    places = {"preferences": F.lit(f"{base}/preferences"), "durable": own("durable/projects"), "handoffs": own("handoffs/active"), "incidents": own("incidents/active")}
+    intents = scope_intents(query)
+    broad = F.size(intents) == 0
+    wants = lambda kind: broad | F.array_contains(intents, kind)
+    rows = [F.when(wants(kind), place) for kind, place in places.items()]
+    rows += [F.lit(f"{base}/shared"), F.when(broad, F.lit(agents)), F.when(broad, F.lit(repositories)), F.lit(external)]
+    if archived:
+        rows += [F.when(wants(kind), F.lit(f"{base}/{kind}/archived")) for kind in ("durable", "handoffs", "incidents")]
+    return F.filter(F.array(*rows), lambda x: x.isNotNull())

@@ -229,3 +229,15 @@ def test_whole_graph_components_and_communities(spark, small):
         first[r["path"]] = min(r["id"], first.get(r["path"], r["id"]))
     ties = [(r["id"], first[r["path"]]) for r in symbols] + [(e["source_id"], e["target_id"]) for e in edges if e["relation"] in G.COHESIVE]
     assert {r["id"]: r["community"] for r in QUERIES["communities"](spark, small).collect()} == least_of(ids, ties)
+
+
+def test_exact_scopes(spark):
+    from quarrylake.plans import predicates as P
+
+    asked = spark.createDataFrame([("What is the Status of the writing style?", "p"), ("post mortem of the on-call", None), ("where was I left", "p"), ("anything", None), (None, "p"), ("astonished tones", "p")], "q string, project string")
+    rows = asked.select(P.scope_intents(F.col("q")).alias("i"), P.exact_scopes(F.col("q"), F.col("project"), "b", "agents", "repos", "ext", True).alias("s")).collect()
+    assert [r["i"] for r in rows] == [["preferences", "handoffs"], ["incidents"], ["handoffs"], [], [], []]
+    assert rows[0]["s"] == ["b/preferences", "b/handoffs/active/p", "b/shared", "ext", "b/handoffs/archived"]
+    assert rows[1]["s"] == ["b/incidents/active", "b/shared", "ext", "b/incidents/archived"]
+    assert rows[3]["s"] == ["b/preferences", "b/durable/projects", "b/handoffs/active", "b/incidents/active", "b/shared", "agents", "repos", "ext", "b/durable/archived", "b/handoffs/archived", "b/incidents/archived"]
+    assert rows[4]["s"][1] == "b/durable/projects/p"
