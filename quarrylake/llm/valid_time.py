@@ -295,7 +295,8 @@ def enriched(sales: DataFrame, changes: DataFrame, batches: int = BATCHES, delay
     marks = {name: _marks(spark, f"{root}/staged/{name}", batches) for name in tables}
     limits = horizons(marks["sales"], marks["changes"], delay_hours)
     _marker(spark.range(buckets), "flush", F.lit(batches), F.col("id")).drop("batch").write.parquet(f"{root}/staged/sales/batch={batches}")
-    with _settings(spark, spark__sql__streaming__noDataMicroBatches__enabled="false", spark__sql__streaming__multipleWatermarkPolicy="min"):
+    partitions = str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets))  # no more state stores than buckets
+    with _settings(spark, spark__sql__streaming__noDataMicroBatches__enabled="false", spark__sql__streaming__multipleWatermarkPolicy="min", spark__sql__shuffle__partitions=partitions):
         for b in range(batches + 1):
             for name in tables:
                 _feed(spark, f"{root}/staged/{name}/batch={b}", f"{root}/in/{name}/batch={b}")
