@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scores as S, text as X
 from .recall import numbered, term_top_k
+from .traversal import written
 
 COHESIVE = ("contains", "declares", "exports", "extends", "implements", "overrides", "reexports")
 # Provenance order and the least confidence that needs no review.
@@ -116,10 +117,34 @@ def tiered_resolution(references: DataFrame, lookup: DataFrame) -> DataFrame:
 
     The first tier with a match decides: one target resolves, several leave the reference ambiguous and later tiers
     are not tried. An overrides reference does not match itself.
+
+    References meet a row a key (how many symbols, the least and the greatest), never a key's symbols. Tiers of which two or
+    more keys are known need the union of these: it is made once for each set of keys, however many references ask for it.
+    Rows of one reference_id are one reference; only where such rows disagree in whom they leave out are symbols met one by one.
     """
-    keys = references.select("reference_id", "self_id", "relation", F.posexplode("tiers").alias("tier", "keys")).select("reference_id", "self_id", "relation", "tier", F.explode("keys").alias("lookup_key"))
-    found = keys.join(lookup, "lookup_key").where("not (relation = 'overrides' and symbol_id <=> self_id)")
-    by_tier = found.groupBy("reference_id", "tier").agg(F.countDistinct("symbol_id").alias("matches"), F.min("symbol_id").alias("symbol_id"))
+    pairs = written(lookup.select("lookup_key", "symbol_id").distinct(), "lookup")
+    told = [F.count("*").alias("rows"), F.count("symbol_id").alias("n"), F.min("symbol_id").alias("low"), F.max("symbol_id").alias("high")]
+    known = written(pairs.groupBy("lookup_key").agg(*told), "lookup-keys")
+    tiers = references.select("reference_id", F.when(F.col("relation") == "overrides", F.struct("self_id")).alias("left_out"), F.posexplode("tiers").alias("tier", "keys"))
+    asked = tiers.select("reference_id", "left_out", "tier", F.explode(F.array_distinct("keys")).alias("lookup_key"))
+    left, all_ = F.count("left_out"), F.count("*")
+    odd = (left > 0) & ((left < all_) | ~F.min("left_out").eqNullSafe(F.max("left_out")))
+    met = asked.join(known, "lookup_key").groupBy("reference_id", "tier").agg(F.array_sort(F.collect_set("lookup_key")).alias("keys"), F.max("rows").alias("rows"), F.max("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("left_out").alias("left_out"), odd.alias("odd"))
+    met = written(met, "lookup-tiers")
+    one, some = met.where("not odd and size(keys) = 1").drop("keys", "odd"), met.where("not odd and size(keys) > 1").select("reference_id", "tier", "left_out", "keys")
+    sets = some.select("keys").distinct().select("keys", F.explode("keys").alias("lookup_key"))
+    union = sets.join(pairs, "lookup_key").select("keys", "symbol_id").distinct().groupBy("keys").agg(*told)
+    found = one.unionByName(some.join(union, "keys").drop("keys"))
+    # an overrides reference whose own symbol is under one of the tier's keys: one match less
+    own = asked.where("left_out is not null").join(pairs, (asked["lookup_key"] == pairs["lookup_key"]) & F.col("left_out.self_id").eqNullSafe(F.col("symbol_id")), "left_semi").select("reference_id", "tier").distinct()
+    over = found.where("left_out is not null").join(own.withColumn("own", F.lit(1)), ["reference_id", "tier"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    found = found.where("left_out is null").withColumn("own", F.lit(0)).unionByName(over).where("rows > own")
+    itself = F.col("left_out.self_id")
+    matches = F.col("n") - F.when(itself.isNotNull(), F.col("own")).otherwise(0)
+    only = F.when((F.col("own") == 1) & F.col("low").eqNullSafe(itself), F.col("high")).otherwise(F.col("low"))
+    plain = asked.join(met.where("odd").select("reference_id", "tier"), ["reference_id", "tier"], "left_semi").join(pairs, "lookup_key").where("left_out is null or not symbol_id <=> left_out.self_id")
+    plain = plain.groupBy("reference_id", "tier").agg(F.countDistinct("symbol_id").alias("matches"), F.min("symbol_id").alias("symbol_id"))
+    by_tier = found.select("reference_id", "tier", matches.alias("matches"), only.alias("symbol_id")).unionByName(plain)
     first = by_tier.groupBy("reference_id").agg(F.min(F.struct("tier", "matches", "symbol_id")).alias("m"))
     return references.select("reference_id").join(first, "reference_id", "left").select("reference_id", F.col("m.tier").alias("tier"), F.coalesce("m.matches", F.lit(0)).alias("matches"), F.when(F.col("m.matches") == 1, F.col("m.symbol_id")).alias("target_id"))
 
