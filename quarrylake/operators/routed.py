@@ -6,6 +6,8 @@ term; each phase then searches, for the queries that still want evidence, only t
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .recall import term_top_k
@@ -32,11 +34,43 @@ def route(terms: DataFrame, catalog: DataFrame) -> DataFrame:
     return ranked.withColumn("ambiguous", F.coalesce(next_ * 10 >= best * AMBIGUOUS_TENTHS, F.lit(False)))
 
 
-def deep_cards(selected: DataFrame, terms: DataFrame, postings: DataFrame, per_repository: int) -> DataFrame:
-    """(query_id, repository, symbol_id, score): symbols of selected repositories (query_id, repository) that have all of a query's terms."""
-    asked = terms.distinct().join(terms.distinct().groupBy("query_id").agg(F.count("*").alias("wanted")), "query_id")
-    hits = selected.join(asked, "query_id").join(postings, ["repository", "term"]).groupBy("query_id", "repository", "symbol_id").agg(F.sum("weight").cast("long").alias("score"), F.countDistinct("term").alias("n"), F.first("wanted").alias("wanted"))
-    return term_top_k(hits.where("n = wanted").select("query_id", "repository", "symbol_id", "score"), per_repository, ["query_id", "repository"], [F.desc("score"), "symbol_id"]).drop("rank")
+def leaders(terms: DataFrame) -> DataFrame:
+    """(query_id, leader): the least query with the same set of terms. Queries that ask alike are answered once."""
+    sets = terms.groupBy("query_id").agg(F.array_sort(F.collect_set(F.struct("term"))).alias("set"))
+    return sets.join(sets.groupBy("set").agg(F.min("query_id").alias("leader")), "set").select("query_id", "leader")
+
+
+@dataclass
+class Held:
+    """What symbols hold, once for all symbols that hold the same: sets (*by, class, rows array of structs with term and weight), members (*by, class, symbol: the first keep of a class)."""
+
+    sets: DataFrame
+    members: DataFrame
+
+
+def held_by(postings: DataFrame, by: list[str], symbol: str, columns: list[str], keep: int) -> Held:
+    """Classes of symbols with the same postings. A search that wants the best keep symbols a group needs keep of a class at most: its symbols differ by their ids alone."""
+    rows = postings.groupBy(*by, symbol).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
+    named = written(rows.select(*by, symbol, F.md5(F.to_json("rows").cast("binary")).alias("class"), "rows"), "held")
+    members = term_top_k(named.select(*by, "class", symbol), keep, [*by, "class"], [symbol]).drop("rank")
+    return Held(written(named.groupBy(*by, "class").agg(F.any_value("rows").alias("rows"), F.min(symbol).alias("least")), "held-sets"), written(members, "held-members"))
+
+
+def deep_cards(selected: DataFrame, terms: DataFrame, held: Held, per_repository: int) -> DataFrame:
+    """(query_id, repository, symbol_id, score): symbols of selected repositories (query_id, repository) that have all of a query's terms.
+
+    A query meets a repository's classes by the term that fewest of them have, and tests these for the rest.
+    """
+    asked = terms.distinct().groupBy("query_id").agg(F.array_sort(F.collect_set("term")).alias("wants"), F.count("*").alias("wanted")).where("size(wants) = wanted")
+    post = held.sets.select("repository", "class", "least", "rows", F.explode(F.array_distinct(F.col("rows.term"))).alias("term"))
+    sizes = post.groupBy("repository", "term").agg(F.count("*").alias("n"))
+    rarest = selected.join(asked, "query_id").select("query_id", "repository", "wanted", F.explode("wants").alias("term")).join(sizes, ["repository", "term"])
+    rarest = rarest.groupBy("query_id", "repository").agg(F.min_by("term", F.struct("n", "term")).alias("term"), F.count("*").alias("met"), F.first("wanted").alias("wanted")).where("met = wanted").join(asked.select("query_id", "wants"), "query_id")
+    score = F.aggregate(F.filter("rows", lambda x: F.array_contains("wants", x["term"])), F.lit(0).cast("long"), lambda a, x: a + x["weight"])
+    hits = rarest.join(post, ["repository", "term"]).where(F.size(F.array_except("wants", F.col("rows.term"))) == 0).select("query_id", "repository", "class", "least", score.alias("score"))
+    best = term_top_k(hits, per_repository, ["query_id", "repository"], [F.desc("score"), "least"]).drop("rank", "least")
+    cards = best.join(held.members, ["repository", "class"]).select("query_id", "repository", "symbol_id", "score")
+    return term_top_k(cards, per_repository, ["query_id", "repository"], [F.desc("score"), "symbol_id"]).drop("rank")
 
 
 def search(terms: DataFrame, postings: DataFrame, usable: DataFrame, bridges: DataFrame, evidence_cards: int = 12, per_repository: int = 8, phases: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -51,6 +85,9 @@ def search(terms: DataFrame, postings: DataFrame, usable: DataFrame, bridges: Da
     Cards come best first, the best of each of the four leading repositories before all others; then the other ends of bridges
     at these cards, where their repositories are usable. relationships counts a card's bridges between usable repositories.
     """
+    of = written(leaders(terms), "leaders")
+    terms = written(terms.distinct().join(of.where("query_id = leader").select("query_id"), "query_id", "left_semi"), "route-terms")
+    held = held_by(postings, ["repository"], "symbol_id", ["term", "weight"], per_repository)
     routed = written(route(terms, catalog_of(postings)), "routed")
     queries = terms.select("query_id").distinct()
     counts = routed.groupBy("query_id").agg(F.count("*").alias("routes"), F.max("ambiguous").alias("ambiguous"))
@@ -61,7 +98,7 @@ def search(terms: DataFrame, postings: DataFrame, usable: DataFrame, bridges: Da
         high = low + SCHEDULE[min(phase, len(SCHEDULE) - 1)]
         active = state.where("stop is null").select("query_id")
         batch = routed.join(active, "query_id").where((F.col("rank") > low) & (F.col("rank") <= high)).join(usable.select("repository").distinct(), "repository", "left_semi").select("query_id", "repository")
-        cards = written(deep_cards(batch, terms, postings, per_repository), "cards")
+        cards = written(deep_cards(batch, terms, held, per_repository), "cards")
         found = cards if found is None else found.unionByName(cards)
         more = cards.groupBy("query_id").agg(F.count("*").alias("more"))
         n, left = F.col("cards") + F.coalesce("more", F.lit(0)), F.col("routes") > high
@@ -83,7 +120,10 @@ def search(terms: DataFrame, postings: DataFrame, usable: DataFrame, bridges: Da
     ranked = term_top_k(every, evidence_cards, ["query_id"], ["tier", F.desc("score"), "symbol_id"]).withColumnRenamed("rank", "position")
     degree = ends.groupBy(F.col("at").alias("symbol_id")).agg(F.count("*").alias("relationships"))
     cards = ranked.join(degree, "symbol_id", "left").select("query_id", "position", "repository", "symbol_id", "score", F.coalesce("relationships", F.lit(0)).alias("relationships"))
-    return cards, state.select("query_id", "routes", "selected", F.coalesce("stop", F.lit("phase-limit")).alias("stop_reason"))
+    told = state.select("query_id", "routes", "selected", F.coalesce("stop", F.lit("phase-limit")).alias("stop_reason"))
+    of = of.withColumnRenamed("query_id", "asker").withColumnRenamed("leader", "query_id")
+    each = lambda rows: rows.join(of, "query_id").drop("query_id").withColumnRenamed("asker", "query_id").select(*rows.columns)
+    return each(written(cards, "route-cards")), each(told)
 
 
 def _usable_bridges(bridges: DataFrame, usable: DataFrame) -> DataFrame:
@@ -130,11 +170,16 @@ def lexical_lane(terms: DataFrame, members: DataFrame, routing_terms: DataFrame,
     node_id, exported). Most terms first, then their weight, then exported ones; per_member fair places a member; catalog_rank is the
     place among all of these. after (query_id and the columns of a page's last row): the next page.
     """
-    asked = terms.distinct()
-    met = asked.join(routing_terms, "term").join(members, "projection").join(symbols.select("projection", "node_id", F.col("exported").cast("int").alias("exported")), ["projection", "node_id"])
-    match = met.groupBy("query_id", "ordinal", "node_id").agg(F.max("exported").alias("exported"), F.count("*").alias("matched_terms"), F.sum("weight").alias("matched_weight"))
+    of = written(leaders(terms), "leaders")
+    asked = terms.distinct().join(of.where("query_id = leader").select("query_id"), "query_id", "left_semi")
+    nodes = symbols.select("projection", "node_id", F.col("exported").cast("int").alias("exported"))
+    held = held_by(routing_terms.join(members, "projection").join(nodes, ["projection", "node_id"]), ["ordinal"], "node_id", ["term", "weight", "exported"], per_member)
+    met = asked.join(held.sets.select("ordinal", "class", "least", F.explode("rows").alias("x")).select("ordinal", "class", "least", "x.*"), "term")
+    match = met.groupBy("query_id", "ordinal", "class").agg(F.max("exported").alias("exported"), F.count("*").alias("matched_terms"), F.sum("weight").alias("matched_weight"), F.first("least").alias("node_id"))
     order = [F.desc(c) if down else F.asc(c) for c, down in _LANE]
-    fair = term_top_k(match, per_member, ["query_id", "ordinal"], order).drop("rank")
+    best = term_top_k(match, per_member, ["query_id", "ordinal"], order).drop("rank", "node_id").join(held.members, ["ordinal", "class"]).drop("class")
+    fair = written(term_top_k(best, per_member, ["query_id", "ordinal"], order).drop("rank"), "fair")
+    fair = fair.withColumnRenamed("query_id", "leader").join(of, "leader").drop("leader")
     ranked = fair.withColumn("catalog_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))  # per_member rows a member
     if after is not None:
         last = after.select("query_id", *[F.col(c).alias(f"_{c}") for c, _ in _LANE])

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylake.operators import graph as G, recall as R
+from quarrylake.operators import graph as G, recall as R, routed as RT
 
 
 def moved(spark, run):
@@ -60,3 +60,28 @@ def test_locators_do_not_multiply(spark):
     s = spark.range(n).select(F.col("id").alias("symbol_id"), F.lit("x").alias("name"))
     records, rows = moved(spark, lambda: R.locator_counts(c, s, ["name"]).groupBy("matches", "first").count().collect())
     assert [tuple(x) for x in rows] == [(n, 0, n)] and records < 4 * n
+
+
+def test_lane_and_routes_of_copies(spark):
+    """Copies of queries and of symbols meet once: places go to the least ids, and records grow with both, not with their product."""
+    frame, n = spark.createDataFrame, 300
+    posts = [(i % 2, i, t, w) for i in range(n) for t, w in (("x", 5), ("y", 1))] + [(0, n, "x", 7), (0, n, "y", 1), (1, n + 1, "y", 9)]
+    terms = frame([(q, t) for q in range(n) for t in ("x", "y")], "query_id long, term string").unionByName(frame([(n, "y")], "query_id long, term string"))
+    rt = frame([(f"p{p}", i, t, w) for p, i, t, w in posts], "projection string, node_id long, term string, weight int")
+    nodes = frame([(f"p{i % 2}", i, i < 10) for i in range(n + 2)], "projection string, node_id long, exported boolean")
+    members = frame([(0, "p0"), (1, "p1")], "ordinal int, projection string")
+    records, rows = moved(spark, lambda: RT.lexical_lane(terms, members, rt, nodes, 3, 5).collect())
+    of = lambda q: [(r["ordinal"], r["node_id"], r["matched_terms"], r["matched_weight"]) for r in sorted(rows, key=lambda r: r["catalog_rank"]) if r["query_id"] == q]
+    assert of(7) == of(n - 1) == [(0, 300, 2, 8), (0, 0, 2, 6), (0, 2, 2, 6), (1, 1, 2, 6), (1, 3, 2, 6)]
+    assert of(n) == [(1, 301, 1, 9), (0, 0, 1, 1), (0, 2, 1, 1), (0, 4, 1, 1), (1, 1, 1, 1)] and records < 60 * n
+    post = rt.select(F.col("projection").alias("repository"), F.col("node_id").alias("symbol_id"), "term", "weight")
+    bridges = frame([(0, "p0", 300, "p1", 1)], "id long, source_repository string, source_symbol long, target_repository string, target_symbol long")
+
+    def routed():
+        cards, receipts = RT.search(terms, post, members.select(F.col("projection").alias("repository")), bridges, evidence_cards=3, per_repository=3)
+        return cards.collect(), receipts.collect()
+
+    records, (cards, receipts) = moved(spark, routed)
+    best = lambda q: [(r["repository"], r["symbol_id"], r["score"], r["relationships"]) for r in sorted(cards, key=lambda r: r["position"]) if r["query_id"] == q]
+    assert best(7) == best(n - 1) == [("p0", 300, 8, 1), ("p1", 1, 6, 1), ("p0", 0, 6, 0)] and len(receipts) == n + 1
+    assert best(n) == [("p1", 301, 9, 0), ("p0", 0, 1, 0), ("p1", 1, 1, 1)] and records < 80 * n
