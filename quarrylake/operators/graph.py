@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scores as S, text as X
@@ -152,12 +154,16 @@ def tiered_resolution(references: DataFrame, lookup: DataFrame) -> DataFrame:
 def bridges(imports: DataFrame, exports: DataFrame, compatible: Column | None = None) -> DataFrame:
     """(repository, identity, version) imports against exports of other repositories: bridge, ambiguous or incompatible.
 
-    An import that its own repository exports is left to local resolution.
+    An import that its own repository exports is left to local resolution. Imports that agree in all but import_id meet the
+    exports once; compatible may use any other column of theirs, version and producer_version among them.
     """
     ex = exports.select("identity", F.col("repository").alias("producer"), F.col("version").alias("producer_version"), F.col("symbol_id").alias("producer_symbol"))
-    j = imports.join(ex, "identity")
+    alike = [c for c in imports.columns if c != "import_id"]
     fits = compatible if compatible is not None else F.coalesce(F.col("version") == F.col("producer_version"), F.lit(True))
-    n = j.groupBy("repository", "identity", "import_id").agg(F.max(F.when(F.col("producer") == F.col("repository"), 1).otherwise(0)).alias("local"), F.count("*").alias("candidates"), F.count(F.when(fits, 1)).alias("fitting"), F.min(F.when(fits, F.col("producer"))).alias("producer"), F.min(F.when(fits, F.col("producer_symbol"))).alias("producer_symbol"))
+    told = imports.select(*alike).distinct().join(ex, "identity").groupBy(*alike).agg(F.max(F.when(F.col("producer") == F.col("repository"), 1).otherwise(0)).alias("local"), F.count("*").alias("candidates"), F.count(F.when(fits, 1)).alias("fitting"), F.min(F.when(fits, F.col("producer"))).alias("producer"))
+    told = written(told.withColumnsRenamed({c: f"_{c}" for c in alike}), "imports-alike")
+    j = imports.join(told, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in alike]))
+    n = j.groupBy("repository", "identity", "import_id").agg(F.max("local").alias("local"), F.sum("candidates").alias("candidates"), F.sum("fitting").alias("fitting"), F.min("producer").alias("producer"))
     state = F.when(F.col("fitting") == 1, "bridge").when(F.col("fitting") > 1, "ambiguous-producer").otherwise("incompatible-package-version")
     return n.where("local = 0").select("repository", "identity", "import_id", state.alias("state"), F.when(F.col("fitting") > 1, F.col("fitting")).otherwise(F.col("candidates")).alias("candidates"), F.when(F.col("fitting") == 1, F.col("producer")).alias("producer"))
 

@@ -85,3 +85,12 @@ def test_lane_and_routes_of_copies(spark):
     best = lambda q: [(r["repository"], r["symbol_id"], r["score"], r["relationships"]) for r in sorted(cards, key=lambda r: r["position"]) if r["query_id"] == q]
     assert best(7) == best(n - 1) == [("p0", 300, 8, 1), ("p1", 1, 6, 1), ("p0", 0, 6, 0)] and len(receipts) == n + 1
     assert best(n) == [("p1", 301, 9, 0), ("p0", 0, 1, 0), ("p1", 1, 1, 1)] and records < 80 * n
+
+
+def test_bridges_do_not_multiply(spark):
+    """Imports that are alike meet the exports once; equal ids add up."""
+    n = 1000
+    imports = spark.range(n).select(F.concat(F.lit("r"), (F.col("id") % 2).cast("string")).alias("repository"), F.lit("p").alias("identity"), F.when(F.col("id") % 4 == 0, "1").alias("version"), (F.col("id") % (n - 1)).alias("import_id"))
+    exports = spark.range(50).select(F.lit("p").alias("identity"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("repository"), F.when(F.col("id") == 0, "1").otherwise("2").alias("version"), F.lit("s").alias("symbol_id"))
+    records, rows = moved(spark, lambda: G.bridges(imports, exports).groupBy("state", "candidates", "producer").count().collect())
+    assert {tuple(r) for r in rows} == {("bridge", 50, "x0", n // 4), ("ambiguous-producer", 50, None, 3 * n // 4)} and records < 4 * n
