@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 
+from .common import give_back
+
 CACHE, LONGEST = 200_000, 24
 #: The file's own split for lower-case Latin-1 texts: 0 white space, 1 letters, 2 digits (each alone), 3 other symbols.
 _KIND = np.array([0 if chr(c).isspace() and c not in (28, 29, 30, 31) else 1 if chr(c).isalpha() else 2 if unicodedata.category(chr(c))[0] == "N" else 3 for c in range(256)], np.uint8)
@@ -28,9 +30,7 @@ def default_path() -> str:
 
 class WordBpe:
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab = model["vocab"]
@@ -54,6 +54,15 @@ class WordBpe:
         self.probes = int((runs[1::2] - runs[::2]).max())
         self.pieces: dict[bytes, np.ndarray] = {}
         self.words: dict[bytes, np.ndarray] = {}
+        del model, vocab, merges
+        give_back()  # the parsed file is many times the tables
+
+    @cached_property
+    def whole(self):
+        """The library's own tokenizer; plain Latin-1 texts of short pieces never need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def _slot(self, key):
         return (key * 0x9E3779B1 >> 11) & ((1 << self.bits) - 1)

@@ -83,7 +83,7 @@ def _pack(path: str):
             held.clear()
             return batch_of(_PIECES, zip(*rows))
 
-        for doc_ids, texts in id_text_rows(batches, 1024):
+        for doc_ids, texts in id_text_rows(batches, 256):
             out = []
             for doc_id, ids in zip(doc_ids, encoder.encode([t or "" for t in texts])):
                 ids = np.concatenate([ids, end]).astype("<u4")
