@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylake.operators import bounded as B, graph as G, recall as R, routed as RT
+from quarrylake.operators import bounded as B, graph as G, recall as R, routed as RT, traversal as T
 
 
 def moved(spark, run):
@@ -113,3 +113,17 @@ def test_nearest_bases_of_a_line(spark):
     heads, some = spark.range(n).select(F.col("id").alias("head")), spark.range(0, n, 3).select(F.col("id").alias("commit"))
     records, rows = moved(spark, lambda: B.nearest_bases(parents, heads, some).groupBy("distance", "candidates").count().collect())
     assert {tuple(x) for x in rows} == {(d, 1, n // 3) for d in range(3)} and records < 40 * n
+
+
+def test_components_of_random_graphs(spark):
+    """Roots as of a plain union, stars and chains among them."""
+    r = random.Random(5)
+    pairs = [(f"{r.randrange(90):02}", f"{r.randrange(90):02}") for _ in range(50)] + [("00", f"s{i}") for i in range(40)] + [(f"c{i:02}", f"c{i + 1:02}") for i in range(30)]
+    ids = sorted({f"{i:02}" for i in range(90)} | {x for p in pairs for x in p})
+    root = {i: i for i in ids}
+    for _ in ids:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    frame = spark.createDataFrame
+    got = T.components(frame(pairs, "source_id string, target_id string"), frame([(i,) for i in ids], "id string"))
+    assert {x["id"]: x["root"] for x in got.collect()} == root
