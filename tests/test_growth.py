@@ -127,3 +127,36 @@ def test_components_of_random_graphs(spark):
     frame = spark.createDataFrame
     got = T.components(frame(pairs, "source_id string, target_id string"), frame([(i,) for i in ids], "id string"))
     assert {x["id"]: x["root"] for x in got.collect()} == root
+
+
+def test_pools_of_many_queries(spark):
+    """Queries that ask for one term share its pool: postings are cut once, and copies are told apart by address."""
+    n = 400
+    frame = spark.createDataFrame
+    terms = spark.range(n).select(F.col("id").alias("query_id"), F.lit("x").alias("term"))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("u"), F.lpad((n - F.col("id")).cast("string"), 4, "0")).alias("uri"), F.when(F.col("id") < 2, "same").otherwise(F.col("id").cast("string")).alias("logical_key"), F.lit(5).cast("long").alias("length"))
+    postings = docs.select("doc_id", F.lit("x").alias("term"), F.lit(1).alias("field_weight"), F.when(F.col("doc_id") == 9, 3).otherwise(1).cast("long").alias("tf"), F.lit(1).cast("long").alias("n"))
+    frequency = frame([("x", n - 1)], "term string, frequency long")
+    for rows in (postings, postings.withColumn("length", F.lit(5).cast("long"))):
+        records, pools = moved(spark, lambda: R.term_pools(terms, rows, docs, "doc_id", per_term=3, frequency=frequency).collect())
+        assert {tuple(sorted(x["uri"] for x in pools if x["query_id"] == q)) for q in range(n)} == {("u0001", "u0002", "u0391")} and len(pools) == 3 * n and records < 12 * n
+    assert [tuple(r) for r in R.document_frequency(postings, docs, "doc_id").collect()] == [("x", n - 1)]
+
+
+def test_frequency_of_copies(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (5, "a")], "doc_id long, logical_key string")
+    postings = spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (4, "x"), (5, "y"), (3, "y"), (2, "z")], "doc_id long, term string")
+    assert {tuple(r) for r in R.document_frequency(postings, docs, "doc_id").collect()} == {("x", 2), ("y", 2), ("z", 1)}
+
+
+def test_texts_move_and_not_their_terms(spark):
+    """Terms are counted where their text is; wanted ones alone are counted, if named."""
+    n = 40
+    text = " ".join(f"w{i} dealt-out reCall" for i in range(50))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("w1 Plain’s").alias("title"), F.lit("Src").alias("project"))
+    records, rows = moved(spark, lambda: R.weighted_terms(docs, "doc_id", {"title": 3}, "text", "project").collect())
+    one = {r["term"]: (r["field_weight"], r["tf"], r["n"]) for r in rows if r["doc_id"] == 7}
+    assert len(one) == 48 and one["recall"] == one["re call"] == one["dealt"] == one["dealt-out"] == one["out"] == (1, 50, 50) and one["w10"] == (1, 1, 1) and one["plain's"] == one["plain"] == (3, 1, 0) and one["src"] == (1, 1, 0)
+    assert len(rows) == n * len(one) and records <= 4 * n
+    records, rows = moved(spark, lambda: R.weighted_terms(docs, "doc_id", {"title": 3}, "text", "project", spark.createDataFrame([("recall",), ("src",)], "term string")).collect())
+    assert {tuple(r)[1:] for r in rows} == {("recall", 1, 50, 50), ("src", 1, 1, 0)} and len(rows) == 2 * n and records <= 4 * n
