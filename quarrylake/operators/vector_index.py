@@ -28,6 +28,8 @@ from .traversal import written
 SAMPLE, MOST_CELLS, BLOCK_ROWS, ROUNDS = 32_768, 4096, 4096, 8
 #: Vectors that build() looks up to choose the number of probes, their neighbours, and the share of these to be found.
 CALIBRATED, NEIGHBOURS, RECALL = 64, 10, 0.95
+#: Most numbers of a product of vectors and centres, and of the vectors of a batch given back, held at once by a Python worker.
+MOST_AT_ONCE = 1 << 20
 #: What rounding may take from a bound.
 SLACK = 1e-9
 
@@ -39,6 +41,13 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(flat.flatten()).reshape(len(flat), -1) if len(flat) else np.zeros((0, 1))
 
 
+def _slices(b: pa.RecordBatch, width: int):
+    """A batch in slices of whose rows each has width numbers: MOST_AT_ONCE together, a row at least."""
+    step = max(1, MOST_AT_ONCE // max(1, width))
+    for at in range(0, b.num_rows, step):
+        yield b.slice(at, step)
+
+
 def unit(df: DataFrame, id_: str, vector: str) -> DataFrame:
     """(id, v) of unit length. Raises ValueError for vectors that are none, and for ids that come twice."""
     v = F.col(vector)
@@ -59,8 +68,11 @@ def _centres(sample: np.ndarray, cells: int, rounds: int) -> np.ndarray:
     """Spherical k-means. An empty cell takes the vector that is farthest from its centre."""
     centres = sample[:: max(1, len(sample) // cells)][:cells].copy()
     for _ in range(rounds):
-        score = sample @ centres.T
-        near, best = score.argmax(axis=1), score.max(axis=1)
+        near, best = np.zeros(len(sample), np.int64), np.zeros(len(sample))
+        step = max(1, MOST_AT_ONCE // max(1, len(centres)))
+        for at in range(0, len(sample), step):
+            score = sample[at : at + step] @ centres.T
+            near[at : at + step], best[at : at + step] = score.argmax(axis=1), score.max(axis=1)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, sample)
         sizes = np.bincount(near, minlength=len(centres))
@@ -71,16 +83,16 @@ def _centres(sample: np.ndarray, cells: int, rounds: int) -> np.ndarray:
     return centres
 
 
-def _nearest(df: DataFrame, id_: str, centres: np.ndarray) -> DataFrame:
-    """df with the cell of each vector and the cosine of its angle to the centre."""
+def _placed(batches, id_: str, centres: np.ndarray):
+    for b in (part for whole in batches for part in _slices(whole, len(centres))):
+        score = _matrix(b.column("v")) @ centres.T
+        cell = score.argmax(axis=1)
+        yield pa.RecordBatch.from_arrays([b.column(id_), b.column("v"), pa.array(cell.astype(np.int32)), pa.array(score[np.arange(len(cell)), cell])], names=[id_, "v", "cell", "near"])
 
-    def run(batches):
-        for b in batches:
-            score = _matrix(b.column("v")) @ centres.T if b.num_rows else np.zeros((0, 1))
-            cell = score.argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(id_), b.column("v"), pa.array(cell.astype(np.int32)), pa.array(score[np.arange(len(cell)), cell])], names=[id_, "v", "cell", "near"])
 
-    return df.mapInArrow(run, f"{id_} long, v array<double>, cell int, near double")
+def _nearest(df: DataFrame, id_: str, centres: np.ndarray) -> DataFrame:
+    """df with the cell of each vector and the cosine of its angle to the centre."""
+    return df.mapInArrow(lambda batches: _placed(batches, id_, centres), f"{id_} long, v array<double>, cell int, near double")
 
 
 @dataclass
@@ -151,29 +163,29 @@ def _calibrated(index: VectorIndex, block_rows: int) -> int:
     return ranks[min(len(ranks) - 1, int(len(ranks) * RECALL))] if ranks else 1
 
 
+def _asked(batches, number: np.ndarray, parts: np.ndarray, centres: np.ndarray, radius: np.ndarray, probes: int, later: bool):
+    for b in (part for whole in batches for part in _slices(whole, len(number)) if len(number)):
+        score = _matrix(b.column("v")) @ centres.T
+        order = np.argsort(-score, axis=1, kind="stable")[:, :probes]
+        first = np.zeros(score.shape, bool)
+        np.put_along_axis(first, order, True, axis=1)
+        if later:
+            bound = np.cos(np.maximum(0, np.arccos(np.clip(score, -1, 1)) - radius - SLACK))
+            first = ~first & (bound >= b.column("floor").to_numpy()[:, None] - SLACK)
+        q, c = np.nonzero(first)
+        step = max(1, MOST_AT_ONCE // centres.shape[1])
+        for i in range(0, len(q), step):
+            at, of = pa.array(q[i : i + step]), c[i : i + step]
+            yield pa.RecordBatch.from_arrays([b.column("query_id").take(at), b.column("v").take(at), pa.array(number[of]), pa.array(parts[of])], names=["query_id", "v", "cell", "parts"])
+
+
 def _probes(index: VectorIndex, queries: DataFrame, probes: int) -> DataFrame:
     """(query_id, v, cell, parts) of the cells that each query reads: the probes nearest, or, where queries have a floor, all others that may hold a score of floor or more."""
     table = index.cells.orderBy("cell").toArrow()
     number, parts = table.column("cell").to_numpy(), table.column("parts").to_numpy()
     centres, radius = _matrix(table.column("centre")), np.arccos(np.clip(table.column("cos_radius").to_numpy(), -1, 1))
     later = "floor" in queries.columns
-
-    def run(batches):
-        for b in batches:
-            if not b.num_rows or not len(number):
-                continue
-            score = _matrix(b.column("v")) @ centres.T
-            order = np.argsort(-score, axis=1, kind="stable")[:, :probes]
-            first = np.zeros(score.shape, bool)
-            np.put_along_axis(first, order, True, axis=1)
-            if later:
-                bound = np.cos(np.maximum(0, np.arccos(np.clip(score, -1, 1)) - radius - SLACK))
-                first = ~first & (bound >= b.column("floor").to_numpy()[:, None] - SLACK)
-            q, c = np.nonzero(first)
-            at = pa.array(q)
-            yield pa.RecordBatch.from_arrays([b.column("query_id").take(at), b.column("v").take(at), pa.array(number[c]), pa.array(parts[c])], names=["query_id", "v", "cell", "parts"])
-
-    return queries.mapInArrow(run, "query_id long, v array<double>, cell int, parts int")
+    return queries.mapInArrow(lambda batches: _asked(batches, number, parts, centres, radius, probes, later), "query_id long, v array<double>, cell int, parts int")
 
 
 def _scan(index: VectorIndex, probes: DataFrame, k: int, minimum: float, same_id: bool, block_rows: int) -> DataFrame:

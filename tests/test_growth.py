@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylake.operators import bounded as B, graph as G, recall as R, routed as RT, traversal as T
+from quarrylake.operators import bounded as B, graph as G, recall as R, routed as RT, traversal as T, vector_index as V
 
 
 def moved(spark, run):
@@ -176,3 +176,33 @@ def test_texts_move_and_not_their_terms(spark):
     assert len(rows) == n * len(one) and records <= 4 * n
     records, rows = moved(spark, lambda: R.weighted_terms(docs, "doc_id", {"title": 3}, "text", "project", spark.createDataFrame([("recall",), ("src",)], "term string")).collect())
     assert {tuple(r)[1:] for r in rows} == {("recall", 1, 50, 50), ("src", 1, 1, 0)} and len(rows) == 2 * n and records <= 4 * n
+
+
+def test_vectors_meet_many_cells_in_slices():
+    """A batch of any size against the most cells: a worker's memory is that of a slice, and no row is lost."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    g = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    v, centres = unit(g.normal(size=(3000, 8))), unit(g.normal(size=(V.MOST_CELLS, 8)))
+    rows = pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), 8).cast(pa.list_(pa.float64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), rows, pa.array(np.full(3000, -2.0))], names=["query_id", "v", "floor"])
+    numbers, ones = np.arange(len(centres), dtype=np.int32), np.ones(len(centres), np.int32)
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    near, most, met, held = [], 0, np.zeros((3000, len(centres)), bool), 0
+    for b in V._placed([batch], "query_id", centres):
+        near += zip(b.column("query_id").to_pylist(), b.column("cell").to_pylist())
+    for b in V._asked([batch], numbers, ones, centres, np.zeros(len(centres)), 2, True):
+        q, c = b.column("query_id").to_numpy(), b.column("cell").to_numpy()
+        assert not met[q, c].any()
+        met[q, c] = True
+        most, held = max(most, b.num_rows * 8), max(held, pa.total_allocated_bytes() - before)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert near == list(enumerate((v @ centres.T).argmax(axis=1)))
+    assert (met.sum(axis=1) == len(centres) - 2).all()
+    assert most <= V.MOST_AT_ONCE and peak < 150e6 and held < 60e6
