@@ -206,3 +206,20 @@ def test_vectors_meet_many_cells_in_slices():
     assert near == list(enumerate((v @ centres.T).argmax(axis=1)))
     assert (met.sum(axis=1) == len(centres) - 2).all()
     assert most <= V.MOST_AT_ONCE and peak < 150e6 and held < 60e6
+
+
+def test_changes_do_not_multiply(spark):
+    """References of one alias with many symbols, brought up to date: records grow with the references, not with them times the symbols."""
+    n = 1500
+    of = lambda k: spark.range(k).select(F.concat(F.lit("f"), (F.col("id") % 50).cast("string")).alias("file"), F.lit("a").alias("lookup_key"), F.col("id").cast("string").alias("symbol_id"))
+    aliases = spark.createDataFrame([("g", "a", "b")], "file string, alias_of string, alias string")
+    refs = spark.range(2 * n).select(F.lit("r").alias("file"), F.col("id").alias("reference_id"), F.lit(None).cast("string").alias("self_id"), F.lit("calls").alias("relation"), F.expr("array(array('none'), array(if(id % 2 = 0, 'b', 'c')))").alias("tiers"))
+    old, new = B.Sources(of(n), aliases, refs), B.Sources(of(n - 1), aliases, refs)
+    files = spark.createDataFrame([("f49",)], "file string")
+
+    def run():
+        got, receipt = B.resolve_changes(old, new, files, T.written(B.resolved(old), "resolved"), 0.6)
+        return receipt["mode"], sorted(map(tuple, got.groupBy("tier", "matches").count().collect()), key=str)
+
+    records, told = moved(spark, run)
+    assert told == ("incremental", [(1, n - 1, n), (None, 0, n)]) and records < 60 * n
