@@ -114,7 +114,25 @@ def symbol_terms(symbols: DataFrame) -> DataFrame:
     return symbols.select("id", F.explode(F.concat(*parts)).alias("x")).groupBy("id", F.col("x.term").alias("term")).agg(F.max("x.w").alias("weight"))
 
 
-def tiered_resolution(references: DataFrame, lookup: DataFrame) -> DataFrame:
+def _unions(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(keys, rows, n, low, high): how many symbols are under any of a set's keys, the least and the greatest.
+
+    Symbols that are under the same ones of all sets' keys are one class, and a set meets the classes of its keys, so work does
+    not grow with sets times symbols. A class is its number of keys, the least of them and two xors of 64-bit hashes of them: a
+    wrong number needs two different sets of keys with all four alike.
+    """
+    keys = sets.select(F.explode("keys").alias("lookup_key")).distinct()
+    under, key = Window.partitionBy("symbol_id"), F.col("lookup_key")
+    marks = [F.count(key), F.min(key), F.bit_xor(F.xxhash64(key)), F.bit_xor(F.xxhash64(F.lit("other"), key))]
+    classed = pairs.join(keys, "lookup_key", "left_semi").withColumn("class", F.struct(*[m.over(under).alias(f"m{i}") for i, m in enumerate(marks)]))
+    told = classed.groupBy("lookup_key", "class").agg(F.count("*").alias("rows"), F.count("symbol_id").alias("n"), F.min("symbol_id").alias("low"), F.max("symbol_id").alias("high"))
+    # a symbol is in one class, so the least one names it
+    classes = written(told.drop("class"), "lookup-classes")
+    met = sets.select("keys", F.explode("keys").alias("lookup_key")).join(classes, "lookup_key").drop("lookup_key").distinct()
+    return met.groupBy("keys").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def tiered_resolution(references: DataFrame, lookup: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """(reference_id, tiers array<array<string>>, self, relation) -> (reference_id, tier, matches, target_id).
 
     The first tier with a match decides: one target resolves, several leave the reference ambiguous and later tiers
@@ -123,32 +141,38 @@ def tiered_resolution(references: DataFrame, lookup: DataFrame) -> DataFrame:
     References meet a row a key (how many symbols, the least and the greatest), never a key's symbols. Tiers of which two or
     more keys are known need the union of these: it is made once for each set of keys, however many references ask for it.
     Rows of one reference_id are one reference; only where such rows disagree in whom they leave out are symbols met one by one.
+    only (reference_id): the references to resolve, if not all; what they ask for and is known meets them, not the references' rows.
     """
     pairs = written(lookup.select("lookup_key", "symbol_id").distinct(), "lookup")
     told = [F.count("*").alias("rows"), F.count("symbol_id").alias("n"), F.min("symbol_id").alias("low"), F.max("symbol_id").alias("high")]
     known = written(pairs.groupBy("lookup_key").agg(*told), "lookup-keys")
     tiers = references.select("reference_id", F.when(F.col("relation") == "overrides", F.struct("self_id")).alias("left_out"), F.posexplode("tiers").alias("tier", "keys"))
     asked = tiers.select("reference_id", "left_out", "tier", F.explode(F.array_distinct("keys")).alias("lookup_key"))
+    ids = references.select("reference_id")
+    if only is not None:
+        asked, ids = asked.join(known.select("lookup_key"), "lookup_key", "left_semi").join(only, "reference_id", "left_semi"), ids.join(only, "reference_id", "left_semi")
     left, all_ = F.count("left_out"), F.count("*")
     odd = (left > 0) & ((left < all_) | ~F.min("left_out").eqNullSafe(F.max("left_out")))
     met = asked.join(known, "lookup_key").groupBy("reference_id", "tier").agg(F.array_sort(F.collect_set("lookup_key")).alias("keys"), F.max("rows").alias("rows"), F.max("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("left_out").alias("left_out"), odd.alias("odd"))
     met = written(met, "lookup-tiers")
     one, some = met.where("not odd and size(keys) = 1").drop("keys", "odd"), met.where("not odd and size(keys) > 1").select("reference_id", "tier", "left_out", "keys")
-    sets = some.select("keys").distinct().select("keys", F.explode("keys").alias("lookup_key"))
-    union = sets.join(pairs, "lookup_key").select("keys", "symbol_id").distinct().groupBy("keys").agg(*told)
+    union = _unions(written(some.select("keys").distinct(), "lookup-sets"), pairs)
     found = one.unionByName(some.join(union, "keys").drop("keys"))
     # an overrides reference whose own symbol is under one of the tier's keys: one match less
-    own = asked.where("left_out is not null").join(pairs, (asked["lookup_key"] == pairs["lookup_key"]) & F.col("left_out.self_id").eqNullSafe(F.col("symbol_id")), "left_semi").select("reference_id", "tier").distinct()
+    asks = met.where("not odd and left_out is not null").select("reference_id", "tier", "left_out", F.explode("keys").alias("lookup_key"))
+    own = asks.join(pairs, (asks["lookup_key"] == pairs["lookup_key"]) & F.col("left_out.self_id").eqNullSafe(F.col("symbol_id")), "left_semi").select("reference_id", "tier").distinct()
     over = found.where("left_out is not null").join(own.withColumn("own", F.lit(1)), ["reference_id", "tier"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
     found = found.where("left_out is null").withColumn("own", F.lit(0)).unionByName(over).where("rows > own")
     itself = F.col("left_out.self_id")
     matches = F.col("n") - F.when(itself.isNotNull(), F.col("own")).otherwise(0)
-    only = F.when((F.col("own") == 1) & F.col("low").eqNullSafe(itself), F.col("high")).otherwise(F.col("low"))
-    plain = asked.join(met.where("odd").select("reference_id", "tier"), ["reference_id", "tier"], "left_semi").join(pairs, "lookup_key").where("left_out is null or not symbol_id <=> left_out.self_id")
-    plain = plain.groupBy("reference_id", "tier").agg(F.countDistinct("symbol_id").alias("matches"), F.min("symbol_id").alias("symbol_id"))
-    by_tier = found.select("reference_id", "tier", matches.alias("matches"), only.alias("symbol_id")).unionByName(plain)
+    only_one = F.when((F.col("own") == 1) & F.col("low").eqNullSafe(itself), F.col("high")).otherwise(F.col("low"))
+    by_tier = found.select("reference_id", "tier", matches.alias("matches"), only_one.alias("symbol_id"))
+    disagree = written(met.where("odd").select("reference_id", "tier"), "lookup-odd")
+    if not disagree.isEmpty():
+        plain = asked.join(known.select("lookup_key"), "lookup_key", "left_semi").join(disagree, ["reference_id", "tier"], "left_semi").join(pairs, "lookup_key").where("left_out is null or not symbol_id <=> left_out.self_id")
+        by_tier = by_tier.unionByName(plain.groupBy("reference_id", "tier").agg(F.countDistinct("symbol_id").alias("matches"), F.min("symbol_id").alias("symbol_id")))
     first = by_tier.groupBy("reference_id").agg(F.min(F.struct("tier", "matches", "symbol_id")).alias("m"))
-    return references.select("reference_id").join(first, "reference_id", "left").select("reference_id", F.col("m.tier").alias("tier"), F.coalesce("m.matches", F.lit(0)).alias("matches"), F.when(F.col("m.matches") == 1, F.col("m.symbol_id")).alias("target_id"))
+    return ids.join(first, "reference_id", "left").select("reference_id", F.col("m.tier").alias("tier"), F.coalesce("m.matches", F.lit(0)).alias("matches"), F.when(F.col("m.matches") == 1, F.col("m.symbol_id")).alias("target_id"))
 
 
 def bridges(imports: DataFrame, exports: DataFrame, compatible: Column | None = None) -> DataFrame:

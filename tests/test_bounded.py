@@ -112,6 +112,18 @@ def test_incremental_resolution(spark, seed):
         assert receipt["mode"] == ("incremental" if most or not receipt["affected"] else "fallback") and receipt["affected"] <= receipt["references"] + 4
 
 
+def test_reference_of_two_files(spark):
+    """One of a reference's two files no longer has it: it is resolved anew, by what the other asks for."""
+    frame = spark.createDataFrame
+    defs = frame([("d", "k", "s1"), ("d", "l", "s2")], "file string, lookup_key string, symbol_id string")
+    aliases = frame([], "file string, alias_of string, alias string")
+    refs = [("f", 1, None, "calls", [["k"]]), ("g", 1, None, "calls", [["none"], ["l"]]), ("g", 2, None, "calls", [["l"]]), ("f", 3, None, "calls", [["k"]])]
+    old, new = (B.Sources(defs, aliases, frame(x, "file string, reference_id long, self_id string, relation string, tiers array<array<string>>")) for x in (refs, refs[1:3]))
+    got, receipt = B.resolve_changes(old, new, frame([("f",)], "file string"), B.resolved(old))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, B.resolved(new).collect())) == [(1, 1, 1, "s2"), (2, 0, 1, "s2")]
+    assert receipt == {"mode": "incremental", "affected": 1, "references": 2}
+
+
 def plain_ranges(rows, files=3, ranges=2, lines=24):
     out = set()
     for q in {r[0] for r in rows}:

@@ -1,6 +1,7 @@
 """Steps whose work once grew faster than their input: plain results, and records moved while a common key grows."""
 
 import random
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,6 +25,17 @@ def moved(spark, run):
     return total() - before, out
 
 
+@contextmanager
+def broadcast_limit(spark, size):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def plain_tiers(refs, look):
     out = {}
     for r in {x[0] for x in refs}:
@@ -223,3 +235,45 @@ def test_changes_do_not_multiply(spark):
 
     records, told = moved(spark, run)
     assert told == ("incremental", [(1, n - 1, n), (None, 0, n)]) and records < 60 * n
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_unions_of_shared_symbols(spark, seed):
+    """Sets of keys whose symbols are partly the same, a null one too."""
+    r = random.Random(seed)
+    held = {f"k{i}": {r.choice(["a", "b", "c", "d", "e", "f", None]) for _ in range(r.randrange(1, 6))} for i in range(8)}
+    held |= {f"k{i}'": held[f"k{i}"] for i in range(8)}
+    look = [(k, s) for k, symbols in held.items() for s in symbols]
+    sets = {tuple(sorted(r.sample(sorted(held), r.randrange(2, 5)))) for _ in range(60)}
+    got = G._unions(spark.createDataFrame([(list(k),) for k in sets], "keys array<string>"), spark.createDataFrame(look, "lookup_key string, symbol_id string"))
+    want = {}
+    for keys in sets:
+        union = set().union(*(held[k] for k in keys))
+        known = union - {None}
+        want[keys] = (len(union), len(known), min(known, default=None), max(known, default=None))
+    assert {tuple(x["keys"]): (x["rows"], x["n"], x["low"], x["high"]) for x in got.collect()} == want
+
+
+def test_sets_of_keys_do_not_multiply(spark):
+    """Every two of 40 keys of 50 symbols each, which are under an alias of their key too."""
+    n, of = 40, 50
+    look = spark.range(2 * n * of).select(F.concat(F.when(F.col("id") < n * of, "k").otherwise("a"), (F.col("id") % n).cast("string")).alias("lookup_key"), (F.col("id") % (n * of)).cast("string").alias("symbol_id"))
+    refs = [(f"{x}{i}{y}{j}", None, "calls", [[f"{x}{i}", f"{y}{j}"]]) for x in "ka" for y in "ka" for i in range(n) for j in range(i + 1)]
+    frame = spark.createDataFrame(refs, "reference_id string, self_id string, relation string, tiers array<array<string>>")
+    with broadcast_limit(spark, "-1"):
+        records, rows = moved(spark, lambda: G.tiered_resolution(frame, look).groupBy("matches").count().collect())
+    assert {tuple(x) for x in rows} == {(of, 4 * n), (2 * of, len(refs) - 4 * n)} and records < 12 * len(refs) + 4 * 2 * n * of
+
+
+def test_changes_move_no_keys_of_references(spark):
+    """Nothing is small enough for broadcasts but the lookup's keys: of references that an update does not reach only ids move, and twice at most."""
+    n = 30000
+    of = lambda k: spark.range(k).select(F.concat(F.lit("f"), (F.col("id") % 5).cast("string")).alias("file"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("lookup_key"), F.col("id").cast("string").alias("symbol_id"))
+    aliases = spark.createDataFrame([("g", "k1", "b")], "file string, alias_of string, alias string")
+    refs = spark.range(n).select(F.concat(F.lit("r"), (F.col("id") % 10).cast("string")).alias("file"), F.col("id").alias("reference_id"), F.lit(None).cast("string").alias("self_id"), F.lit("calls").alias("relation"), F.expr("array(array(concat('own', id), concat('other', id)), array(if(id % 10 < 3, concat('k', id % 50), 'none')))").alias("tiers"))
+    old, new = B.Sources(of(50), aliases, refs), B.Sources(of(49), aliases, refs.where("file <> 'r3' or reference_id % 20 = 3"))
+    files = spark.createDataFrame([("f4",), ("r3",)], "file string")
+    with broadcast_limit(spark, "9k"):
+        records, told = moved(spark, lambda: sorted(map(tuple, B.resolve_changes(old, new, files, T.written(B.resolved(old), "resolved"))[0].groupBy("tier", "matches").count().collect()), key=str))
+    assert told == [(1, 1, 3 * n // 10), (None, 0, n - 3 * n // 10 - n // 20)]
+    assert records < 3.5 * n
